@@ -2,7 +2,8 @@
 
 Token scores are log-odds between toxic and other labelled texts, smoothed by a
 Dirichlet prior in proportion to the token's count in the whole corpus, and drawn
-towards zero by their standard error. Less a fixed drift, their mean is negative,
+towards zero by their standard error. A text counts a token once, as texts that
+repeat a word a hundred times are not a hundred witnesses. Less a fixed drift, their mean is negative,
 so a linear scan finds all maximal scoring segments of a text, and Karlin-Altschul
 statistics say how often chance gives such a segment. The significant ones are
 summed, and a logistic fit on that sum gives a probability.
@@ -32,7 +33,7 @@ REMEMBERED = 1 << 20
 #: Taken from every token's score: the passage must earn it.
 DRIFT = 0.2
 #: Standard errors by which scores are drawn towards zero.
-DOUBT = 1.64
+DOUBT = 2.0
 #: Expected chance segments per text up to which a segment counts as significant.
 SIGNIFICANT = 0.1
 
@@ -100,19 +101,19 @@ class ToxicityModel:
 
 
 def _token_counts(docs: DataFrame, label: str) -> pd.DataFrame:
-    """Per bucket with a labelled token: counts in toxic, other and all texts; plus a row -1 of totals. At most BUCKETS + 1 rows."""
+    """Per bucket: numbers of toxic, other and all texts that hold its tokens. At most BUCKETS rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, total = Remembered(int), np.zeros((3, BUCKETS), dtype=np.int64)
         for batch in batches:
             for text, toxic in zip(batch["text"], batch[label], strict=True):
-                words = WORD.findall((text or "").lower())
+                words = set(WORD.findall((text or "").lower()))
                 if not words:
                     continue
-                at = np.array([seen[w] for w in words])
-                np.add.at(total[2], at, 1)
+                at = np.array(list({seen[w] for w in words}))
+                total[2, at] += 1
                 if toxic == toxic and toxic is not None:
-                    np.add.at(total[1 - int(toxic)], at, 1)
+                    total[1 - int(toxic), at] += 1
         used = np.flatnonzero(total[2])
         yield pd.DataFrame({"bucket": used, "toxic": total[0, used], "other": total[1, used], "every": total[2, used]})
 
