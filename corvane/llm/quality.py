@@ -21,6 +21,8 @@ from .common import narrow_name, stored
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Rejected hosts up to which their names are broadcast, and tasks over which a host's rows are dealt beyond it.
+BROADCAST_HOSTS, SALTS = 200_000, 32
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Odd multipliers, one for each place in a window.
 _ODD = np.random.default_rng(8).integers(1, 1 << 62, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,8 +115,14 @@ def judged(rows: DataFrame, rules: Rules, host: str, stats: str, failed: str, ke
     """``rows``, which hold a struct ``stats`` from stats_of(), with the booleans ``failed`` and ``kept``."""
     rows = rows.withColumn(failed, rules.failed(F.col(stats)))
     key = narrow_name(rows, "rejected_host")
-    bad = host_rates(rows, host, failed).where(F.col("rate") > rules.max_host_rate).select(F.col("host").alias(key))
-    joined = rows.join(bad, rows[host] == bad[key], "left")
+    bad = stored(host_rates(rows, host, failed).where(F.col("rate") > rules.max_host_rate).select(F.col("host").alias(key)), "rejected-hosts")
+    if bad.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(bad), rows[host] == bad[key], "left")
+    else:  # a host may hold a third of all rows: its rows go to SALTS tasks
+        salt = narrow_name(rows, "salt")
+        bad = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text" if "text" in rows.columns else stats), F.lit(SALTS)))
+        joined = rows.join(bad, (rows[host] == bad[key]) & (rows[salt] == bad[salt]), "left").drop(rows[salt], bad[salt])
     return joined.withColumn(kept, ~F.col(failed) & F.col(key).isNull()).drop(key)
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name
+from .common import narrow_name, stored
 
 BUCKETS = 1 << 20
 WORD = re.compile(r"\w+")
@@ -100,7 +100,16 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.slope * evidence, -50, 50))))
 
 
-def _token_counts(docs: DataFrame, label: str) -> pd.DataFrame:
+def _token_score(sums):
+    """A bucket's log-odds under the Dirichlet prior, less DOUBT standard errors and DRIFT; at least -DRIFT."""
+    strength = min(sums["toxic"], sums["other"])
+    prior = F.col("every") * (strength / sums["every"])
+    toxic, other = F.col("toxic") + prior, F.col("other") + prior
+    odds = F.log(toxic / (sums["toxic"] + strength)) - F.log(other / (sums["other"] + strength))
+    return F.greatest(odds - DOUBT * F.sqrt(1 / toxic + 1 / other), F.lit(0.0)) - DRIFT
+
+
+def _token_counts(docs: DataFrame, label: str) -> DataFrame:
     """Per bucket: numbers of toxic, other and all texts that hold its tokens. At most BUCKETS rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,8 +127,7 @@ def _token_counts(docs: DataFrame, label: str) -> pd.DataFrame:
         yield pd.DataFrame({"bucket": used, "toxic": total[0, used], "other": total[1, used], "every": total[2, used]})
 
     rows = docs.select("text", label).mapInPandas(count, "bucket long, toxic long, other long, every long")
-    sums = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "every")))
-    return sums.toPandas()
+    return rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "every")))
 
 
 def _karlin_lambda(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -166,19 +174,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000) -> Toxic
     rows = labelled(labels, max_labelled).select(F.col("doc_id").alias("_labelled_id"), F.col("toxic").alias("_toxic"))
     texts = docs.select("doc_id", "text")
     on = texts.doc_id == rows["_labelled_id"]
-    counts = _token_counts(texts.join(F.broadcast(rows), on, "left"), "_toxic")
-    model = ToxicityModel(np.zeros(BUCKETS, dtype=np.float32))
-    toxic, other, every = (counts[c].to_numpy(dtype=float) for c in ("toxic", "other", "every"))
-    if toxic.sum() and other.sum():
-        strength = min(toxic.sum(), other.sum())
-        prior = strength * every / every.sum()
-        odds = np.log((toxic + prior) / (toxic.sum() + strength)) - np.log((other + prior) / (other.sum() + strength))
-        doubt = DOUBT * np.sqrt(1 / (toxic + prior) + 1 / (other + prior))
-        scores = np.sign(odds) * np.maximum(np.abs(odds) - doubt, 0) - DRIFT
-        model.scores[:] = -DRIFT
-        model.scores[counts["bucket"].to_numpy(dtype=np.int64)] = scores
-        if (scores > 0).any() and (scores * every).sum() < 0:
-            model.lam = _karlin_lambda(scores, every)
+    counts = stored(_token_counts(texts.join(F.broadcast(rows), on, "left"), "_toxic"), "toxicity")
+    model = ToxicityModel(np.full(BUCKETS, -DRIFT, dtype=np.float32))
+    sums = counts.agg(*(F.sum(c).cast("double").alias(c) for c in ("toxic", "other", "every"))).first()
+    if sums["toxic"] and sums["other"]:
+        scores = counts.select("bucket", "every", _token_score(sums).alias("score"))
+        positive = scores.where("score > 0").toPandas()
+        model.scores[positive["bucket"].to_numpy(dtype=np.int64)] = positive["score"]
+        spread = scores.groupBy(F.round("score", 2).alias("score")).agg(F.sum("every").alias("every")).toPandas()
+        values, weights = spread["score"].to_numpy(dtype=float), spread["every"].to_numpy(dtype=float)
+        if (values > 0).any() and values @ weights < 0:
+            model.lam = _karlin_lambda(values, weights)
     seen = texts.join(F.broadcast(rows), on)
     chance = _top_segments(seen, model).where("_toxic = 0").agg(F.count("*"), F.sum("chance")).first()
     model.k = float(chance[0] / chance[1]) if chance[0] and chance[1] else 1.0
