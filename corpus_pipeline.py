@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import simhash
+from corvane.llm import decontaminate, pieces, quality, simhash, toxicity
 from corvane.llm.common import fresh_path, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go. The model is fitted on the stage's input and the labels."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, and those of hosts that mostly fail, go."""
+    return quality.without_failures(docs)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     return simhash.keep_one_of_each(docs)
 
 
-STAGES = [("simhash near-dedup", drop_near_copies)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns with ``pieces`` (SentencePiece ids) and ``n_pieces``."""
+    encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.withColumn("n_pieces", F.size("pieces"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_low_quality),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("sentencepiece encoding", encode_pieces),
+]
 
 #: Model fitting and SimHash are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage returns, read from what it has written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         path = fresh_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

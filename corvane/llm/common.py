@@ -56,3 +56,8 @@ def narrow_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """A stored side of a join: broadcast if it has at most ``limit`` (short) rows, else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

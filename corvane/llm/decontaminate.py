@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, stored
+from .common import narrow_name, small_side, stored
 
 N = 3
 WORD = re.compile(r"\w+")
@@ -230,10 +230,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6,
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6) -> DataFrame:
     """``docs`` without those whose text holds a copy of a test item; all columns stay as they are."""
-    bad = contaminated(docs, benchmark, min_score).select("text_key").distinct()
     key = narrow_name(docs, "text_key")
-    bad = bad.withColumnRenamed("text_key", key)
-    return docs.withColumn(key, F.md5("text")).join(bad, key, "left_anti").select(docs.columns)
+    bad = stored(contaminated(docs, benchmark, min_score).select(F.col("text_key").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, F.md5("text")).join(small_side(bad), key, "left_anti").select(docs.columns)
 
 
 def op3_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

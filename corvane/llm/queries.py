@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, pieces, quality, simhash, tokenfiles, toxicity, urlfilter, warc
+from . import decontaminate, licenses, pieces, quality, sharding, simhash, tokenfiles, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op4_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op5_quality(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_url_filter, op2_sentencepiece, op3_decontaminate, op5_quality, op6_toxicity,
+        op1_url_filter, op2_sentencepiece, op3_decontaminate, op4_shards, op5_quality, op6_toxicity,
         op7_simhash, op8_token_files, op9_licenses, op10_warc,
     )
     return {f.__name__: f for f in found}

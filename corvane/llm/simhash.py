@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import narrow_name, stored
 from .components import connected_components
 
 #: Texts are hashed in blocks of so many shingles, which bounds a task's memory for long texts.
@@ -149,6 +149,24 @@ def fingerprint_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
     return docs.join(joined, docs.fp.eqNullSafe(joined.fp)).select(docs.doc_id, docs.fp, "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5) -> DataFrame:
+    """One row of each group of near copies: that with the smallest doc_id, of equals the first; all columns stay.
+
+    The input is stored once with each row's place, so that exactly one row stays
+    of rows that repeat, with or without a doc_id.
+    """
+    place = narrow_name(docs, "place")
+    base = stored(docs.withColumn(place, F.monotonically_increasing_id()), "simhash-input")
+    fps = stored(with_fingerprint(base.select(F.col(place).alias("place"), "doc_id", "text"), words=words).select("place", "doc_id", "fp"), "simhash-fp")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    nodes = stored(fps.groupBy("fp").agg(F.min(best).alias("best")), "simhash-nodes")
+    links = stored(similar_fingerprints(nodes.select("fp"), radius), "simhash-links")
+    labels = connected_components(links, "a", "b")
+    groups = nodes.join(labels, nodes.fp == labels.node, "left").groupBy(F.coalesce("component", "fp").alias("group"))
+    kept = groups.agg(F.min("best").alias("best")).select(F.col("best.place").alias(place))
+    return base.join(kept, place, "left_semi").select(docs.columns)
+
+
 def op7_simhash(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     """Columns doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
 
