@@ -80,12 +80,21 @@ class PieceTransducer:
             raise ValueError("the model has no byte fallback")
         if any(c not in self.ids for piece in self.ids for c in piece):
             raise ValueError("a piece holds a character that is no piece")
-        #: No piece goes on after a space that follows other text, so every such space starts a stretch of its own.
-        self.stretches = re.compile(f"{SPACE}+[^{SPACE}]*" if not any(SPACE in p.lstrip(SPACE) for p in self.ids) else "(?s).+")
-        self.longest = max(map(len, self.ids))
+        self.stretches = self._cutter()
+        #: What a walk along the arcs may have read so far.
+        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.kept_pairs: dict[tuple[str, str], bool] = {}
         self.encoded = _Stretches(self)
 
+    def _cutter(self) -> re.Pattern:
+        """Stretches between which no piece can lie: the finest of three patterns that no piece contradicts."""
+        letter = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+        for pattern in (f"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+", f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"):
+            cut = re.compile(pattern)
+            if all(cut.fullmatch(p) for p in self.ids):
+                return cut
+        return re.compile("(?s).+")
+
     def _add_piece(self, fields: dict) -> None:
         piece, kind = fields[1].decode(), fields.get(3, NORMAL)
         if kind == BYTE:
@@ -111,11 +120,9 @@ class PieceTransducer:
 
     def keeps(self, left: str, right: str) -> bool:
         """Whether merging keeps these neighbours apart and whole; ``left`` may be empty."""
-        found = self.kept_pairs.get((left, right))
-        if found is None:
-            if len(self.kept_pairs) >= REMEMBERED:
-                self.kept_pairs.clear()
-            found = self.kept_pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.kept_pairs) >= REMEMBERED:
+            self.kept_pairs.clear()
+        found = self.kept_pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def shortest_path(self, stretch: str) -> list[int]:
@@ -123,6 +130,7 @@ class PieceTransducer:
         n, ids = len(stretch), self.ids
         weight = [0.0] + [INFINITE] * n
         last: list[tuple[int, str]] = [(-1, "")] * (n + 1)
+        prefixes, kept, keeps = self.prefixes, self.kept_pairs, self.keeps
         for start in range(n):
             if weight[start] == INFINITE:
                 continue
@@ -131,10 +139,14 @@ class PieceTransducer:
                 if step < weight[start + 1]:
                     weight[start + 1], last[start + 1] = step, (start, "")
                 continue
-            for end in range(start + 1, min(n, start + self.longest) + 1):
+            for end in range(start + 1, n + 1):
                 piece = stretch[start:end]
-                if piece in ids and step < weight[end] and self.keeps(before, piece):
-                    weight[end], last[end] = step, (start, piece)
+                if piece not in prefixes:
+                    break
+                if step < weight[end] and piece in ids:
+                    allowed = kept.get((before, piece))
+                    if allowed or allowed is None and keeps(before, piece):
+                        weight[end], last[end] = step, (start, piece)
         path: list[int] = []
         end = n
         while end:
@@ -215,12 +227,17 @@ def op2_sentencepiece(docs: DataFrame, model_path: str) -> DataFrame:
     back (U+2581 in a text comes back as a space). Null counts as an empty text.
     Repeated rows come out as often as they went in; other columns are ignored.
     """
-    pieces = decode(encode(docs.select("doc_id", "text"), model_path), model_path, out="decoded")
-    return pieces.select(
-        "doc_id", F.size("pieces").cast("long").alias("n_pieces"), _crc(F.col("pieces")).alias("ids_crc32"),
-        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
-
+    shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
 
-def _crc(ids):
-    return F.pandas_udf(lambda arrays: pd.Series([crc32(np.asarray(a, dtype="<i4").tobytes()) for a in arrays]), "long")(ids)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = compiled(shared.value)
+        for texts in batches:
+            rows = []
+            for text in texts:
+                raw = model.encode_bytes(text)
+                decoded = model.decode(np.frombuffer(raw, dtype="<i4").tolist())
+                rows.append((len(raw) // 4, crc32(raw), crc32(decoded.encode("utf-8", "surrogatepass")), decoded == (text or "")))
+            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
+
+    both = F.pandas_udf(run, "n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return docs.select("doc_id", both("text").alias("p")).select("doc_id", "p.*")
