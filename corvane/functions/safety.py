@@ -95,7 +95,11 @@ def sanitised(text: Column | str, escape: bool = False) -> Column:
 def pii(text: Column | str) -> Column:
     """Array of (type, value) of all matches of all types; matches of different types may overlap."""
     c = F.coalesce(_col(text), F.lit(""))
-    return F.concat(*(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda v, k=kind: F.struct(F.lit(k).alias("type"), v.alias("value"))) for kind, p in PII_PATTERNS.items()))
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+
+    return F.concat(*(found(kind, pattern) for kind, pattern in PII_PATTERNS.items()))
 
 
 def masked_value(value: Column | str, kind: str) -> Column:
@@ -124,13 +128,21 @@ def masked(text: Column | str, kinds=tuple(PII_PATTERNS)) -> Column:
     """
     c = F.coalesce(_col(text), F.lit(""))
     for kind in kinds:
-        pattern = PII_PATTERNS[kind]
-        values = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        gaps = F.split(c, pattern, -1)
-        c = F.array_join(F.transform(gaps, lambda g, k, v=values, n=kind: F.concat(g, F.coalesce(masked_value(F.get(v, k), n) if n not in ("ip_address", "mac_address") else F.when(k < F.size(v), F.lit("***")), F.lit("")))), "")
+        c = _masked_kind(c, kind)
     return c
 
 
+def _masked_kind(text: Column, kind: str) -> Column:
+    values = F.regexp_extract_all(text, F.lit(PII_PATTERNS[kind]), F.lit(0))
+    gaps = F.split(text, PII_PATTERNS[kind], -1)
+
+    def join(gap, k):
+        value = F.get(values, k)
+        return F.concat(gap, F.when(value.isNull(), "").otherwise(masked_value(value, kind)))
+
+    return F.array_join(F.transform(gaps, join), "")
+
+
 def json_texts(value: Column | str) -> Column:
     """Array of the texts under the usual keys of a JSON message, at the top and one level below."""
     keys = ("message", "query", "question", "content", "text", "input", "prompt", "body")

@@ -30,8 +30,8 @@ def published(versions: DataFrame, arriving: DataFrame) -> DataFrame:
     both = versions.unionByName(fresh, allowMissingColumns=True)
     winners = fresh.where("status = 'active'").groupBy("doc_id").agg(F.max(F.struct(version_key("version").alias("k"), "version_id"))["version_id"].alias("_winner"))
     beaten = F.col("_winner").isNotNull() & F.col("status").isin("active", "draft") & (F.col("version_id") != F.col("_winner"))
-    by = F.when(beaten, F.col("_winner"))
-    return both.join(winners, "doc_id", "left").withColumn("status", F.when(beaten, "superseded").otherwise(F.col("status"))).withColumn("superseded_by", by).drop("_winner")
+    changed = {"status": F.when(beaten, "superseded").otherwise(F.col("status")), "superseded_by": F.when(beaten, F.col("_winner"))}
+    return both.join(winners, "doc_id", "left").withColumns(changed).drop("_winner")
 
 
 def version_conflicts(versions: DataFrame, arriving: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def expanded_permissions(roles: dict[str, dict[str, list[str]]], spark) -> DataF
 def allowed(users: DataFrame, user_roles: DataFrame, permissions: DataFrame, resource: str, action: str, admin: str = "admin") -> DataFrame:
     """Users who may do something: administrators, and those with a role that has the permission."""
     grants = permissions.where((F.col("resource") == resource) & (F.col("action") == action)).select("role").distinct()
-    able = user_roles.join(grants, "role", "left_semi").union(user_roles.where(F.col("role") == admin)).select("user_id").distinct()
+    able = user_roles.join(grants, "role", "left_semi").unionByName(user_roles.where(F.col("role") == admin)).select("user_id").distinct()
     return users.join(able, "user_id", "left_semi")
 
 

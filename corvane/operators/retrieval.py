@@ -74,11 +74,23 @@ def bm25(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k:
     return top_k(bm25_scores(docs, queries, query_id, query_text, **options).where("score > 0"), k)
 
 
-def overlap_fallback(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10) -> DataFrame:
-    """For queries no document has a term of: share of the query's tokens that occur anywhere in the text."""
-    pairs = docs.select("doc_id", F.lower("text").alias("body")).join(F.broadcast(queries.select(F.col(query_id).alias("query_id"), tokens(query_text).alias("tokens")).limit(1000)), F.expr("exists(tokens, t -> contains(body, t))"))
-    share = F.size(F.filter("tokens", lambda t: F.contains(F.col("body"), t))) / F.size("tokens")
-    return top_k(pairs.select("query_id", "doc_id", share.alias("score")), k)
+def overlap_fallback(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10, block: int = 1000) -> DataFrame:
+    """For queries no document has a term of: share of the query's tokens that occur anywhere in the text.
+
+    Substrings have no key to join on, so the queries go to the tasks, about ``block`` at
+    a time, and each pass leaves the best ``k`` of every query.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), tokens(query_text).alias("tokens"))
+    blocks = max(1, -(-asked.count() // block))
+    bodies = docs.select("doc_id", F.lower("text").alias("body"))
+    found = None
+    for number in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        pairs = bodies.join(F.broadcast(own), F.expr("exists(tokens, t -> contains(body, t))"))
+        share = F.size(F.filter("tokens", lambda t: F.contains(F.col("body"), t))) / F.size("tokens")
+        best = top_k(pairs.select("query_id", "doc_id", share.alias("score")), k)
+        found = best if found is None else found.union(best)
+    return found
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", exclude_self: bool = True) -> DataFrame:

@@ -1,15 +1,16 @@
-"""Registered queries of the retrieval engine and their SQL oracles."""
+"""All registered queries of the engine and their SQL oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .base import Query
+from .corpus import catalogue as corpus
+from .records import catalogue as records
+from .retrieval import catalogue as retrieval
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return retrieval.queries | corpus.queries | records.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.sql | corpus.sql | records.sql

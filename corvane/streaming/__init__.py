@@ -1 +1 @@
-
+"""Structured Streaming forms: windows, dedupe, rate limits, ingestion."""
