@@ -17,6 +17,7 @@ import json
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -37,11 +38,17 @@ FOOTER = struct.Struct("<QQ8s")
 MAGIC = b"CVPLANE1"
 #: Ids after which a task goes on in another file.
 FILE_IDS = 1 << 24
-#: Words whose ids a task remembers, and bytes of texts that it splits at a time.
-REMEMBERED, AT_ONCE = 1 << 19, 1 << 20
-#: A space before a visible character always begins a new word of a byte-level tokenizer.
-_GAP = re.compile(r" (?=[!-~\w])")
-_ODD_GAP = re.compile(r" (?![!-~\w])")
+#: Words whose ids a task remembers in each of two generations.
+REMEMBERED = 1 << 19
+#: How the vocabulary writes a space.
+SPACE = "Ġ"
+#: Characters from here on are not taken for Latin letters.
+LATIN_END = "\u0250"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A byte-level vocabulary writes bytes that are no printable Latin-1 characters as those from U+0100 on, in order.
+BYTE_LETTERS = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)], range(256, 512), strict=False))
+#: A space before such a character always begins a new word of a byte-level tokenizer.
+_VISIBLE = re.compile(r"[!-~\w]")
 
 
 def to_planes(ids: np.ndarray, plane: str) -> list[bytes]:
@@ -154,35 +161,73 @@ class IdFileReader:
             yield doc_id, pieces
 
 
+class _Irregular(Exception):
+    """A space that is not followed by a visible character."""
+
+
+class _WordIds(dict):
+    """word -> ids of the word with a space in front, asked for once.
+
+    Of bounded size, in two generations: the older goes when the younger is full.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model.tokenize
+        self.line_end = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, word: str, lead: str) -> bytes | None:
+        """Ids of Latin letters with punctuation after them, or of punctuation alone: pieces that need no splitting. None for others."""
+        core = word.rstrip(PUNCTUATION)
+        mark = word[len(core) :]
+        if core and not (core.isalpha() and max(core) < LATIN_END) or not word:
+            return None
+        letters = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model(lead + (letters or mark))]
+        if core and mark:
+            ids += [t.id for t in self.model(mark)]
+        return array("I", ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        if (own := self.before.get(word)) is None:
+            if not _VISIBLE.match(word):
+                raise _Irregular
+            if (own := self._plain(word, SPACE)) is None:
+                first, *rest = word.split("\n")
+                parts = [self._plain(first, SPACE), *(self._plain(p, "") for p in rest)] if rest else [None]
+                own = self.whole(" " + word) if None in parts else self.line_end.join(parts)
+        self[word] = own
+        return own
+
+
 class WordwiseTokenizer:
     """The tokenizers library, asked once for each word.
 
     A byte-level tokenizer splits before every space that a visible character
-    follows; texts are split there and the words' ids remembered.
+    follows; texts are split there and the words' ids remembered. Plain words, and such
+    on both sides of a line end, are pieces for the library's model as they are; other
+    words go through the whole tokenizer, and so do whole texts with other spaces.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        first, *rest = _GAP.split(text) if _ODD_GAP.search(text) else text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        self.ids = _WordIds(Tokenizer.from_file(path))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self.words(t) for t in texts]
-        if new := {w for words in split for w in words}.difference(self.ids):
-            if len(self.ids) + len(new) > REMEMBERED:
-                self.ids.clear()
-                new = {w for words in split for w in words}
-            new = list(new)
-            for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.ids[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        first, *rest = text.split(" ")
+        try:
+            return self.ids.whole(first) + b"".join(map(self.ids.__getitem__, rest))
+        except _Irregular:
+            return self.ids.whole(text)
 
 
 @lru_cache(maxsize=2)
@@ -225,23 +270,15 @@ def write_id_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: st
 
         for batch in batches:
             ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            texts = [t or "" for t in batch["text"]]
-            begin = 0
-            while begin < len(texts):
-                end_at, size = begin, 0
-                while end_at < len(texts) and size < AT_ONCE:
-                    size += len(texts[end_at])
-                    end_at += 1
-                for doc_id, found in zip(ids[begin:end_at], own.encode(texts[begin:end_at]), strict=True):
-                    if writer is None:
-                        path = f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.ids"
-                        stream = _open(path, write=True)
-                        writer = IdFileWriter(stream, plane, block)
-                    writer.add(doc_id, found + end)
-                    if writer.ids >= FILE_IDS:
-                        yield finished()
-                        number, writer = number + 1, None
-                begin = end_at
+            for doc_id, text in zip(ids, batch["text"], strict=True):
+                if writer is None:
+                    path = f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.ids"
+                    stream = _open(path, write=True)
+                    writer = IdFileWriter(stream, plane, block)
+                writer.add(doc_id, own.encode(text or "") + end)
+                if writer.ids >= FILE_IDS:
+                    yield finished()
+                    number, writer = number + 1, None
         if writer is not None:
             yield finished()
 
