@@ -58,7 +58,7 @@ def chars_for_tokens(n: Column, cjk_share: float = 0.7) -> Column:
 
 def sentences(text: Column | str) -> Column:
     """Trimmed, non-empty sentences."""
-    parts = F.transform(F.split(_col(text), SENTENCE_END), F.trim)
+    parts = F.transform(F.split(_col(text), SENTENCE_END), lambda s: F.trim(s))
     return F.filter(parts, lambda s: F.length(s) > 0)
 
 
@@ -129,7 +129,7 @@ def html_to_text(html: Column | str) -> Column:
 
 def normalised_tags(tags: Column | str) -> Column:
     """Array of trimmed, non-empty, distinct tags of a list separated by commas or semicolons."""
-    parts = F.transform(F.split(F.coalesce(_col(tags), F.lit("")), "[,，;；]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(_col(tags), F.lit("")), "[,，;；]"), lambda s: F.trim(s))
     return F.array_distinct(F.filter(parts, lambda t: F.length(t) > 0))
 
 
@@ -204,12 +204,12 @@ def citation_audit(answer: Column | str, n_sources: Column) -> Column:
 
 def action_items(content: Column | str) -> Column:
     """Array of (title, owner, due) of checkbox and TODO lines of meeting notes."""
-    lines = F.filter(F.transform(F.split(_col(content), r"\r?\n"), F.trim), lambda x: (F.length(x) > 0) & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(_col(content), r"\r?\n"), lambda s: F.trim(s)), lambda x: (F.length(x) > 0) & ~x.startswith("#"))
     box = r"^[-*]\s*\[\s*[xX]?\s*\]\s*"
     wanted = F.filter(lines, lambda x: x.rlike(box) | x.rlike(r"(?i)\bTODO\b|待办|行动项|后续动作"))
 
     def item(line):
-        parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(line, box, ""), r"^[-*]\s*", ""), "[|｜]"), F.trim), lambda p: F.length(p) > 0)
+        parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(line, box, ""), r"^[-*]\s*", ""), "[|｜]"), lambda s: F.trim(s)), lambda p: F.length(p) > 0)
         title = F.regexp_replace(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), r"(?i)^(TODO|待办|行动项|后续动作)\s*[:：]?\s*", "")
         field = lambda pattern: F.coalesce(F.array_max(F.transform(parts, lambda p: F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")))), F.lit(""))
         owner, due = field(r"(?i)(?:负责人|owner|assignee)\s*[:：]\s*(.+)"), field(r"(?i)(?:截止(?:日期)?|due)\s*[:：]\s*([0-9]{4}-[0-9]{2}-[0-9]{2})")
@@ -239,7 +239,7 @@ def restriction_values(value: Column | str) -> Column:
     """Array of names in a JSON list or a list separated by commas or semicolons; null and empty give none."""
     c = F.trim(F.coalesce(_col(value), F.lit("")))
     listed = F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, "[,，;；]"))
-    return F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), F.trim), lambda v: F.length(v) > 0)
+    return F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda v: F.length(v) > 0)
 
 
 def json_or(value: Column | str, schema: str, default: Column) -> Column:
