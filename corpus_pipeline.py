@@ -7,31 +7,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, pieces, quality, simhash, toxicity
-from corvane.llm.common import fresh_path, table
+from corvane.llm.common import fresh_path, modest_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go. The model is fitted on the stage's input and the labels."""
+    modest_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, and those of hosts that mostly fail, go."""
+    modest_batches(spark)
     return quality.without_failures(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
+    modest_batches(spark)
     return simhash.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go."""
+    modest_batches(spark)
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with ``pieces`` (SentencePiece ids) and ``n_pieces``."""
+    modest_batches(spark)
     encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.withColumn("n_pieces", F.size("pieces"))
 

@@ -61,3 +61,8 @@ def narrow_name(df: DataFrame, wanted: str) -> str:
 def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
     """A stored side of a join: broadcast if it has at most ``limit`` (short) rows, else left to a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python get at most so many rows at a time, for the rest of the session: texts are long, and Spark's default is 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -30,7 +30,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 BPE = 2
 #: Entries that each memory of a task may hold before it starts anew; longer stretches are not remembered.
-REMEMBERED, LONGEST = 1 << 19, 64
+REMEMBERED, LONGEST = 1 << 17, 64
 INFINITE = float("inf")
 
 
@@ -170,16 +170,20 @@ class PieceTransducer:
 
 
 class _Stretches(dict):
-    """stretch -> encoded bytes; of bounded size."""
+    """stretch -> encoded bytes; of bounded size, in two generations: the older goes when the younger is full."""
 
     def __init__(self, model: PieceTransducer):
         super().__init__()
         self.model = model
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
-        out = array("i", self.model.shortest_path(stretch)).tobytes()
+        out = self.before.get(stretch)
+        if out is None:
+            out = array("i", self.model.shortest_path(stretch)).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[stretch] = out
         return out

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, licenses, pieces, quality, sharding, simhash, tokenfiles, toxicity, urlfilter, warc
-from .common import table
+from .common import modest_batches, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_url_filter, op2_sentencepiece, op3_decontaminate, op4_shards, op5_quality, op6_toxicity,
         op7_simhash, op8_token_files, op9_licenses, op10_warc,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: _in_modest_batches(f) for f in found}
+
+
+def _in_modest_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        modest_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,7 +29,7 @@ from .common import narrow_name, stored
 BUCKETS = 1 << 20
 WORD = re.compile(r"\w+")
 #: Words whose bucket or score a task remembers; then it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Taken from every token's score: the passage must earn it.
 DRIFT = 0.2
 #: Standard errors by which scores are drawn towards zero.
@@ -206,7 +206,7 @@ def _top_segments(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     @F.pandas_udf("double")
     def chance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        seen = Remembered(m.scores.tolist().__getitem__)
+        seen = Remembered(m.scores.item)
         for texts in batches:
             found = (m.segments(t, seen) for t in texts)
             yield pd.Series([max(n, 1) * np.exp(-m.lam * max((s for *_, s in parts), default=0.0)) for n, parts in found])
@@ -221,7 +221,7 @@ def scored(docs: DataFrame, model: ToxicityModel, out: str = "toxicity") -> Data
     @F.pandas_udf("score double, evidence double, segments array<struct<first: int, last: int, score: double, e_value: double>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        seen = Remembered(m.scores.tolist().__getitem__)
+        seen = Remembered(m.scores.item)
         for texts in batches:
             rows = []
             for text in texts:
