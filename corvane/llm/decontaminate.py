@@ -1,10 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 A document holds a copy of a test item of m words if a local alignment of their
-words (match +1, mismatch -1, gap -1) scores at least ``min_score * m``. Such an
-alignment loses at most U = (1 - min_score) * m points. One lost point destroys
-at most two of the item's word n-grams (n = 3: an insertion; a substitution costs
-two points and destroys three), so
+words (match +1, mismatch -1, gap -1) scores at least ``min_score * m``, and at least 8
+or, of shorter items, m. Such an alignment loses at most U points, the rest of m. One
+lost point destroys at most two of the item's word n-grams (n = 3: an insertion; a
+substitution costs two points and destroys three), so
 
 * any 2 U + 1 n-grams of the item include one that the copy has kept: the item's
   2 U + 1 rarest in the corpus serve as seeds, without loss;
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import narrow_name, small_side, stored
 
 N = 3
+#: Score below which an alignment of a few words is no copy.
+LEAST = 8
 WORD = re.compile(r"\w+")
 #: Word numbers of a part stay below this, so that three of them fit a long.
 BASE = 1 << 21
@@ -40,6 +42,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def least_score(m: int, min_score: float) -> int:
+    """Score that a copy of an item of ``m`` words needs: its share, and at least LEAST or all of a shorter item."""
+    return max(int(np.ceil(min_score * m - 1e-9)), min(m, LEAST))
+
+
 def grams_of(ids: np.ndarray) -> np.ndarray:
     """Codes of the word trigrams; 0 where a word is unknown (number 0)."""
     if len(ids) < N:
@@ -120,7 +127,7 @@ def _seeds(part: dict, counts: np.ndarray) -> tuple[dict[str, np.ndarray], list[
     least = np.zeros(len(codes), dtype=np.int64)
     rows = []
     for number, (_, ids) in enumerate(part["items"]):
-        loss = int((1 - part["min_score"]) * len(ids) + 1e-9)
+        loss = len(ids) - least_score(len(ids), part["min_score"])
         grams = grams_of(ids)
         at = np.searchsorted(codes, grams)
         places = np.lexsort((grams, counts[at]))[: 2 * loss + 1]
@@ -188,12 +195,12 @@ def _find_part(docs: DataFrame, items: list, min_score: float) -> DataFrame | No
     reach, rows = _seeds(part, _gram_counts(docs, part))
     passages = stored(_passages(docs, part, reach), "decontaminate")
     seeds = spark.createDataFrame(rows, "code long, number int")
-    tests = spark.createDataFrame([(k, i, ids.tolist()) for k, (i, ids) in enumerate(part["items"])], "number int, item_id long, item array<long>")
+    tests = spark.createDataFrame([(k, i, ids.tolist(), least_score(len(ids), min_score)) for k, (i, ids) in enumerate(part["items"])], "number int, item_id long, item array<long>, least int")
     once = passages.groupBy("text_key", "start").agg(F.first("ids").alias("ids"), F.first("codes").alias("codes"))
     pairs = once.select("text_key", "start", F.explode("codes").alias("code")).join(seeds, "code").select("text_key", "start", "number").distinct()
     aligned = pairs.join(once.select("text_key", "start", "ids"), ["text_key", "start"]).join(tests, "number")
     align = F.pandas_udf(_align, "score int, first long, last long")
-    aligned = aligned.withColumn("found", align("ids", "item")).where(F.col("found.score") >= F.ceil(min_score * F.size("item") - 1e-9))
+    aligned = aligned.withColumn("found", align("ids", "item")).where(F.col("found.score") >= F.col("least"))
     hits = aligned.select(
         "text_key", "item_id", (F.col("found.score") / F.size("item")).alias("score"),
         (F.col("start") + F.col("found.first")).alias("first_word"), (F.col("start") + F.col("found.last")).alias("last_word"),
