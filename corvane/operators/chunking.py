@@ -148,6 +148,8 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text]
     rows = docs.select(*others, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("line_no", "line"))
     keys = [c for c in ("doc_id", "source", "path") if c in others]
+    if not keys:
+        raise ValueError("lines of different documents are told apart by doc_id, source or path")
     fences = F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
     level = F.when(fences % 2 == 0, heading_level("line"))
     return rows.withColumn("level", level).withColumn("title", F.when(F.col("level").isNotNull(), F.regexp_extract("line", r"^#{1,6}\s+(.*?)\s*#*\s*$", 1)))

@@ -56,22 +56,19 @@ def mean_metrics(per_query: DataFrame, by: list[str] | None = None) -> DataFrame
 
 
 def percentile(df: DataFrame, value: str, fraction: float, rule: str = "floor", by: str | None = None) -> DataFrame:
-    """An exact percentile by index: floor((n-1)f), ceil(fn)-1 or int(fn), from 0."""
+    """An exact percentile by index: floor((n-1)f), ceil(fn)-1 or int(fn), from 0; of all rows or for each group.
+
+    Equal values are counted first, so that only the different ones are put in order.
+    """
+    if rule not in ("floor", "ceil", "int"):
+        raise ValueError("rule is floor, ceil or int")
     keys = [by] if by else []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     part = W.partitionBy(*keys)
-    n = F.count("*").over(part)
+    n, upto = F.sum("_n").over(part), F.sum("_n").over(part.orderBy("_v"))
     index = {"floor": F.floor((n - 1) * fraction), "ceil": F.ceil(n * fraction) - 1, "int": F.least(F.floor(n * fraction), n - 1)}[rule]
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(part.orderBy(value)) - 1).withColumn("_wanted", F.greatest(index, F.lit(0).cast("long")))
-    return ranked.where("_at = _wanted").select(*keys, F.col(value).alias("percentile"))
-
-
-def exact_percentile_of_counts(df: DataFrame, value: str, fraction: float) -> DataFrame:
-    """The floor percentile from counts of equal values: the rows are added up first, and only distinct values are ordered."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    wanted = int((total - 1) * fraction) if total else 0
-    upto = F.sum("n").over(W.orderBy("v"))
-    return counts.withColumn("upto", upto).where(F.col("upto") > wanted).agg(F.min("v").alias("percentile"))
+    rows = counts.withColumn("_wanted", F.greatest(index, F.lit(0).cast("long"))).withColumn("_upto", upto)
+    return rows.where("_upto > _wanted").groupBy(*keys).agg(F.min("_v").alias("percentile"))
 
 
 def confusion(rows: DataFrame, expected: str, actual: str) -> DataFrame:

@@ -68,7 +68,8 @@ def test_percentiles(spark):
     rows = spark.createDataFrame([(float(k),) for k in range(1, 11)], "v double")
     got = {rule: metrics.percentile(rows, "v", 0.95, rule).first()[0] for rule in ("floor", "ceil", "int")}
     assert got == {"floor": 9.0, "ceil": 10.0, "int": 10.0}
-    assert metrics.exact_percentile_of_counts(rows, "v", 0.95).first()[0] == 9.0
+    grouped = rows.withColumn("g", F.col("v") > 5)
+    assert {r.g: r.percentile for r in metrics.percentile(grouped, "v", 0.5, by="g").collect()} == {False: 3.0, True: 8.0}
 
 
 def test_kappa_without_disagreement(spark):
