@@ -36,37 +36,39 @@ def query_terms(queries: DataFrame, query_id: str, text: str, tokenizer=tokens)
     return queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def term_weights(index: DataFrame, n_docs: int, variant: str = "lucene") -> DataFrame:
-    """Rows (term, idf). lucene: always positive; okapi: negative values become a quarter of the mean."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+def term_weights(df: DataFrame, n_docs: int, mean: float | None = None) -> DataFrame:
+    """Rows (term, idf) of (term, df). Without ``mean`` always positive; with it, negative values become a quarter of it."""
     ratio = (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    if variant == "lucene":
+    if mean is None:
         return df.select("term", F.log(1 + ratio).alias("idf"))
-    if variant != "okapi":
-        raise ValueError("variant must be lucene or okapi")
-    raw = df.select("term", F.log(ratio).alias("idf"))
-    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
-    return raw.select("term", F.when(F.col("idf") < 0, F.lit(0.25 * mean)).otherwise(F.col("idf")).alias("idf"))
+    return df.select("term", F.when(ratio < 1, F.lit(0.25 * mean)).otherwise(F.log(ratio)).alias("idf"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, variant: str = "lucene", k1: float = 1.5, b: float = 0.75, searched: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, doc_id, score) of all pairs with a common term.
 
     The statistics are those of ``docs``; only rows of ``searched`` (doc_id), if given,
-    are scored, so access rules apply before any cut. Only terms of the queries are
-    kept of the postings, before anything is shuffled for a join.
+    are scored, so access rules apply before any cut. Of the documents' tokens only
+    those that a query has are ever shuffled. The okapi variant's mean weight is over all
+    terms, and so needs a count of each.
     """
+    if variant not in ("lucene", "okapi"):
+        raise ValueError("variant must be lucene or okapi")
     wanted = query_terms(queries, query_id, query_text)
-    index = postings(docs)
-    length = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    n_docs, mean = docs.count(), length.agg(F.avg("dl")).first()[0] or 1.0
-    weights = term_weights(index, n_docs, variant)
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    rows = docs.select("doc_id", tokens("text").alias("terms")).withColumn("dl", F.size("terms"))
+    n_docs, mean = docs.count(), rows.where("dl > 0").agg(F.avg("dl")).first()[0] or 1.0
+    asked = wanted.select("term").distinct()
+    hits = rows.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    usual = None
+    if variant == "okapi":
+        every = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+        usual = every.agg(F.avg(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0] or 0.0
+    weights = term_weights(hits.groupBy("term").agg(F.count("*").alias("df")), n_docs, usual)
     if searched is not None:
         hits = hits.join(searched.select("doc_id"), "doc_id", "left_semi")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    return hits.join(length, "doc_id").join(weights, "term").join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return hits.join(wanted.join(weights, "term"), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10, **options) -> DataFrame:
