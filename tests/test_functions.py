@@ -141,3 +141,16 @@ def test_sql_functions(spark):
     registration.register_functions(spark)
     row = spark.sql("select corvane_rrf(1, 60) as a, corvane_backoff(3) as b, corvane_slug('A b!') as c, corvane_calculate('2 * (3 + 4)') as d, corvane_calculate('__import__') as e").first()
     assert (round(row.a, 6), row.b, row.c, row.d, row.e) == (round(1 / 61, 6), 16.0, "a-b", 14.0, None)
+
+
+def test_metadata(spark):
+    from corvane.functions import metadata
+
+    lit = lambda v: F.lit(v).cast("string")
+    assert one(spark, metadata.time_info(lit(""), lit(None), lit("2026-01-02"), lit("v1"))) == "created_at=2026-01-02"
+    card = one(spark, metadata.source_card(lit(" "), lit(None), lit("/a/b/report.pdf"), lit("x\n\n y"), F.lit(0.123456)))
+    assert tuple(card) == ("report", "/a/b/report.pdf", "x y", 0.1235)
+    assert one(spark, metadata.user_session(lit("a_b"), lit("s"))) == "a__b_s"
+    assert one(spark, metadata.number_list(lit("[1, 2.5; 3]"))) == [1.0, 2.5, 3.0]
+    assert one(spark, metadata.number_list(lit("1, x"))) is None
+    assert one(spark, metadata.scalar(F.array(lit("a"), lit(""), lit("b")))) == "a,b"
