@@ -6,12 +6,13 @@ from .base import Query
 from .corpus import catalogue as corpus
 from .evaluations import catalogue as evaluations
 from .records import catalogue as records
+from .relations import catalogue as relations
 from .retrieval import catalogue as retrieval
 
 
 def queries() -> dict[str, Query]:
-    return retrieval.queries | corpus.queries | records.queries | evaluations.queries
+    return retrieval.queries | corpus.queries | records.queries | relations.queries | evaluations.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.sql | corpus.sql | records.sql | evaluations.sql
+    return retrieval.sql | corpus.sql | records.sql | relations.sql | evaluations.sql
