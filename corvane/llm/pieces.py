@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 BPE = 2
-#: Entries that each memory of a task may hold before it starts anew; longer stretches are not remembered.
-REMEMBERED, LONGEST = 1 << 17, 64
+#: Stretches that a task remembers in each of two generations, how long they may be, and pairs of pieces that it remembers.
+REMEMBERED, LONGEST, PAIRS = 1 << 18, 64, 1 << 19
 INFINITE = float("inf")
 
 
@@ -78,12 +78,14 @@ class PieceTransducer:
                     raise ValueError("only the identity normaliser with a space in front is supported")
         if min(self.bytes) < 0:
             raise ValueError("the model has no byte fallback")
+        if 0 in self.ids.values():
+            raise ValueError("id 0 is a piece; it has to be a special symbol")
         if any(c not in self.ids for piece in self.ids for c in piece):
             raise ValueError("a piece holds a character that is no piece")
         self.stretches = self._cutter()
         #: What a walk along the arcs may have read so far.
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.kept_pairs: dict[tuple[str, str], bool] = {}
+        self.kept_pairs: dict[int, bool] = {}
         self.encoded = _Stretches(self)
 
     def _cutter(self) -> re.Pattern:
@@ -118,40 +120,42 @@ class PieceTransducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def keeps(self, left: str, right: str) -> bool:
-        """Whether merging keeps these neighbours apart and whole; ``left`` may be empty."""
-        if len(self.kept_pairs) >= REMEMBERED:
+    def keeps(self, pair: int) -> bool:
+        """Whether merging keeps two neighbours (their ids, the left one times 2^32; 0: none) apart and whole."""
+        if len(self.kept_pairs) >= PAIRS:
             self.kept_pairs.clear()
-        found = self.kept_pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        left, right = (self.text_of[i].decode() if i else "" for i in divmod(pair, 1 << 32))
+        found = self.kept_pairs[pair] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def shortest_path(self, stretch: str) -> list[int]:
         """Piece ids on the path of least weight through one stretch."""
         n, ids = len(stretch), self.ids
         weight = [0.0] + [INFINITE] * n
-        last: list[tuple[int, str]] = [(-1, "")] * (n + 1)
+        arc, start_of = [0] * (n + 1), [0] * (n + 1)  # the last piece (0: a character as bytes) of the best path to each place
         prefixes, kept, keeps = self.prefixes, self.kept_pairs, self.keeps
         for start in range(n):
-            if weight[start] == INFINITE:
+            step = weight[start] + 1
+            if step == INFINITE:
                 continue
-            before, step = last[start][1], weight[start] + 1
+            before = arc[start] << 32
             if stretch[start] not in ids:  # an unknown character: its bytes, and nothing merges across it
                 if step < weight[start + 1]:
-                    weight[start + 1], last[start + 1] = step, (start, "")
+                    weight[start + 1], arc[start + 1], start_of[start + 1] = step, 0, start
                 continue
             for end in range(start + 1, n + 1):
                 piece = stretch[start:end]
                 if piece not in prefixes:
                     break
-                if step < weight[end] and piece in ids:
-                    allowed = kept.get((before, piece))
-                    if allowed or allowed is None and keeps(before, piece):
-                        weight[end], last[end] = step, (start, piece)
+                if step < weight[end] and (own := ids.get(piece)):
+                    allowed = kept.get(before | own)
+                    if allowed or allowed is None and keeps(before | own):
+                        weight[end], arc[end], start_of[end] = step, own, start
         path: list[int] = []
         end = n
         while end:
-            start, piece = last[end]
-            path.extend([ids[piece]] if piece else [self.bytes[b] for b in reversed(stretch[start:end].encode("utf-8", "surrogatepass"))])
+            start = start_of[end]
+            path.extend([arc[end]] if arc[end] else [self.bytes[b] for b in reversed(stretch[start:end].encode("utf-8", "surrogatepass"))])
             end = start
         return path[::-1]
 
