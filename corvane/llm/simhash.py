@@ -11,6 +11,12 @@ A segment value that more than ``bucket`` different fingerprints share is not
 joined there, as that would make all pairs of a group. Its fingerprints go to
 an exact second index instead: the Hamming ball around the whole fingerprint,
 in which no key can gather more than 65 fingerprints.
+
+Copies with edits differ in too many bits for that: at a Jaccard similarity of
+0.8 in 10 of 64. keep_one_of_each therefore also looks for texts that share one of
+BANDS keys, each of ROWS minima of hashed shingles, and links those whose shingle
+sets reach the similarity, compared exactly. A pair at 0.8 shares no key with
+probability (1 - 0.8 ** ROWS) ** BANDS = 0.0004.
 """
 
 from __future__ import annotations
@@ -23,18 +29,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, stored
+from .common import narrow_name, small_side, stored
 from .components import connected_components
 
 #: Texts are hashed in blocks of so many shingles, which bounds a task's memory for long texts.
 BLOCK = 1 << 16
+#: Keys of a text by which edited copies are looked for, and minima in each.
+BANDS, ROWS = 20, 5
+_RANDOM = np.random.default_rng(20)
+_FLIPS, _FACTORS = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+#: Shingles whose minima are taken at a time: the block stays in the processor's cache.
+MINIMA_BLOCK = 1 << 9
+#: Texts of a key that are compared pair by pair; those of larger keys are first held against a few centres.
+CROWD = 32
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash of the word shingles, repeats included; no words: 0."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    value = 0
+    for value, _ in _hashed(text, words, seed):
+        pass
+    return value
+
+
+def band_keys(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, list[int]]:
+    """The fingerprint, and BANDS keys of the set of word shingles; no words: none."""
+    value, least = 0, np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for value, hashes in _hashed(text, words, seed):
+        for at in range(0, len(hashes), MINIMA_BLOCK):
+            np.minimum(least, ((hashes[at : at + MINIMA_BLOCK] ^ _FLIPS[:, None]) * _FACTORS[:, None]).min(axis=1), out=least)
+    raw, step = least.tobytes(), 8 * ROWS
+    keys = [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) - (1 << 63) for k in range(BANDS)]
+    return value, keys if (text or "").split() else []
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_set(text: str | None, words: int = 5) -> set[bytes]:
+    """The word shingles; a text of fewer words is one shingle."""
+    parts = _words(text)
+    return {b" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def _hashed(text: str | None, words: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Block by block, the fingerprint so far and the block's hashes of shingles; none if there are no words."""
+    parts = _words(text)
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     ends = np.cumsum(lengths + 1) - 1
@@ -46,7 +89,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
         pairs = zip(starts[at : min(at + BLOCK, n)].tolist(), ends[at : min(at + BLOCK, n)].tolist(), strict=True)
         hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], dtype=">u8")
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+        yield int.from_bytes(np.packbits(2 * total > n).tobytes(), "big"), hashes.astype(np.uint64)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, out: str = "fp") -> DataFrame:
@@ -149,20 +192,107 @@ def fingerprint_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
     return docs.join(joined, docs.fp.eqNullSafe(joined.fp)).select(docs.doc_id, docs.fp, "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5) -> DataFrame:
+def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    """place, doc_id, fp (fingerprint), same (digest of the words in order) and keys (of band_keys) of each text."""
+
+    @F.pandas_udf("fp long, same string, keys array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [band_keys(t, words) for t in texts]
+            fps = np.array([fp for fp, _ in found], dtype=np.uint64).view(np.int64)
+            same = [xxhash.xxh3_128_hexdigest(b" ".join(_words(t))) for t in texts]
+            yield pd.DataFrame({"fp": fps, "same": same, "keys": [keys for _, keys in found]})
+
+    return docs.select("place", "doc_id", sketch("text").alias("s")).select("place", "doc_id", "s.*")
+
+
+def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after the labels that ``links`` (a, b) join have become one."""
+    if links.isEmpty():
+        return labelled
+    labels = connected_components(links, "a", "b")
+    joined = labelled.join(labels, labelled.label == labels.node, "left")
+    return stored(joined.select(labelled.node, F.coalesce("component", "label").alias("label")), "simhash-labels")
+
+
+def _similar_labels(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Different (a, b) labels of those pairs (x, lx, y, ly) of texts whose shingle sets have the Jaccard similarity."""
+
+    @F.pandas_udf("boolean")
+    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, last, last_set = [], None, set()
+        for one, other in zip(left, right, strict=True):
+            if other != last:
+                last, last_set = other, shingle_set(other, words)
+            own = shingle_set(one, words)
+            common = len(own & last_set)
+            out.append(common > 0 and common >= similarity * (len(own) + len(last_set) - common) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    needed = stored(pairs.select(F.col("x").alias("place")).union(pairs.select("y")).distinct(), "simhash-needed")
+    texts = texts.join(small_side(needed), "place", "left_semi")
+    first = texts.select(F.col("place").alias("x"), F.col("text").alias("left"))
+    second = texts.select(F.col("place").alias("y"), F.col("text").alias("right"))
+    both = pairs.join(first, "x").join(second, "y")
+    return both.where(similar("left", "right")).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
+
+
+def _join_similar(shelves: DataFrame, labelled: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(node, label) after texts that share a key and have the similarity have the same label.
+
+    ``shelves`` are rows (node, key). Pairs of a key are compared unless their
+    labels are equal already. A key of more than CROWD nodes is not paired at once:
+    its nodes are held against some centres, the least of each of ``slots`` hashed
+    parts, which usually joins them all. Centres are done then and leave the key,
+    and slots double each round, until each key is small or has one label.
+    """
+    slots = 1
+    while True:
+        rows = shelves.join(labelled, "node")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        # a table, as hot keys must not change and their rows are not dealt by key
+        mixed = stored(sizes.where("low != high").select("key", (F.col("n") > CROWD).alias("hot")), "simhash-mixed")
+        hot, cold = small_side(mixed.where("hot").select("key")), small_side(mixed.where("not hot").select("key"))
+        few = stored(rows.join(cold, "key", "left_semi"), "simhash-few")
+        one, other = few.select("key", F.col("node").alias("x"), F.col("label").alias("lx")), few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
+        pairs = one.join(other, "key").where("x > y and lx != ly").select("x", "lx", "y", "ly")
+        more = not hot.isEmpty()
+        if more:
+            crowd = stored(rows.join(hot, "key", "left_semi"), "simhash-crowd")
+            centre = F.min(F.struct(F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label")).alias("c")
+            centres = crowd.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(centre)
+            centres = stored(centres.select("key", F.col("c.node").alias("y"), F.col("c.label").alias("ly")), "simhash-centres")
+            near = crowd.select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(small_side(centres), "key")
+            pairs = pairs.union(near.where("lx != ly").select("x", "lx", "y", "ly"))
+            done = centres.select("key", F.col("y").alias("node"))
+            shelves = crowd.select("node", "key").join(small_side(done), ["key", "node"], "left_anti")
+        pairs = stored(pairs.distinct(), "simhash-pairs")
+        if not pairs.isEmpty():
+            labelled = _relabelled(labelled, stored(_similar_labels(pairs, texts, similarity, words), "simhash-links"))
+        if not more:
+            return labelled
+        slots *= 2
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near copies: that with the smallest doc_id, of equals the first; all columns stay.
 
+    Texts are near copies if their fingerprints differ in at most ``radius`` bits, or
+    their sets of shingles have a Jaccard similarity of at least ``similarity``.
     The input is stored once with each row's place, so that exactly one row stays
     of rows that repeat, with or without a doc_id.
     """
     place = narrow_name(docs, "place")
     base = stored(docs.withColumn(place, F.monotonically_increasing_id()), "simhash-input")
-    fps = stored(with_fingerprint(base.select(F.col(place).alias("place"), "doc_id", "text"), words=words).select("place", "doc_id", "fp"), "simhash-fp")
+    texts = base.select(F.col(place).alias("place"), "doc_id", "text")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    nodes = stored(fps.groupBy("fp").agg(F.min(best).alias("best")), "simhash-nodes")
-    links = stored(similar_fingerprints(nodes.select("fp"), radius), "simhash-links")
-    labels = connected_components(links, "a", "b")
-    groups = nodes.join(labels, nodes.fp == labels.node, "left").groupBy(F.coalesce("component", "fp").alias("group"))
+    found = stored(_sketched(texts, words), "simhash-fp").groupBy("same").agg(F.min(best).alias("best"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = stored(found.select(F.col("best.place").alias("node"), "best", "fp", "keys"), "simhash-nodes")
+    links = stored(similar_fingerprints(nodes.select("fp").distinct(), radius), "simhash-links")
+    labelled = _relabelled(stored(nodes.select("node", F.col("fp").alias("label")), "simhash-labels"), links)
+    shelves = nodes.select("node", F.explode("keys").alias("key"))
+    labelled = _join_similar(shelves, labelled, texts, similarity, words)
+    groups = nodes.join(labelled, "node").groupBy("label")
     kept = groups.agg(F.min("best").alias("best")).select(F.col("best.place").alias(place))
     return base.join(kept, place, "left_semi").select(docs.columns)
 
