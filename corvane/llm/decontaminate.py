@@ -2,7 +2,8 @@
 
 A document holds a copy of a test item of m words if a local alignment of their
 words (match +1, mismatch -1, gap -1) scores at least ``min_score * m``, and at least 8
-or, of shorter items, m. Such an alignment loses at most U points, the rest of m. One
+or, of shorter items, m; or, of an item however long, EXCERPT. An alignment of the whole
+item loses at most U points, the rest of m. One
 lost point destroys at most two of the item's word n-grams (n = 3: an insertion; a
 substitution costs two points and destroys three), so
 
@@ -11,6 +12,11 @@ substitution costs two points and destroys three), so
 * the copy keeps at least m - 2 - 2 U n-grams near the seed: passages with fewer
   are not aligned, also without loss.
 
+Items of which EXCERPT words are less than their share have all their n-grams as
+seeds. An excerpt that scores EXCERPT and has lost u points has EXCERPT + u matches
+in at most u + 1 runs, and keeps at least EXCERPT - 2 - u n-grams: the search is without
+loss up to EXCERPT_LOSS lost points. Letters of scripts without spaces are words of their own.
+
 Spark jobs: count the items' n-grams over all documents; cut out passages around
 seeds; join passages to items on seeds; align each pair. The benchmark is worked
 through in parts of at most about ``part_words`` words, which bounds what is
@@ -33,18 +39,25 @@ from .common import narrow_name, small_side, stored
 N = 3
 #: Score below which an alignment of a few words is no copy.
 LEAST = 8
-WORD = re.compile(r"\w+")
+#: Score that suffices for a copy of any longer item, and lost points up to which all such excerpts are found.
+EXCERPT, EXCERPT_LOSS = 30, 20
+#: Han, kana, Thai, Lao, Myanmar, Khmer: no spaces between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(rf"(?:(?![{UNSPACED}])\w)+|(?=\w)[{UNSPACED}]")
+PLAIN = re.compile(r"\w+")
+ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
 #: Word numbers of a part stay below this, so that three of them fit a long.
 BASE = 1 << 21
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (WORD if ANY_UNSPACED.search(text) else PLAIN).findall(text)
 
 
 def least_score(m: int, min_score: float) -> int:
-    """Score that a copy of an item of ``m`` words needs: its share, and at least LEAST or all of a shorter item."""
-    return max(int(np.ceil(min_score * m - 1e-9)), min(m, LEAST))
+    """Score that a copy of an item of ``m`` words needs: its share, and at least LEAST or all of a shorter item; EXCERPT is enough."""
+    return min(max(int(np.ceil(min_score * m - 1e-9)), min(m, LEAST)), EXCERPT)
 
 
 def grams_of(ids: np.ndarray) -> np.ndarray:
@@ -127,11 +140,15 @@ def _seeds(part: dict, counts: np.ndarray) -> tuple[dict[str, np.ndarray], list[
     least = np.zeros(len(codes), dtype=np.int64)
     rows = []
     for number, (_, ids) in enumerate(part["items"]):
-        loss = len(ids) - least_score(len(ids), part["min_score"])
+        wanted = least_score(len(ids), part["min_score"])
+        whole = wanted >= part["min_score"] * len(ids) - 1e-9  # otherwise EXCERPT words suffice
+        loss = len(ids) - wanted
         grams = grams_of(ids)
         at = np.searchsorted(codes, grams)
         places = np.lexsort((grams, counts[at]))[: 2 * loss + 1]
-        need = max(1, len(ids) - 2 - 2 * loss)
+        need = max(1, len(ids) - 2 - 2 * loss) if whole else EXCERPT - 2 - EXCERPT_LOSS
+        if not whole:
+            places = np.arange(len(grams))
         for place in places.tolist():
             k = at[place]
             left[k] = max(left[k], place + loss)
@@ -222,7 +239,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6,
         raise ValueError("min_score must be above 0.5 and at most 1")
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    # each letter of scripts without spaces is a word
+    words = items.agg(F.sum(F.size(F.split(F.regexp_replace("text", f"[{UNSPACED}]", " x "), r"\s+")))).first()[0] or 0
     parts = -(-words // part_words)
     found = []
     for k in range(parts):
