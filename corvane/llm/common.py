@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +18,12 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where unset, as in tests."""
+    """Folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where unset and the master is local, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="corvane-")
     return _fallback["dir"]
@@ -63,6 +68,45 @@ def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: A key is hot if more than 1 / HOT_SHARE of all rows have it, and more than HOT_ROWS.
+HOT_SHARE, HOT_ROWS = 10_000, 1000
+
+
+def spread_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, values: list[str]) -> DataFrame:
+    """Left join of ``rows`` with ``keyed`` (stored; one row per ``key``, the number ``n`` of its rows, and ``values``).
+
+    Hot keys are broadcast, at most HOT_SHARE of them whatever the input's size, and
+    their rows are dealt evenly to the tasks that join the rest. ``key`` must hold no
+    nulls in ``rows``; neither side may have other columns in common.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = keyed.where(F.col(n) > limit).select(F.col(key).alias("_hot_key"), *(F.col(v).alias(f"_hot_{v}") for v in values))
+    flagged = rows.join(F.broadcast(hot), rows[key] == hot["_hot_key"], "left")
+    salt = F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int"))
+    flagged = flagged.withColumn("_salt", salt)
+    cold = keyed.where(F.col(n) <= limit).select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), *(F.col(v).alias(f"_cold_{v}") for v in values))
+    joined = flagged.join(cold, (flagged[key] == cold["_cold_key"]) & (flagged["_salt"] == cold["_cold_salt"]), "left")
+    return joined.select(*rows.columns, *(F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values))
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python get at most so many rows at a time, for the rest of the session: texts are long, and Spark's default is 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Let Python get at most so many rows at a time, for the rest of the session: texts are long, and Spark's default is 10,000.
+
+    For stages, whose plans run after they return; no result depends on it.
+    """
+    spark.conf.set(_BATCH, str(rows))
+
+
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """The same for plans that run within; afterwards the session is as before."""
+    before = spark.conf.get(_BATCH)
+    modest_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)

@@ -43,6 +43,7 @@ LEAST = 8
 EXCERPT, EXCERPT_LOSS = 30, 20
 #: Han, kana, Thai, Lao, Myanmar, Khmer: no spaces between words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_JAVA_UNSPACED = UNSPACED.replace("\U00020000-\U0003ffff", r"\x{20000}-\x{3ffff}")
 WORD = re.compile(rf"(?:(?![{UNSPACED}])\w)+|(?=\w)[{UNSPACED}]")
 PLAIN = re.compile(r"\w+")
 ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
@@ -95,13 +96,13 @@ def smith_waterman(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
 
 
 def _part(items: list, min_score: float) -> dict | None:
-    """Vocabulary, word numbers and n-gram codes of some (item_id, text) rows; None if no item has N words."""
+    """Vocabulary, word numbers and n-gram codes of some (key, text) rows; None if no item has N words."""
     vocabulary: dict[str, int] = {}
     numbered = []
-    for item_id, text in items:
+    for key, text in items:
         ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], dtype=np.int64)
         if len(ids) >= N:
-            numbered.append((item_id, ids))
+            numbered.append((key, ids))
     if not numbered:
         return None
     if len(vocabulary) >= BASE:
@@ -196,9 +197,10 @@ def _passages(docs: DataFrame, part: dict, seeds: dict[str, np.ndarray]) -> Data
                     out.append((doc_id, key, open_at, ids[open_at:reach], np.unique(found)))
             yield pd.DataFrame(out, columns=["doc_id", "text_key", "start", "ids", "codes"])
 
-    columns = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    return columns.mapInPandas(cut, f"doc_id {kind}, text_key string, start long, ids array<long>, codes array<long>")
+    # ids to Python as text: a null beside them would make pandas round large numbers
+    columns = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("text_key"), "text")
+    found = columns.mapInPandas(cut, "doc_id string, text_key string, start long, ids array<long>, codes array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
 def _align(ids: pd.Series, item: pd.Series) -> pd.DataFrame:
@@ -212,18 +214,18 @@ def _find_part(docs: DataFrame, items: list, min_score: float) -> DataFrame | No
     reach, rows = _seeds(part, _gram_counts(docs, part))
     passages = stored(_passages(docs, part, reach), "decontaminate")
     seeds = spark.createDataFrame(rows, "code long, number int")
-    tests = spark.createDataFrame([(k, i, ids.tolist(), least_score(len(ids), min_score)) for k, (i, ids) in enumerate(part["items"])], "number int, item_id long, item array<long>, least int")
+    tests = spark.createDataFrame([(k, i, ids.tolist(), least_score(len(ids), min_score)) for k, (i, ids) in enumerate(part["items"])], "number int, item_key string, item array<long>, least int")
     once = passages.groupBy("text_key", "start").agg(F.first("ids").alias("ids"), F.first("codes").alias("codes"))
     pairs = once.select("text_key", "start", F.explode("codes").alias("code")).join(seeds, "code").select("text_key", "start", "number").distinct()
     aligned = pairs.join(once.select("text_key", "start", "ids"), ["text_key", "start"]).join(tests, "number")
     align = F.pandas_udf(_align, "score int, first long, last long")
     aligned = aligned.withColumn("found", align("ids", "item")).where(F.col("found.score") >= F.col("least"))
     hits = aligned.select(
-        "text_key", "item_id", (F.col("found.score") / F.size("item")).alias("score"),
+        "text_key", "item_key", (F.col("found.score") / F.size("item")).alias("score"),
         (F.col("start") + F.col("found.first")).alias("first_word"), (F.col("start") + F.col("found.last")).alias("last_word"),
     )
-    best = hits.groupBy("text_key", "item_id").agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b"))
-    best = best.select("text_key", "item_id", "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word")
+    best = hits.groupBy("text_key", "item_key").agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b"))
+    best = best.select("text_key", "item_key", "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word")
     return passages.select("doc_id", "text_key").distinct().join(best, "text_key")
 
 
@@ -238,28 +240,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6,
     if not 0.5 < min_score <= 1:
         raise ValueError("min_score must be above 0.5 and at most 1")
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    # each letter of scripts without spaces is a word
-    words = items.agg(F.sum(F.size(F.split(F.regexp_replace("text", f"[{UNSPACED}]", " x "), r"\s+")))).first()[0] or 0
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    # each text once, however many items repeat it; parts by a hash of the text have about part_words words, or one text
+    texts = stored(tests.groupBy(F.md5("text").alias("item_key")).agg(F.first("text").alias("text")), "benchmark-texts")
+    words = texts.agg(F.sum(F.regexp_count("text", F.lit(rf"(?U)[{_JAVA_UNSPACED}]|\w+")))).first()[0] or 0
     parts = -(-words // part_words)
     found = []
     for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else items
+        own = texts.where(F.pmod(F.xxhash64("item_key"), F.lit(parts)) == k) if parts > 1 else texts
         found.append(_find_part(docs, [tuple(r) for r in own.collect()], min_score))
     found = [x for x in found if x is not None]
+    columns = ["doc_id", "text_key", "item_id", "score", "first_word", "last_word"]
     if not found:
-        kind = dict(docs.dtypes)["doc_id"]
-        return spark.createDataFrame([], f"doc_id {kind}, text_key string, item_id long, score double, first_word long, last_word long")
-    return reduce(DataFrame.union, found).select("doc_id", "text_key", "item_id", "score", "first_word", "last_word")
+        return docs.select("doc_id", F.md5("text").alias("text_key")).where("false").select("doc_id", "text_key", *(F.lit(None).cast(kind).alias(c) for c, kind in zip(columns[2:], ("long", "double", "long", "long"), strict=True)))
+    keys = tests.select("item_id", F.md5("text").alias("item_key"))
+    return reduce(DataFrame.union, found).join(keys, "item_key").select(columns)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6) -> DataFrame:
-    """``docs`` without those whose text holds a copy of a test item; all columns stay as they are."""
+    """``docs`` without those whose text holds a copy of a test item; all columns stay as they are.
+
+    If there are too many such texts for a broadcast, the join is a shuffled one by
+    text, in which Spark splits the documents of a text that many share.
+    """
     key = narrow_name(docs, "text_key")
     bad = stored(contaminated(docs, benchmark, min_score).select(F.col("text_key").alias(key)).distinct(), "contaminated")
     return docs.withColumn(key, F.md5("text")).join(small_side(bad), key, "left_anti").select(docs.columns)
 
 
 def op3_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Columns doc_id, item_id, score, first_word, last_word; see contaminated()."""
+    """Columns doc_id, item_id, score, first_word, last_word; see contaminated().
+
+    Documents without a copy have no row. Of alignments with the same score (ties) the
+    earliest start counts, then the longest. Texts of any length are searched whole;
+    an empty table on either side gives no rows; columns of other names are ignored.
+    """
     return contaminated(docs, benchmark).select("doc_id", "item_id", "score", "first_word", "last_word")

@@ -1,16 +1,20 @@
 """Licence scans: exact phrases, and notices with a few edits.
 
 A text is reduced to its words, joined by single spaces. Notices are searched in
-that form with up to ``errors`` edits of characters. By the pigeonhole principle,
-of errors + 1 pieces of a notice one stands unchanged in every such copy: the
-pieces are searched exactly, and only around them does the regex library's
-bounded-error matching run.
+that form with up to ``errors`` edits of characters. What tells one licence from
+another (its name and version) has to stand there letter for letter, as whole
+words; edits may fall on the rest of a notice only. By the pigeonhole principle, of
+errors + 1 pieces of a notice one stands unchanged in every such copy: the pieces
+are searched exactly, and only around them does the regex library's bounded-error
+matching run.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -20,20 +24,66 @@ from pyspark.sql import functions as F
 # The phrases and labels of the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Short notices by label, in the reduced form, and the edits allowed in each.
+#: Short notices in the reduced form, their labels, and the edits allowed outside the braces. Words in braces are exact.
 NOTICES = (
-    ("released under the mit license", "mit", 3),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
-    ("licensed under the apache license version 2 0", "apache-2", 4),
-    ("licensed under cc by nc 4 0", "cc-by-nc", 2),
-    ("licensed under cc by sa 4 0", "cc-by-sa", 2),
-    ("licensed under cc by 4 0", "cc-by", 2),
-    ("licensed under the gnu general public license version", "gpl", 4),
-    ("licensed under the gnu lesser general public license version", "lgpl", 4),
-    ("redistribution and use in source and binary forms", "bsd", 4),
-    ("licensed under the mozilla public license version 2 0", "mpl-2", 4),
+    ("released under the {mit} license", "mit", 3),
+    ("licensed under the {mit} license", "mit", 3),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", 8),
+    ("licensed under the {apache} license version {2 0}", "apache-2", 4),
+    ("released under the {apache} license {2 0}", "apache-2", 3),
+    ("licensed under the {apache} license version {1 1}", "apache-1.1", 4),
+    ("licensed under the {gnu general} public license version {2}", "gpl-2", 4),
+    ("licensed under the {gnu general} public license version {3}", "gpl-3", 4),
+    ("terms of the {gnu general} public license as published by the free software foundation", "gpl", 6),
+    ("licensed under the {gnu lesser general} public license version {2 1}", "lgpl-2.1", 4),
+    ("licensed under the {gnu lesser general} public license version {3}", "lgpl-3", 4),
+    ("terms of the {gnu lesser general} public license as published by the free software foundation", "lgpl", 6),
+    ("licensed under the {gnu affero general} public license version {3}", "agpl-3", 4),
+    ("terms of the {gnu affero general} public license as published by the free software foundation", "agpl", 6),
+    ("licensed under the {mozilla} public license version {2 0}", "mpl-2", 4),
+    ("subject to the terms of the {mozilla} public license v {2 0}", "mpl-2", 4),
+    ("licensed under the {mozilla} public license version {1 1}", "mpl-1.1", 4),
+    ("licensed under the {eclipse} public license version {2 0}", "epl-2", 4),
+    ("licensed under the {eclipse} public license version {1 0}", "epl-1", 4),
+    ("released under the {bsd} license", "bsd", 3),
+    ("licensed under the {bsd} license", "bsd", 3),
+    ("licensed under the {bsd 2} clause license", "bsd-2-clause", 3),
+    ("licensed under the {bsd 3} clause license", "bsd-3-clause", 3),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 6),
+    ("released under the {isc} license", "isc", 3),
+    ("licensed under the {isc} license", "isc", 3),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 8),
+    ("licensed under the {boost} software license version {1 0}", "bsl-1", 4),
+    ("released under the {zlib} license", "zlib", 3),
+    ("this is free and unencumbered software released into the {public domain}", "unlicense", 5),
+    ("licensed under {cc by} {version}", "cc-by", 2),
+    ("licensed under {cc by sa} {version}", "cc-by-sa", 2),
+    ("licensed under {cc by nc} {version}", "cc-by-nc", 2),
+    ("licensed under {cc by nd} {version}", "cc-by-nd", 2),
+    ("licensed under {cc by nc sa} {version}", "cc-by-nc-sa", 2),
+    ("licensed under {cc by nc nd} {version}", "cc-by-nc-nd", 2),
+    ("licensed under a {creative commons attribution} {version} international license", "cc-by", 4),
+    ("licensed under a {creative commons attribution sharealike} {version} international license", "cc-by-sa", 4),
+    ("licensed under a {creative commons attribution noncommercial} {version} international license", "cc-by-nc", 4),
+    ("licensed under a {creative commons attribution noderivatives} {version} international license", "cc-by-nd", 4),
+    ("licensed under a {creative commons attribution noncommercial sharealike} {version} international license", "cc-by-nc-sa", 4),
+    ("licensed under a {creative commons attribution noncommercial noderivatives} {version} international license", "cc-by-nc-nd", 4),
+    ("dedicated to the public domain under {cc0 1 0}", "cc0", 4),
 )
 
+#: Identifiers of the SPDX list, in the reduced form, with the labels used here.
+SPDX = (
+    ("mit", "mit"), ("apache 2 0", "apache-2"), ("apache 1 1", "apache-1.1"), ("bsd 2 clause", "bsd-2-clause"), ("bsd 3 clause", "bsd-3-clause"), ("isc", "isc"), ("zlib", "zlib"),
+    ("gpl 2 0 only", "gpl-2"), ("gpl 2 0 or later", "gpl-2"), ("gpl 3 0 only", "gpl-3"), ("gpl 3 0 or later", "gpl-3"), ("lgpl 2 1 only", "lgpl-2.1"), ("lgpl 2 1 or later", "lgpl-2.1"),
+    ("lgpl 3 0 only", "lgpl-3"), ("lgpl 3 0 or later", "lgpl-3"), ("agpl 3 0 only", "agpl-3"), ("agpl 3 0 or later", "agpl-3"), ("mpl 2 0", "mpl-2"), ("mpl 1 1", "mpl-1.1"), ("epl 2 0", "epl-2"), ("epl 1 0", "epl-1"),
+    ("bsl 1 0", "bsl-1"), ("unlicense", "unlicense"), ("cc0 1 0", "cc0"), ("cc by 4 0", "cc-by"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("cc by nd 4 0", "cc-by-nd"),
+    ("cc by nc sa 4 0", "cc-by-nc-sa"), ("cc by nc nd 4 0", "cc-by-nc-nd"),
+)
+#: Every notice that scan() looks for unless told otherwise.
+ALL_NOTICES = (*NOTICES, *((f"spdx license identifier {{{name}}}", label, 2) for name, label in SPDX))
+
+#: Versions that creative commons licences have had.
+VERSION = r"(?:[123] 0|2 5|4 0)"
 _TABLE = bytes(c if c >= 128 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else ord(chr(c).lower()) if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for c in range(256))
 
 
@@ -44,46 +94,75 @@ def reduced(text: str | None) -> list[bytes]:
 
 @dataclass
 class Notice:
-    """A notice, its label, and its pieces with their offsets."""
+    """A notice (exact words in braces), its label, the edits allowed, its pieces with their offsets."""
 
-    text: str
+    template: str
     label: str
     errors: int
+    text: str = field(init=False)
+    exact: list[str] = field(init=False)
     pieces: list[tuple[str, int]] = field(init=False)
     pattern: regex.Pattern = field(init=False)
 
     def __post_init__(self):
+        sample = self.template.replace("{version}", "{4 0}")
+        self.text = sample.replace("{", "").replace("}", "")
+        self.exact = [x for x in regex.findall(r"\{(.*?)\}", self.template) if x != "version"]
         n, parts = len(self.text), self.errors + 1
         cuts = [n * k // parts for k in range(parts + 1)]
         self.pieces = [(self.text[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.pattern = regex.compile(f"(?:{regex.escape(self.text, literal_spaces=True)}){{e<={self.errors}}}", regex.BESTMATCH)
+        if "{version}" in self.template:  # no piece may hold a version's digits
+            at = sample.index("{4 0}") - sample[: sample.index("{4 0}")].count("{") - sample[: sample.index("{4 0}")].count("}")
+            self.pieces = [(piece, a) for piece, a in self.pieces if a + len(piece) <= at or a >= at + 3] + [(self.exact[0], self.text.index(self.exact[0]))]
+        body = "".join(self._part(x) for x in regex.split(r"(\{.*?\})", self.template) if x)
+        self.pattern = regex.compile(rf"(?<![^ ]){body}(?![^ ])", regex.BESTMATCH)
+
+    def _part(self, part: str) -> str:
+        if part == "{version}":
+            return VERSION
+        if part[0] == "{":
+            return rf"(?<![^ ]){part[1:-1]}(?![^ ])"
+        if len(part) == 1:
+            return part
+        # in a short stretch one letter may be put in at most: "unlicensed" is no edit of "licensed"
+        inserted = 1 if len(part) <= 24 else self.errors
+        return rf"(?:{regex.escape(part, literal_spaces=True)}){{i<={inserted},d<={self.errors},s<={self.errors},e<={self.errors}}}"
 
     def search(self, joined: str) -> list[tuple[int, int, int]]:
         """(start, end, edits) of the matches around exact pieces, without overlaps."""
-        windows = []
+        if not all(x in joined for x in self.exact):
+            return []
+        windows = set()
         for piece, offset in self.pieces:
             at = joined.find(piece)
             while at >= 0:
-                windows.append((max(0, at - offset - self.errors), at - offset + len(self.text) + self.errors))
+                # one character more on both sides, for the word borders
+                windows.add((max(0, at - offset - self.errors - 1), at - offset + len(self.text) + self.errors + 1))
                 at = joined.find(piece, at + 1)
         found, reach = [], 0
         for begin, end in sorted(windows):
             m = self.pattern.search(joined, max(begin, reach), min(end, len(joined))) if end > reach else None
-            if m and m.end() > m.start():
+            if m and m.end() > m.start() and sum(m.fuzzy_counts) <= self.errors:
                 found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
                 reach = m.end()
         return found
 
 
+def _starts(words: list[bytes], length) -> list[int]:
+    """Where each word starts in the words joined by spaces."""
+    return list(accumulate((length(w) + 1 for w in words[:-1]), initial=0)) if words else []
+
+
 def phrase_places(words: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
     """(first word, label) wherever a phrase's words stand one after the other."""
     line = b" " + b" ".join(words) + b" "
-    found = []
+    found, starts = [], None
     for phrase, label in phrases:
         wanted = b" " + phrase.encode() + b" "
         at = line.find(wanted)
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
+            starts = starts if starts is not None else _starts(words, len)
+            found.append((bisect_right(starts, at) - 1, label))
             at = line.find(wanted, at + 1)
     return found
 
@@ -91,11 +170,14 @@ def phrase_places(words: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
 def best_matches(notices: list[Notice], joined: str) -> list[tuple[int, int, int, Notice]]:
     """(edits, start, end, notice) of matches that no better one overlaps: fewer edits, then longer, then the earlier notice."""
     every = [(edits, start - end, k, start, end) for k, notice in enumerate(notices) for start, end, edits in notice.search(joined)]
+    starts: list[int] = []
     kept: list[tuple[int, int, int, Notice]] = []
     for edits, _, k, start, end in sorted(every):
-        if all(end <= a or b <= start for _, a, b, _ in kept):
-            kept.append((edits, start, end, notices[k]))
-    return sorted(kept, key=lambda m: m[1:3])
+        at = bisect_right(starts, start)
+        if (not at or kept[at - 1][2] <= start) and (at == len(kept) or end <= kept[at][1]):
+            starts.insert(at, start)
+            kept.insert(at, (edits, start, end, notices[k]))
+    return kept
 
 
 _RESULT = (
@@ -104,32 +186,37 @@ _RESULT = (
 )
 
 
-def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", phrases=PHRASES, notices=NOTICES) -> DataFrame:
+def judged(text: str | None, notices: list[Notice], phrases=PHRASES) -> tuple:
+    """The fields of scan()'s struct for one text."""
+    words = reduced(text)
+    base = phrase_places(words, phrases)
+    letters = [w.decode("utf-8", "replace") for w in words]
+    joined = " ".join(letters)
+    found = best_matches(notices, joined)
+    starts = _starts(letters, len) if found else []
+    spans = [
+        {"label": notice.label, "first_word": bisect_right(starts, start) - 1, "last_word": bisect_right(starts, end - 1) - 1, "edits": edits}
+        for edits, start, end, notice in found
+    ]
+    best = max([1.0 if base else 0.0, *(1 - edits / len(notice.text) for edits, _, _, notice in found)])
+    places = [k for k, _ in base]
+    own = {label for _, label in base}
+    both = own | {s["label"] for s in spans}
+    return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(both)), best, spans
+
+
+def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", phrases=PHRASES, notices=ALL_NOTICES) -> DataFrame:
     """``docs`` with a struct: counts and places of phrases, labels, a score, and the spans (in words) of notices.
 
-    score is the share of unedited characters in the best match, 1 for a phrase, 0 without any.
+    score is the share of unedited characters in the best match, 1 for a phrase, 0
+    without any. A column named ``out`` is replaced.
     """
-    compiled = [Notice(*n) for n in notices]
-
-    def judge(text: str | None) -> tuple:
-        words = reduced(text)
-        base = phrase_places(words, phrases)
-        joined = b" ".join(words).decode("utf-8", "replace")
-        found = best_matches(compiled, joined)
-        spans = [
-            {"label": notice.label, "first_word": joined.count(" ", 0, start), "last_word": joined.count(" ", 0, end), "edits": edits}
-            for edits, start, end, notice in found
-        ]
-        best = max([1.0 if base else 0.0, *(1 - edits / len(notice.text) for edits, _, _, notice in found)])
-        starts = [k for k, _ in base]
-        own = {label for _, label in base}
-        both = own | {s["label"] for s in spans}
-        return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(both)), best, spans
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compiled = [Notice(*n) for n in notices]
         names = [x.split()[0] for x in _RESULT.split(", ")[:8]]
         for texts in batches:
-            rows = pd.DataFrame([judge(t) for t in texts], columns=names)
+            rows = pd.DataFrame([judged(t, compiled, phrases) for t in texts], columns=names)
             yield rows.astype({"first_word": "Int64", "last_word": "Int64"})
 
     return docs.withColumn(out, F.pandas_udf(run, _RESULT)(text_col))
@@ -138,8 +225,25 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", phrases
 def op9_licenses(docs: DataFrame) -> DataFrame:
     """Columns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
-    Null and empty texts have no words, no labels (empty strings) and score 0.
-    Repeated rows come out as often as they went in; other columns are ignored.
+    Null and empty texts have no words, no labels (empty strings) and score 0; texts
+    of any length are scanned whole. Of overlapping matches that with the fewest edits
+    counts, then the longest, then the earlier in the list (ties). Repeated rows come
+    out as often as they went in; an empty table gives no rows; columns of other
+    names are ignored.
     """
     rows = scan(docs.select("doc_id", "text"))
     return rows.select("doc_id", *(F.col(f"licenses.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")))
+
+
+#: The columns that rest on exact phrases, as SQL; the method's own labels are beyond it.
+BASE_SQL = r"""
+with cut as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), places as (
+  select doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda k: array_to_string(w[k:k + n - 1], ' ') = phrase)) - 1 as place
+  from cut, (values ('under the mit license', 'mit', 4), ('apache license version 2', 'apache-2', 4), ('cc by nc', 'cc-by-nc', 3)) p(phrase, label, n)
+), found as (
+  select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from places group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels
+from cut left join found using (doc_id)"""

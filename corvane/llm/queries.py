@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, licenses, pieces, quality, sharding, simhash, tokenfiles, toxicity, urlfilter, warc
-from .common import modest_batches, table
+from .common import batches_of, stored, table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _in_modest_batches(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        modest_batches(spark)
-        return query(spark, sf_dir)
+        with batches_of(spark):  # results are rows of a few numbers; as a table they need no batches later
+            return stored(query(spark, sf_dir), query.__name__)
 
     return run
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urlfilter.OP1_SQL}
+    return {"op1_url_filter": urlfilter.OP1_SQL, "op5_quality": quality.OP5_SQL, "op10_warc": warc.OP10_SQL}

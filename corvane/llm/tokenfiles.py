@@ -20,6 +20,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -36,8 +37,8 @@ from .common import fresh_path, stored
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<QQ8s")
 MAGIC = b"CVPLANE1"
-#: Ids after which a task goes on in another file.
-FILE_IDS = 1 << 24
+#: Ids, or documents, after which a task goes on in another file; documents that reading gives out at a time.
+FILE_IDS, FILE_DOCS, READ_DOCS = 1 << 24, 1 << 19, 1 << 14
 #: Words whose ids a task remembers in each of two generations.
 REMEMBERED = 1 << 19
 #: How the vocabulary writes a space.
@@ -207,6 +208,28 @@ class _WordIds(dict):
         return own
 
 
+def _splits_at_spaces(tokenizer) -> bool:
+    """Whether texts may be split where a space stands before a visible character.
+
+    So it is where nothing normalises, words are cut by the usual byte-level pattern
+    without a space put in front, and added tokens take no spaces to themselves and,
+    like <|endoftext|>, begin with punctuation and hold a letter: no plain word has them.
+    """
+    made = json.loads(tokenizer.to_str())
+    model, cutter = made["model"], made.get("pre_tokenizer") or {}
+    if made.get("normalizer") or made.get("truncation") or made.get("padding") or model["type"] != "BPE":
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+        return False
+    if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space", True) or not cutter.get("use_regex", True):
+        return False
+    return all(
+        not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"][0] in PUNCTUATION
+        and any(c.isalnum() for c in t["content"]) and not any(c.isspace() for c in t["content"])
+        for t in made.get("added_tokens", [])
+    )
+
+
 class WordwiseTokenizer:
     """The tokenizers library, asked once for each word.
 
@@ -214,15 +237,19 @@ class WordwiseTokenizer:
     follows; texts are split there and the words' ids remembered. Plain words, and such
     on both sides of a line end, are pieces for the library's model as they are; other
     words go through the whole tokenizer, and so do whole texts with other spaces.
+    With a tokenizer of any other kind, whole texts go through the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
-        self.ids = _WordIds(Tokenizer.from_file(path))
+        self.ids = _WordIds(Tokenizer.from_buffer(data))
+        self.by_word = _splits_at_spaces(self.ids.tokenizer)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return self.ids.whole(text)
         first, *rest = text.split(" ")
         try:
             return self.ids.whole(first) + b"".join(map(self.ids.__getitem__, rest))
@@ -231,9 +258,9 @@ class WordwiseTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordwiseTokenizer:
+def tokenizer(data: bytes) -> WordwiseTokenizer:
     """Loaded once in each Python worker."""
-    return WordwiseTokenizer(path)
+    return WordwiseTokenizer(data)
 
 
 def _open(uri: str, write: bool = False):
@@ -249,18 +276,22 @@ def write_id_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: st
 
     Manifest: path, part and number (their order is the files' order), n_docs, n_ids.
     Documents with equal doc_id are ordered by their text's hash, then by place in the
-    input, so that even one doc_id of many rows spreads over tasks. ``folder`` and
-    ``tokenizer_path`` must be open to all executors.
+    input, so that even one doc_id of many rows spreads over tasks. ``folder`` must be
+    open to all executors; ``tokenizer_path`` is read on the driver and travels with
+    the tasks. doc_id must be an integer of at most 64 bits.
     """
-    columns = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
+    with open(tokenizer_path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
     order = ["doc_id", "_hash", "_place"]
-    ranged = columns.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    # to Python as text: a null beside them would make pandas round large numbers
+    ranged = columns.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own, end = tokenizer(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        own, end = tokenizer(shared.value), np.array([end_id], dtype="<u4").tobytes()
         part, number, writer, stream, path = TaskContext.get().partitionId(), 0, None, None, ""
 
         def finished() -> pd.DataFrame:
@@ -269,14 +300,13 @@ def write_id_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: st
             return pd.DataFrame({"path": [path], "part": [part], "number": [number], "n_docs": [len(writer.lengths)], "n_ids": [writer.ids]})
 
         for batch in batches:
-            ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            for doc_id, text in zip(ids, batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if writer is None:
                     path = f"{folder}/{part:06d}-{number:04d}-{uuid.uuid4().hex}.ids"
                     stream = _open(path, write=True)
                     writer = IdFileWriter(stream, plane, block)
-                writer.add(doc_id, own.encode(text or "") + end)
-                if writer.ids >= FILE_IDS:
+                writer.add(None if doc_id is None else int(doc_id), own.encode(text or "") + end)
+                if writer.ids >= FILE_IDS or len(writer.lengths) >= FILE_DOCS:
                     yield finished()
                     number, writer = number + 1, None
         if writer is not None:
@@ -294,15 +324,19 @@ def read_id_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, start in zip(batch["path"], batch["base"], strict=True):
-                rows = []
                 with _open(path) as stream:
-                    for doc_id, pieces in IdFileReader(stream).documents():
-                        crc = n = 0
-                        for piece in pieces:
-                            crc, n = crc32(piece.tobytes(), crc), n + len(piece)
-                        rows.append((doc_id, start, n, crc))
-                        start += n
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    documents = IdFileReader(stream).documents()
+                    while rows := list(islice(documents, READ_DOCS)):
+                        out = []
+                        for _, pieces in rows:
+                            crc = n = 0
+                            for piece in pieces:
+                                crc, n = crc32(piece, crc), n + len(piece)
+                            out.append((start, n, crc))
+                            start += n
+                        found = pd.DataFrame(out, columns=["start", "n_tokens", "ids_crc32"])
+                        found.insert(0, "doc_id", pd.array([doc_id for doc_id, _ in rows], dtype="Int64"))
+                        yield found
 
     return files.repartition(min(n, 10_000), "path").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -311,7 +345,10 @@ def op8_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, plane
     """Columns doc_id, start, n_tokens, ids_crc32 for every row, as read back from the files.
 
     Null and empty texts consist of the end id alone; a null doc_id sorts first;
-    repeated rows are written as often as they went in; other columns are ignored.
+    repeated rows are written as often as they went in, and rows with the same doc_id
+    (ties) in the order of their texts' hashes. Texts of any length go in whole, over
+    as many blocks as they need. An empty table gives no files and no rows; other
+    columns are ignored.
     """
     folder = fresh_path(docs.sparkSession, "token-files")
     return read_id_files(write_id_files(docs, tokenizer_path, end_id, folder, plane))

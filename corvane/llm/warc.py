@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import fresh_path, spread_lookup, stored
 
 #: Bytes of records after which a task goes on in another file.
 FILE_BYTES = 1 << 27
@@ -71,12 +71,13 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Payloads of fewer than ``min_bytes`` bytes have no originals. Null counts as an
     empty payload. Rows that repeat the largest page_id are all their own; so are
-    rows without a page_id where no row with the payload has one.
+    rows without a page_id where no row with the payload has one. Payloads shuffle
+    once, and those of popular digests are dealt evenly over the tasks.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     last = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(last.select("digest", "last"), "digest", "left")
+    joined = spread_lookup(rows, stored(last, "warc-digests"), "digest", "n", ["last"])
     other = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("last")).alias("original"))
 
@@ -85,7 +86,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     """Write a capture for every row of ``pages`` (page_id, url, html); returns the manifest (path, n_records).
 
     ``folder`` must be open to all executors. Files have names of their own attempt,
-    and the manifest lists those of finished tasks.
+    and the manifest lists those of finished tasks. Ids go to Python as strings,
+    percent-encoded: numbers of any size and texts of any kind come back as they were.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +99,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
                 if stream is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     stream = system.open_output_stream(f"{base}/{name}", compression=None)
-                for record in capture_records(url, bytes(payload), *("" if pd.isna(x) else str(int(x)) for x in (page, original)), date):
+                for record in capture_records(url, bytes(payload), page or "", original or "", date):
                     stream.write(record)
                     size, n = size + len(record), n + 1
                 if size >= FILE_BYTES:
@@ -108,7 +110,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
             stream.close()
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "n_records": [n]})
 
-    return stored(with_originals(pages, min_bytes).mapInPandas(write, "path string, n_records long"), "warc-manifest")
+    as_text = lambda c: F.url_encode(F.col(c).cast("string")).alias(c)
+    rows = with_originals(pages, min_bytes).select(as_text("page_id"), "url", "payload", as_text("original"))
+    return stored(rows.mapInPandas(write, "path string, n_records long"), "warc-manifest")
 
 
 def records_of(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -192,14 +196,34 @@ def assemble(records: DataFrame) -> DataFrame:
 def op10_warc(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Columns page_id, payload_bytes, payload_digest, record_type, refers_to, n_requests for every row, as read back.
 
-    Null html is an empty payload. Of rows that repeat the largest page_id of a
-    payload each is a response. Rows without page_id come back without it.
+    Null html is an empty payload; a null url has no target. Of rows that repeat the
+    largest page_id of a payload (ties) each is a response. Rows without page_id come
+    back without it. An empty table gives no rows. Payloads of any length are written
+    whole; a record has to fit a task's memory. Columns of other names are ignored.
     """
     folder = fresh_path(pages.sparkSession, "warc")
     records = stored(read_records(pages.sparkSession, write_archives(pages, folder, min_bytes)), "warc-records")
     kind = dict(pages.dtypes)["page_id"]
-    field = lambda name: F.expr(f"try_cast(get(filter(metadata, x -> x.key = '{name}'), 0).value as {kind})")
+    stated = lambda name: F.expr(f"nullif(get(filter(metadata, x -> x.key = '{name}'), 0).value, '')")
+    value = lambda name: F.url_decode(stated(name)).cast(kind)
     return assemble(records).select(
-        field("page-id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.kind").alias("record_type"), field("refers-to-page").alias("refers_to"), F.size("requests").alias("n_requests"),
+        value("page-id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"), value("refers-to-page").alias("refers_to"), F.size("requests").alias("n_requests"),
     )
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base32 of the SHA-1: 5 hex digits are 20 bits, or 4 letters.
+OP10_SQL = f"""
+with payloads as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages
+), digests as (
+  select *, max(page_id) over (partition by hex) as last,
+    array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+      substr('{_LETTERS}', ((cast('0x' || substr(hex, cast(g * 5 + 1 as int), 5) as bigint) >> s) & 31) + 1, 1)), '')), '') as base32
+  from payloads
+)
+select page_id, cast(octet_length(encode(payload)) as bigint) as payload_bytes, base32 as payload_digest,
+  case when page_id = last then 'response' else 'revisit' end as record_type,
+  case when page_id = last then null else last end as refers_to, 1 as n_requests
+from digests"""

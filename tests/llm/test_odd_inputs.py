@@ -99,3 +99,42 @@ def test_archives(pages, spark):
     ])
     assert {r.payload_digest for r in rows if r.page_id == 9} == {warc.digest_of(b"a\r\n\r\nb")}
     assert warc.op10_warc(spark.createDataFrame([], PAGES)).count() == 0
+
+
+LARGE = [(2**53 + 1, "one text", "<p>same</p>"), (2**53 + 3, "one text", "<p>same</p>"), (None, "another", "<p>other</p>"), (-(2**62) - 1, "third", None)]
+
+
+def test_ids_of_64_bits_are_exact(spark, items):
+    """Beside nulls too, where pandas would make them floats."""
+    docs = spark.createDataFrame([(i, t) for i, t, _ in LARGE], "doc_id long, text string")
+    ids = sorted((i for i, *_ in LARGE if i is not None))
+    assert sorted(r.doc_id for r in tokenfiles.op8_token_files(docs, TOKENS).collect() if r.doc_id is not None) == ids
+    held = spark.createDataFrame([(i, prose(2, 12)) for i in (*ids, None)], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.op3_decontaminate(held, items).collect()} == {*ids, None}
+    rows = warc.op10_warc(spark.createDataFrame([(i, "http://a.b/", h) for i, _, h in LARGE], "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.refers_to) for r in rows} == {(2**53 + 1, 2**53 + 3), (2**53 + 3, None), (None, None), (-(2**62) - 1, None)}
+    named = warc.op10_warc(spark.createDataFrame([("a\n b:é", "u", "x"), ("b", "u", "x")], "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.refers_to) for r in named} == {("a\n b:é", "b"), ("b", None)}
+
+
+def test_popular_payloads_are_dealt_out(spark, monkeypatch):
+    from corvane.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    pages = spark.createDataFrame([(k, None, "same" if k % 2 else ("two" if k % 3 else f"own{k}")) for k in range(60)], "page_id long, url string, html string")
+    rows = warc.op10_warc(pages).collect()
+    want = {k: (59 if k % 2 else 58 if k % 3 else k) for k in range(60)}
+    assert {r.page_id: r.refers_to for r in rows} == {k: None if v == k else v for k, v in want.items()}
+
+
+def test_other_tokenizers_get_whole_texts():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        data = f.read()
+    own = tokenfiles.tokenizer(data)
+    text = "Some  Words, it's\n<|endoftext|> and é more"
+    assert not own.by_word
+    assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == Tokenizer.from_buffer(data).encode(text, add_special_tokens=False).ids

@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 def _near_copies(rows: dict[int, str]) -> set[int]:
     """Documents that stay: the smallest id of each group."""
     fps = {i: simhash.fingerprint(t, words=5) for i, t in rows.items()}
+    sets = {i: simhash.shingle_set(t) for i, t in rows.items()}
     parent = {i: i for i in fps}
 
     def root(x):
@@ -20,7 +21,8 @@ def _near_copies(rows: dict[int, str]) -> set[int]:
 
     for i in fps:
         for j in fps:
-            if i < j and (fps[i] ^ fps[j]).bit_count() <= 3 and root(i) != root(j):
+            near = i < j and ((fps[i] ^ fps[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0)
+            if near and root(i) != root(j):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     return {i for i in fps if root(i) == i}
 
