@@ -22,6 +22,7 @@ probability (1 - 0.8 ** ROWS) ** BANDS = 0.0004.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, small_side, stored
+from .common import narrow_name, small_side, spread_lookup, stored
 from .components import connected_components
 
 #: Texts are hashed in blocks of so many shingles, which bounds a task's memory for long texts.
@@ -174,22 +175,23 @@ def _midpoint_pairs(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def fingerprint_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """From rows (doc_id, fp): the same rows with component_id.
+    """From rows (doc_id, fp), fp never null: the same rows with component_id.
 
     Fingerprints link if they differ in at most ``radius`` bits; a component is
     what links reach. component_id is its smallest doc_id (null only if all are
-    null). Equal fingerprints are one node however many rows share them.
+    null). Equal fingerprints are one node however many rows share them, and rows
+    of popular ones are dealt evenly to the tasks that look up the component.
     """
-    nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     links = stored(similar_fingerprints(nodes.select("fp"), radius), "simhash-links")
     if links.isEmpty():
-        joined = nodes.select("fp", F.col("first").alias("component_id"))
-        return docs.join(joined, docs.fp.eqNullSafe(joined.fp)).select(docs.doc_id, docs.fp, "component_id")
-    labels = connected_components(links, "a", "b")
-    firsts = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("comp"))
-    smallest = firsts.groupBy("comp").agg(F.min("first").alias("component_id"))
-    joined = firsts.join(smallest, firsts.comp.eqNullSafe(smallest.comp)).select("fp", "component_id")
-    return docs.join(joined, docs.fp.eqNullSafe(joined.fp)).select(docs.doc_id, docs.fp, "component_id")
+        found = nodes.select("fp", "n", F.col("first").alias("component_id"))
+    else:
+        labels = connected_components(links, "a", "b")
+        firsts = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("comp"))
+        smallest = firsts.groupBy("comp").agg(F.min("first").alias("component_id"))
+        found = stored(firsts.join(smallest, "comp").select("fp", "n", "component_id"), "simhash-found")
+    return spread_lookup(docs.select("doc_id", "fp"), found, "fp", "n", ["component_id"])
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
@@ -237,41 +239,73 @@ def _similar_labels(pairs: DataFrame, texts: DataFrame, similarity: float, words
     return both.where(similar("left", "right")).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
 
 
+def _measured(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, hashes, alone) of the nodes: their shingles' hashes, and how many of them no other of these nodes has."""
+
+    @F.pandas_udf("array<long>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingle_set(t, words)], dtype=np.int64) for t in batch])
+
+    rows = texts.join(small_side(nodes), texts.place == nodes.node, "left_semi").select(F.col("place").alias("node"), hashed("text").alias("hashes"))
+    rows = stored(rows, "simhash-shingles")
+    once = rows.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+    alone = once.groupBy("node").agg(F.count("*").alias("alone"))
+    return stored(rows.join(alone, "node", "left").select("node", "hashes", F.coalesce("alone", F.lit(0)).alias("alone")), "simhash-measured")
+
+
+def _crowd_links(crowd: DataFrame, centres: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) labels of ``crowd`` and ``centres`` (node, key, label) that share a key and have the similarity.
+
+    The join's own condition compares the sets of hashes, so only links come out of it.
+    First it leaves out what cannot reach the similarity: shingles that one text alone
+    has are not shared.
+    """
+    side = lambda rows, x: rows.join(measured, "node").select("key", F.col("label").alias(f"l{x}"), F.col("hashes").alias(f"h{x}"), F.size("hashes").alias(f"n{x}"), F.col("alone").alias(f"u{x}"))
+    enough = lambda common: common >= similarity * (F.col("nx") + F.col("ny") - common) - 1e-9
+    most = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
+    x, y = side(crowd, "x"), side(centres, "y").withColumnRenamed("key", "centre_key")
+    near = (F.col("key") == F.col("centre_key")) & (F.col("lx") != F.col("ly")) & enough(most) & enough(F.size(F.array_intersect("hx", "hy")))
+    return x.join(y, near).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
+
+
 def _join_similar(shelves: DataFrame, labelled: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """(node, label) after texts that share a key and have the similarity have the same label.
 
     ``shelves`` are rows (node, key). Pairs of a key are compared unless their
     labels are equal already. A key of more than CROWD nodes is not paired at once:
-    its nodes are held against some centres, the least of each of ``slots`` hashed
-    parts, which usually joins them all. Centres are done then and leave the key,
-    and slots double each round, until each key is small or has one label.
+    its nodes are held against some centres, in each of ``slots`` hashed parts the node
+    with the least share of shingles that it alone has, which usually joins them all.
+    Centres are done then and leave the key, and slots grow sixteenfold each round, until
+    each key is small or has one label.
     """
-    slots = 1
+    slots, measured = 1, None
     while True:
         rows = shelves.join(labelled, "node")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
         # a table, as hot keys must not change and their rows are not dealt by key
-        mixed = stored(sizes.where("low != high").select("key", (F.col("n") > CROWD).alias("hot")), "simhash-mixed")
+        mixed = stored(sizes.where("low != high").select("key", (F.col("c") > CROWD).alias("hot")), "simhash-mixed")
         hot, cold = small_side(mixed.where("hot").select("key")), small_side(mixed.where("not hot").select("key"))
         few = stored(rows.join(cold, "key", "left_semi"), "simhash-few")
         one, other = few.select("key", F.col("node").alias("x"), F.col("label").alias("lx")), few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-        pairs = one.join(other, "key").where("x > y and lx != ly").select("x", "lx", "y", "ly")
+        pairs = stored(one.join(other, "key").where("x > y and lx != ly").select("x", "lx", "y", "ly").distinct(), "simhash-pairs")
+        links = [] if pairs.isEmpty() else [_similar_labels(pairs, texts, similarity, words)]
         more = not hot.isEmpty()
         if more:
             crowd = stored(rows.join(hot, "key", "left_semi"), "simhash-crowd")
-            centre = F.min(F.struct(F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label")).alias("c")
-            centres = crowd.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(centre)
-            centres = stored(centres.select("key", F.col("c.node").alias("y"), F.col("c.label").alias("ly")), "simhash-centres")
-            near = crowd.select("key", F.col("node").alias("x"), F.col("label").alias("lx")).join(small_side(centres), "key")
-            pairs = pairs.union(near.where("lx != ly").select("x", "lx", "y", "ly"))
-            done = centres.select("key", F.col("y").alias("node"))
-            shelves = crowd.select("node", "key").join(small_side(done), ["key", "node"], "left_anti")
-        pairs = stored(pairs.distinct(), "simhash-pairs")
-        if not pairs.isEmpty():
-            labelled = _relabelled(labelled, stored(_similar_labels(pairs, texts, similarity, words), "simhash-links"))
+            if measured is None:
+                measured = _measured(stored(crowd.select("node").distinct(), "simhash-nodes"), texts, words)
+            share = crowd.join(measured.select("node", (F.col("alone") / F.size("hashes")).alias("share")), "node")
+            least = F.min(F.struct("share", F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label")).alias("c")
+            centres = share.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(least)
+            centres = stored(centres.select("key", "c.node", "c.label"), "simhash-centres")
+            links.append(_crowd_links(crowd, centres, measured, similarity))
+            shelves = crowd.select("node", "key").join(small_side(centres.select("key", "node")), ["key", "node"], "left_anti")
+        if links:
+            labelled = _relabelled(labelled, stored(reduce(DataFrame.union, links).distinct(), "simhash-links"))
         if not more:
             return labelled
-        slots *= 2
+        slots *= 16
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -300,8 +334,10 @@ def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarit
 def op7_simhash(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
     """Columns doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
 
-    Null and empty texts have fingerprint zero and link with each other; repeated
-    rows come out as often as they went in; extra columns are ignored.
+    Null and empty texts have fingerprint zero and link with each other; texts of any
+    length count whole, in blocks of shingles; a bit set in exactly half the shingles
+    (a tie) is 0. Repeated rows come out as often as they went in; an empty table gives
+    no rows; extra columns are ignored.
     """
     fps = stored(with_fingerprint(docs.select("doc_id", "text"), words=words).select("doc_id", "fp"), "simhash-fp")
     return fingerprint_groups(fps, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
