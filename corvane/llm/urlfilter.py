@@ -10,7 +10,8 @@ these filters alone: the answer is exact, and no url is joined to a list.
 
 The size of all filters follows from the number of listed keys (about 1.5 bits times
 log2(universe / listed) + 3 for each), is checked against ``MAX_BYTES``, and is what
-is broadcast.
+is broadcast. A larger list is split by a hash of its keys into parts of that size,
+which are worked through one after the other.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, narrow_name, stored
 
-#: Limit on the filters' size; a larger list has to be split by a hash of its keys and judged in turn.
-MAX_BYTES = 256 << 20
+#: Limit on the size of one part's first filter (the others together are smaller).
+MAX_BYTES = 64 << 20
+#: Bits of a page of a filter: what Spark's bitmap functions gather in one row.
+PAGE_BITS = 8 * 4096
 MAX_LEVELS = 64
 ALLOW, BLOCK, HOSTS = "allow", "block", "hosts"
 
@@ -74,22 +78,28 @@ class Cascade:
         return sum(b.bits.nbytes for b in self.levels)
 
 
+def _probes(rate: float) -> int:
+    return max(1, round(math.log2(1 / rate)))
+
+
+def _bits(n: int, k: int) -> int:
+    return max(64, math.ceil(n * k / math.log(2)))
+
+
 def _bloom_of(keys: DataFrame, n: int, level: int, rate: float) -> Bloom:
-    """A filter of the ``n`` rows (h1, h2); tasks find the bits, which are joined to bytes before the driver gets them."""
-    k = max(1, round(math.log2(1 / rate)))
-    size = max(64, math.ceil(n * k / math.log(2)))
-    if size > 8 * MAX_BYTES:
-        raise ValueError(f"a filter of {n} keys needs {size // 8} bytes, more than {MAX_BYTES}; split the list by a hash of its keys")
+    """A filter of the ``n`` rows (h1, h2): tasks gather its pages, and the driver gets each once."""
+    k = _probes(rate)
+    size = _bits(n, k)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             at = np.unique(Bloom.places(batch["h1"].to_numpy(), batch["h2"].to_numpy(), level, size, k))
-            yield pd.DataFrame({"byte": (at >> np.uint64(3)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(7))).astype(np.int64)})
+            yield pd.DataFrame({"at": at.astype(np.int64) + 1})  # Spark's pages count from 1
 
-    found = keys.select("h1", "h2").mapInPandas(find, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bits")).collect()
-    bits = np.zeros(size // 8 + 1, dtype=np.uint8)
-    for row in found:
-        bits[row["byte"]] = row["bits"]
+    found = keys.select("h1", "h2").mapInPandas(find, "at long").groupBy(F.bitmap_bucket_number("at").alias("page"))
+    bits = np.zeros(-(-size // PAGE_BITS) * PAGE_BITS // 8, dtype=np.uint8)
+    for page, data in found.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("data")).toLocalIterator():
+        bits[(page - 1) * PAGE_BITS // 8 : page * PAGE_BITS // 8] = np.frombuffer(data, dtype=np.uint8)
     return Bloom(level, size, k, bits)
 
 
@@ -103,15 +113,18 @@ def _passing(keys: DataFrame, bloom: Bloom) -> DataFrame:
     return keys.where(holds("h1", "h2"))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade:
-    """From the hashes (h1, h2) of all keys, repeats allowed, and of the listed ones."""
+def _rate(listed: int, every: int) -> float:
+    """False positives of the first filter, given the numbers of listed keys and of all keys."""
+    return min(0.5, max(1e-9, listed * math.sqrt(0.5) / max(every - listed, 1)))
+
+
+def build_cascade(universe: DataFrame, listed: DataFrame, every: int) -> Cascade:
+    """From the hashes (h1, h2) of all keys, ``every`` at most and repeats allowed, and of the listed ones."""
     inside = stored(listed.select("h1", "h2").distinct(), "cascade")
     n = inside.count()
     if not n:
         return Cascade([])
-    every = universe.agg(F.approx_count_distinct("h1")).first()[0]
-    rate = min(0.5, max(1e-9, n * math.sqrt(0.5) / max(every - n, 1)))
-    levels = [_bloom_of(inside, n, 1, rate)]
+    levels = [_bloom_of(inside, n, 1, _rate(n, every))]
     outside = stored(_passing(universe.select("h1", "h2"), levels[0]).distinct().join(inside, ["h1", "h2"], "left_anti"), "cascade")
     while n := outside.count():
         if len(levels) == MAX_LEVELS:
@@ -147,17 +160,25 @@ def candidates(host, path, labels: int, depth: int):
     return F.concat(ruled, F.transform(suffixes, lambda h: one(HOSTS, h, F.lit(""))))
 
 
-def _rule(text: str) -> tuple[str, str]:
-    host, slash, rest = text.partition("/")
-    if not slash or not text.endswith("/"):
-        raise ValueError(f"a rule is a host and a path that ends in a slash, not {text!r}")
-    return host.lower(), slash + rest
+def _keys(spark: SparkSession, rules, blocked_hosts) -> DataFrame:
+    """Rows (kind, host, path) of both lists; an error if one is no rule."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "kind string, rule string")
+    if not isinstance(blocked_hosts, DataFrame):
+        blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
+    bad = rules.where(~F.coalesce(F.col("kind").isin(ALLOW, BLOCK) & F.col("rule").rlike("(?s)^[^/]+/(.*/)?$"), F.lit(False))).first()
+    if bad:
+        raise ValueError(f"a rule allows or blocks a host with a path that ends in a slash: {tuple(bad)!r}")
+    host = F.substring_index("rule", "/", 1)
+    cut = rules.select("kind", F.lower(host).alias("host"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("path"))
+    return stored(cut.union(blocked_hosts.where("host is not null").select(F.lit(HOSTS), F.lower("host"), F.lit(""))).distinct(), "url-keys")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], blocked_hosts: list[str], url_col: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule and verdict.
+def judge(pages: DataFrame, rules, blocked_hosts, url_col: str = "url", out: str = "judged") -> DataFrame:
+    """``pages`` with a struct ``out`` of host, path, rule and verdict; a column of that name is replaced.
 
-    ``rules``: (allow or block, rule). A rule fits its host and all its subdomains if
+    ``rules``: rows (kind: allow or block, rule); ``blocked_hosts``: rows (host); each a
+    DataFrame or a list. A rule fits its host and all its subdomains if
     the url's path starts with the rule's; the longest wins, then the one with the
     longer host, then block. Without a rule, a url is blocked if its host or a parent
     of it is in ``blocked_hosts``. Both lists are looked up in one cascade over the
@@ -165,38 +186,59 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], blocked_hosts: list[st
     rule and are allowed.
     """
     spark = pages.sparkSession
-    keys = [(kind, *_rule(text)) for kind, text in rules] + [(HOSTS, h.lower(), "") for h in blocked_hosts]
-    if any(kind not in (ALLOW, BLOCK, HOSTS) for kind, *_ in keys):
-        raise ValueError("a rule allows or blocks")
-    labels = max((h.count(".") + 1 for _, h, _ in keys), default=1)
-    depth = max((p.count("/") for _, _, p in keys), default=0)
+    keys = _keys(spark, rules, blocked_hosts)
+    size = keys.agg(F.count("*"), F.max(F.size(F.split("host", r"\."))), F.max(F.size(F.split("path", "/")) - 1)).first()
+    n, labels, depth = size[0], size[1] or 1, size[2] or 0
     host, path = url_parts(url_col)
-    rows = pages.withColumn("host", host).withColumn("path", path)
-    found = candidates(F.col("host"), F.col("path"), labels, depth)
-    cascade = _cascade(spark, rows.select(F.explode(found).alias("c")), keys)
-    shared = spark.sparkContext.broadcast(cascade)
+    names = {x: narrow_name(pages, x) for x in ("keys", "held", "found", "place")}
+    rows = pages.withColumn(out, F.struct(host.alias("host"), path.alias("path"))).withColumn(names["keys"], candidates(F.col(f"{out}.host"), F.col(f"{out}.path"), labels, depth))
+    every = rows.agg(F.sum(F.size(names["keys"]))).first()[0] or 0
+    parts = -(-_bits(n, _probes(_rate(n, every))) // (8 * MAX_BYTES)) if n else 1
+    if parts > 1:
+        rows = stored(rows.drop(names["keys"]).withColumn(names["place"], F.monotonically_increasing_id()), "url-rows")
+        rows = rows.withColumn(names["keys"], candidates(F.col(f"{out}.host"), F.col(f"{out}.path"), labels, depth))
+    universe, listed = _hashed(rows.select(F.explode(names["keys"]).alias("c")).select("c.*")), _hashed(keys)
+    found = F.col(names["found"])
+    if parts == 1:
+        rows = _looked_up(rows, build_cascade(universe, listed, every), 0, 1, names)
+    else:
+        hits = []
+        for k in range(parts):
+            own = lambda df, k=k: df.where(F.pmod("h1", F.lit(parts)) == k)
+            part = _looked_up(rows.select(names["place"], names["keys"]), build_cascade(own(universe), own(listed), every // parts), k, parts, names)
+            hits.append(stored(part.select(names["place"], names["found"]), "url-hits").where(found["host"] | found["rule"].isNotNull()))
+        best = F.struct(F.max(found["rule"]).alias("rule"), F.max(found["host"]).alias("host")).alias(names["found"])
+        rows = rows.join(reduce(DataFrame.union, hits).groupBy(names["place"]).agg(best), names["place"], "left")
+    default = F.when(F.coalesce(found["host"], F.lit(False)), BLOCK).otherwise(ALLOW)
+    verdict = F.struct(F.col(f"{out}.host").alias("host"), F.col(f"{out}.path").alias("path"), found["rule"]["rule"].alias("rule"), F.coalesce(found["rule"]["kind"], default).alias("verdict"))
+    return rows.withColumn(out, verdict).drop(*names.values())
+
+
+def _hashed(keys: DataFrame) -> DataFrame:
+    h1, h2 = _hashes(F.col("kind"), F.concat("host", F.lit("\n"), "path"))
+    return keys.select(h1.alias("h1"), h2.alias("h2"))
+
+
+def _looked_up(rows: DataFrame, cascade: Cascade, part: int, parts: int, names: dict) -> DataFrame:
+    """``rows`` with found: the best rule and whether a host is listed, of the keys of one part."""
+    shared = rows.sparkSession.sparkContext.broadcast(cascade)
 
     @F.pandas_udf("array<boolean>")
     def listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
         sizes = h1.map(len).to_numpy()
         if not sizes.sum():
             return pd.Series([[]] * len(h1))
-        held = shared.value.holds(np.concatenate(h1.to_list()), np.concatenate(h2.to_list()))
+        first = np.concatenate(h1.to_list())
+        held = shared.value.holds(first, np.concatenate(h2.to_list()))
+        if parts > 1:
+            held &= first % parts == part
         return pd.Series(np.split(held, np.cumsum(sizes)[:-1]))
 
-    of = lambda n: F.transform("_keys", lambda c: _hashes(c["kind"], F.concat(c["host"], F.lit("\n"), c["path"]))[n])
-    rows = rows.withColumn("_keys", found).withColumn("_held", listed(of(0), of(1)))
-    hits = F.filter("_keys", lambda c, k: F.get("_held", k))
+    of = lambda n: F.transform(names["keys"], lambda c: _hashes(c["kind"], F.concat(c["host"], F.lit("\n"), c["path"]))[n])
+    rows = rows.withColumn(names["held"], listed(of(0), of(1)))
+    hits = F.transform(F.filter(F.arrays_zip(names["keys"], names["held"]), lambda z: z[names["held"]]), lambda z: z[names["keys"]])
     ruled = F.transform(F.filter(hits, lambda c: c["kind"] != HOSTS), lambda c: F.struct((F.length(c["host"]) + F.length(c["path"])).alias("length"), F.length(c["host"]).alias("host_length"), c["kind"].alias("kind"), F.concat(c["host"], c["path"]).alias("rule")))
-    rows = rows.withColumn("_rule", F.array_max(ruled)).withColumn("_host", F.exists(hits, lambda c: c["kind"] == HOSTS))
-    default = F.when(F.col("_host"), BLOCK).otherwise(ALLOW)
-    return rows.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce("_rule.kind", default)).drop("_keys", "_held", "_rule", "_host")
-
-
-def _cascade(spark: SparkSession, found: DataFrame, keys: list[tuple[str, str, str]]) -> Cascade:
-    hashed = lambda df: df.select(*(h.alias(n) for n, h in zip(("h1", "h2"), _hashes(F.col("kind"), F.concat("host", F.lit("\n"), "path")), strict=True)))
-    listed = spark.createDataFrame(keys or [], "kind string, host string, path string")
-    return build_cascade(hashed(found.select("c.*")), hashed(listed))
+    return rows.withColumn(names["found"], F.struct(F.array_max(ruled).alias("rule"), F.exists(hits, lambda c: c["kind"] == HOSTS).alias("host")))
 
 
 # The rules of the contract.
@@ -208,8 +250,14 @@ BLOCKED_HOSTS = [
 
 
 def op1_url_filter(pages: DataFrame) -> DataFrame:
-    """Columns page_id, host, path, rule, verdict for every row; repeated rows come out as often as they went in."""
-    return judge(pages.select("page_id", "url"), RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
+    """Columns page_id, host, path, rule, verdict for every row.
+
+    Null urls and urls without :// have empty host and path, and are allowed; urls of
+    any length are judged whole; ties between rules are settled as judge() says.
+    Repeated rows come out as often as they went in; an empty table gives no rows;
+    other columns are ignored.
+    """
+    return judge(pages.select("page_id", "url"), RULES, BLOCKED_HOSTS).select("page_id", *(F.col(f"judged.{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
 
 
 _HOST = "coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
