@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 50_000) -> Toxic
         values, weights = spread["score"].to_numpy(dtype=float), spread["every"].to_numpy(dtype=float)
         if (values > 0).any() and values @ weights < 0:
             model.lam = _karlin_lambda(values, weights)
-    seen = texts.join(F.broadcast(rows), on)
+    seen = stored(texts.join(F.broadcast(rows), on), "toxicity-labelled")  # at most max_labelled ids; read twice
     chance = _top_segments(seen, model).where("_toxic = 0").agg(F.count("*"), F.sum("chance")).first()
     model.k = float(chance[0] / chance[1]) if chance[0] and chance[1] else 1.0
     bins = scored(seen, model, "_evidence").groupBy(F.round(F.col("_evidence.evidence") * 4).alias("bin"), "_toxic").count().toPandas()
@@ -242,8 +242,11 @@ def op6_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     """Columns doc_id, held_out, score, predicted and n_segments for every row.
 
     Null and empty texts have no segments and so the score of any text without
-    evidence. With no labels of one class every text scores that class's rate.
-    A null doc_id is never held out. Repeated rows come out as often as they went in.
+    evidence; texts of any length are scanned whole. With no labels of one class every
+    text scores that class's rate. Of a doc_id's labels the higher counts, and a score
+    equal to ``threshold`` (ties) is toxic. A null doc_id is never held out. Repeated rows
+    come out as often as they went in; an empty table gives no rows; columns of other
+    names are ignored.
     """
     rows = scored(docs.select("doc_id", "text"), fit(docs, labels))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))

@@ -229,6 +229,65 @@ def test_toxic_passages_of_held_out_documents(spark):
     assert all(r.predicted == (r.doc_id % 5 == 0) and 0 <= r.score <= 1 for r in held)
 
 
+def _plain_toxicity(docs: dict[int, str], labels: dict[int, int]) -> dict[int, tuple[float, int]]:
+    """Scores and numbers of segments by loops over whole texts: counts, log-odds, segments, constants, fit."""
+    words = {i: [zlib.crc32(w.encode()) % toxicity.BUCKETS for w in re.findall(r"\w+", t.lower())] for i, t in docs.items()}
+    known = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2 and i in docs}
+    toxic, other, every = ({}, {}, {})
+    for i, ws in words.items():
+        for w in set(ws):
+            every[w] = every.get(w, 0) + 1
+            if i in known:
+                of = toxic if known[i] else other
+                of[w] = of.get(w, 0) + 1
+    strength = min(sum(toxic.values()), sum(other.values()))
+    score = {}
+    for w, n in every.items():
+        prior = n * strength / sum(every.values())
+        a, b = toxic.get(w, 0) + prior, other.get(w, 0) + prior
+        odds = np.log(a / (sum(toxic.values()) + strength)) - np.log(b / (sum(other.values()) + strength))
+        score[w] = float(np.float32(max(odds - toxicity.DOUBT * np.sqrt(1 / a + 1 / b), 0.0) - toxicity.DRIFT))
+
+    def segments(values, low, high):
+        best = max(((sum(values[a:b]), -(b - a), a, b) for a in range(low, high) for b in range(a + 1, high + 1) if values[a] > 0), default=(0, 0, 0, 0))
+        return [] if best[0] <= 0 else [*segments(values, low, best[2]), best[0], *segments(values, best[3], high)]
+
+    parts = {i: segments([score[w] for w in ws], 0, len(ws)) for i, ws in words.items()}
+    lam = toxicity._karlin_lambda(*(np.array(x, dtype=float) for x in zip(*((round(score[w], 2), n) for w, n in every.items()), strict=True)))
+    chances = [max(len(words[i]), 1) * np.exp(-lam * max(parts[i], default=0.0)) for i, y in known.items() if not y]
+    k = len(chances) / sum(chances)
+
+    def evidence(i):
+        level = np.log(k * max(len(words[i]), 1))
+        found = [lam * s - level for s in parts[i] if np.exp(level - lam * s) <= toxicity.SIGNIFICANT]
+        return sum(found), len(found)
+
+    bins = {}
+    for i, y in known.items():
+        at = bins.setdefault(round(evidence(i)[0] * 4), [0, 0])
+        at[0], at[1] = at[0] + y, at[1] + 1
+    x = np.array(sorted(bins), dtype=float)
+    slope, intercept = toxicity._logistic(x / 4, np.array([bins[b][0] for b in x], dtype=float), np.array([bins[b][1] for b in x], dtype=float))
+    return {i: (1 / (1 + np.exp(-(intercept + max(slope, 0.0) * evidence(i)[0]))), evidence(i)[1]) for i in docs}
+
+
+def test_toxicity_equals_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    docs = {}
+    for i in range(240):
+        words = prose(i, 40).split()
+        if i % 4 == 0:
+            for at in rng.choice(40, 5, replace=False):
+                words[at] = ("vile", "rotten", "foul")[at % 3]
+        docs[i] = " ".join(words)
+    docs[7], docs[11] = "", "vile vile rotten foul " * 3
+    labels = {i: int(i % 4 == 0) for i in range(0, 240) if i % 7}
+    rows = toxicity.op6_toxicity(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
+    want = _plain_toxicity(docs, labels)
+    assert {r.doc_id: r.n_segments for r in rows} == {i: n for i, (_, n) in want.items()}
+    assert all(abs(r.score - want[r.doc_id][0]) < 1e-3 and r.predicted == (want[r.doc_id][0] >= 0.3) for r in rows)
+
+
 def test_licence_places_and_edits(spark):
     text = "under the MIT license.\nReleased undr the MIT License; Apache License, Version 2.0 cc by-nc cc BY NC"
     row = licenses.op9_licenses(spark.createDataFrame([(1, text), (2, "all about nothing")], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -299,7 +358,7 @@ def test_licences_equal_sql_and_plain_search(spark, documents):
 
 def test_cascade_is_exact(spark):
     keys = spark.range(20_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"), "id")
-    cascade = urlfilter.build_cascade(keys.unionByName(keys.limit(100)), keys.where("id % 37 = 5"))
+    cascade = urlfilter.build_cascade(keys.unionByName(keys.limit(100)), keys.where("id % 37 = 5"), 20_100)
     rows = keys.toPandas()
     held = cascade.holds(rows["h1"].to_numpy(), rows["h2"].to_numpy())
     assert (held == (rows["id"] % 37 == 5)).all() and len(cascade.levels) > 1
@@ -313,6 +372,29 @@ def test_urls_equal_sql(spark):
     assert sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in urlfilter.op1_url_filter(pages).collect()) == want
 
 
+def test_long_lists_in_tables_are_split(spark, monkeypatch):
+    """Parts of a few bytes, and columns with the names of helpers, against plain string functions."""
+    monkeypatch.setattr(urlfilter, "MAX_BYTES", 40)
+    rng = np.random.default_rng(4)
+    hosts = [f"h{k % 40}.d{k % 7}.{('com', 'net')[k % 2]}" for k in range(300)]
+    urls = [(k, f"https://{h}/a{rng.integers(3)}/b{rng.integers(3)}/c?x", "k", "f") for k, h in enumerate(hosts)] + [(900, None, "k", "f")]
+    rules = [("block" if k % 2 else "allow", f"{h}/a{k % 3}/") for k, h in enumerate(sorted(set(hosts))[::3])] + [("block", "d1.net/"), ("allow", "com/a1/b1/")]
+    blocked = [h.split(".", 1)[1] for h in sorted(set(hosts))[::9]] + ["nowhere.org"]
+    pages = spark.createDataFrame(urls, "page_id long, url string, keys string, found string")
+    found = urlfilter.judge(pages, spark.createDataFrame(rules, "kind string, rule string"), spark.createDataFrame([(h,) for h in blocked], "host string"))
+    assert found.columns == [*pages.columns, "judged"]
+
+    def plain(url):
+        host, path = re.match("https://([^/]*)(/[^?]*)", url).groups() if url else ("", "")
+        fits = [(len(r), len(r.split("/")[0]), kind, r) for kind, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[len(r.split("/")[0]) :])]
+        listed = any(host == h or host.endswith("." + h) for h in blocked)
+        return (max(fits)[3], max(fits)[2]) if fits else (None, "block" if listed else "allow")
+
+    assert {r.page_id: (r.judged.rule, r.judged.verdict) for r in found.collect()} == {r[0]: plain(r[1]) for r in urls}
+    with pytest.raises(ValueError):
+        urlfilter.judge(pages, [("block", "no-slash.com")], [])
+
+
 def test_shards_have_exact_sizes_and_are_uniform(spark):
     counts = np.zeros((24, 3))
     before = sharding.BLOCK_ROWS, sharding.GROUP_BLOCKS
