@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.stats import calculated
 
@@ -15,9 +17,13 @@ SQL_FUNCTIONS = {
 }
 
 
+def _calculate(expressions: pd.Series) -> pd.Series:
+    return pd.Series([calculated(e) for e in expressions], dtype="float64")
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Make the functions available to SQL in this session; returns their names."""
     for name, (arguments, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    spark.udf.register("corvane_calculate", calculated, "double")
+    spark.udf.register("corvane_calculate", F.pandas_udf(_calculate, "double"))
     return [*SQL_FUNCTIONS, "corvane_calculate"]

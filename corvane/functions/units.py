@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Dimension and size of each unit; bits count as eighths of bytes, KB is 1000 and KiB 1024 bytes.
-UNITS: dict[str, tuple[str, float]] = {"ns": ("time", 1e-9), "us": ("time", 1e-6), "µs": ("time", 1e-6), "ms": ("time", 1e-3), "s": ("time", 1.0), "min": ("time", 60.0), "h": ("time", 3600.0), "bit": ("data", 0.125), "B": ("data", 1.0), "bps": ("rate", 0.125), "B/s": ("rate", 1.0), "Hz": ("frequency", 1.0)}
-for _power, _letter in enumerate("KMGT", 1):
-    UNITS[f"{_letter}B"], UNITS[f"{_letter}iB"] = ("data", 1000.0**_power), ("data", 1024.0**_power)
-for _power, _letter in enumerate("KMG", 1):
-    UNITS[f"{_letter}bps"] = ("rate", 0.125 * 1000.0**_power)
-    UNITS[f"{_letter}B/s"], UNITS[f"{_letter}iB/s"] = ("rate", 1000.0**_power), ("rate", 1024.0**_power)
-    UNITS[f"{'k' if _letter == 'K' else _letter}Hz"] = ("frequency", 1000.0**_power)
+# Dimension and size of each unit; bits count as eighths of bytes, KB is 1000 and KiB 1024 bytes.
+UNITS: dict[str, tuple[str, float]] = {
+    "ns": ("time", 1e-09), "us": ("time", 1e-06), "µs": ("time", 1e-06), "ms": ("time", 0.001), "s": ("time", 1.0), "min": ("time", 60.0), "h": ("time", 3600.0),
+    "bit": ("data", 0.125), "B": ("data", 1.0), "KB": ("data", 1000.0), "KiB": ("data", 1024.0), "MB": ("data", 1000000.0), "MiB": ("data", 1048576.0), "GB": ("data", 1000000000.0), "GiB": ("data", 1073741824.0), "TB": ("data", 1000000000000.0), "TiB": ("data", 1099511627776.0),
+    "bps": ("rate", 0.125), "B/s": ("rate", 1.0), "Kbps": ("rate", 125.0), "KB/s": ("rate", 1000.0), "KiB/s": ("rate", 1024.0), "Mbps": ("rate", 125000.0), "MB/s": ("rate", 1000000.0), "MiB/s": ("rate", 1048576.0), "Gbps": ("rate", 125000000.0), "GB/s": ("rate", 1000000000.0), "GiB/s": ("rate", 1073741824.0),
+    "Hz": ("frequency", 1.0), "kHz": ("frequency", 1000.0), "MHz": ("frequency", 1000000.0), "GHz": ("frequency", 1000000000.0),
+}
 
 
 def converted(value: Column, source: str, target: str) -> Column:

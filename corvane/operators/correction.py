@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import term_relevance
+from ..storage import stored
 
 #: Share of high grades, mean score of a HIGH and of a MEDIUM decision, and share of low grades for NO_RESULTS.
 MIN_HIGH_RATIO, HIGH_MEAN, MEDIUM_MEAN, NO_RESULTS_LOW_RATIO = 0.2, 0.25, 0.15, 0.8
@@ -50,7 +51,7 @@ def corrective_retrieval(queries: DataFrame, retrieve: Callable[[DataFrame], Dat
 
     ``retrieve`` gives (query_id, query, doc_id, text, ...) for (query_id, query); ``rewrite``
     gives new texts for queries without an answer. Only these go into the next round; each
-    round's open queries are checkpointed, which cuts the lineage.
+    round's open queries are stored, which cuts the lineage.
     """
     found: DataFrame | None = None
     pending = queries.select("query_id", "query")
@@ -63,8 +64,7 @@ def corrective_retrieval(queries: DataFrame, retrieve: Callable[[DataFrame], Dat
         if number == rounds:
             break
         pending = rewrite(pending.join(unresolved, "query_id", "left_semi"))
-        if pending.sparkSession.sparkContext.getCheckpointDir():
-            pending = pending.checkpoint()
+        pending = stored(pending, "pending-queries")
         if pending.isEmpty():
             break
     return found

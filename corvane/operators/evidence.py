@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import term_relevance
+from .ordered import with_next
 
 # Quantities are an attribute, a number and one of these units; words that contradict each other.
 UNITS = "天|人|年|月|%|percent|元|万元|次|件|个"
@@ -29,19 +33,20 @@ def numeric_conflicts(found: DataFrame) -> DataFrame:
     return per.where("n_values > 1").join(docs, ["attribute", "unit"])
 
 
-def contradicting_neighbours(ranked: DataFrame, pairs=CONTRADICTIONS, limit: int = 500) -> DataFrame:
+def contradicting_neighbours(ranked: DataFrame, pairs=CONTRADICTIONS, limit: int | None = 500) -> DataFrame:
     """Documents next to each other in a query's ranking of which one affirms what the other denies.
 
-    ``ranked``: (query_id, rank, doc_id, title, text). Only the first ``limit`` characters
-    count, and documents with the same or no title do not contradict each other.
+    ``ranked``: (query_id, rank, doc_id, title, text); ranks of a query differ. Only the
+    first ``limit`` characters count, all without one, and documents with the same or no
+    title do not contradict each other. Of the texts only the words found go on to the
+    comparison, and a ranking may be of any length.
     """
-    order = W.partitionBy("query_id").orderBy("rank")
-    rows = ranked.withColumn("head", F.substring("text", 1, limit))
-    rows = rows.select("query_id", "rank", "doc_id", "title", "head", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("doc_id", "title", "head")))
-    clash = F.lit(False)
-    for yes, no in pairs:
-        a, b = F.col("head"), F.col("next_head")
-        clash = clash | (F.contains(a, F.lit(yes)) & F.contains(b, F.lit(no))) | (F.contains(a, F.lit(no)) & F.contains(b, F.lit(yes)))
+    words = sorted({w for pair in pairs for w in pair})
+    head = F.substring("text", 1, limit) if limit else F.col("text")
+    rows = ranked.select("query_id", "rank", "doc_id", "title", F.array(*(F.contains(head, F.lit(w)) for w in words)).alias("held"))
+    rows = with_next(rows, ["query_id"], ["rank"], ["doc_id", "title", "held"])
+    has = lambda side, w: F.coalesce(F.get(side, F.lit(words.index(w))), F.lit(False))
+    clash = reduce(or_, ((has("held", a) & has("next_held", b)) | (has("held", b) & has("next_held", a)) for a, b in pairs))
     named = (F.col("title") != "") & (F.col("next_title") != "") & (F.col("title") != F.col("next_title"))
     return rows.where(clash & named).select("query_id", "doc_id", "next_doc_id")
 

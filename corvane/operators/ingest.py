@@ -53,10 +53,18 @@ def sync_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFram
 
 
 def exact_duplicates(rows: DataFrame, text: str, order: str, within: str | None = None) -> DataFrame:
-    """First row of equal texts, optionally within a group."""
-    keys = [F.md5(text)] + ([F.col(within)] if within else [])
-    ranked = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
-    return ranked.where("_n = 1").drop("_n")
+    """First row of equal texts, optionally within a group; ``order`` must tell rows with equal texts apart.
+
+    The first is found by aggregation and joined back on ``order`` too, so that a large
+    group of copies is never in one task.
+    """
+    keys = {"_digest": F.md5(text)} | ({"_within": F.col(within)} if within else {})
+    marked = rows.withColumns(keys)
+    first = marked.groupBy(*keys).agg(F.min(order).alias("_first"))
+    same = marked[order] == first["_first"]
+    for k in keys:
+        same = same & marked[k].eqNullSafe(first[k])
+    return marked.join(first, same, "left_semi").drop(*keys)
 
 
 def first_of_equal(rows: DataFrame, text: str, order: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running_total
+
 
 def _ideal(n: Column, k: int) -> Column:
     """DCG of min(k, n) relevant documents at the top."""
@@ -58,17 +60,19 @@ def mean_metrics(per_query: DataFrame, by: list[str] | None = None) -> DataFrame
 def percentile(df: DataFrame, value: str, fraction: float, rule: str = "floor", by: str | None = None) -> DataFrame:
     """An exact percentile by index: floor((n-1)f), ceil(fn)-1 or int(fn), from 0; of all rows or for each group.
 
-    Equal values are counted first, so that only the different ones are put in order.
+    Equal values are counted first, and the different ones put in order by ranges, so
+    that no task has to hold all of them.
     """
     if rule not in ("floor", "ceil", "int"):
         raise ValueError("rule is floor, ceil or int")
     keys = [by] if by else []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    part = W.partitionBy(*keys)
-    n, upto = F.sum("_n").over(part), F.sum("_n").over(part.orderBy("_v"))
+    upto = running_total(counts, keys, ["_v"], "_upto", weight="_n")
+    n = F.col("_total")
     index = {"floor": F.floor((n - 1) * fraction), "ceil": F.ceil(n * fraction) - 1, "int": F.least(F.floor(n * fraction), n - 1)}[rule]
-    rows = counts.withColumn("_wanted", F.greatest(index, F.lit(0).cast("long"))).withColumn("_upto", upto)
-    return rows.where("_upto > _wanted").groupBy(*keys).agg(F.min("_v").alias("percentile"))
+    totals = upto.groupBy(*keys).agg(F.max("_upto").alias("_total"))
+    rows = upto.join(totals, keys) if keys else upto.join(F.broadcast(totals))
+    return rows.where(F.col("_upto") > F.greatest(index, F.lit(0).cast("long"))).groupBy(*keys).agg(F.min("_v").alias("percentile"))
 
 
 def confusion(rows: DataFrame, expected: str, actual: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import version_key
+from ..storage import stored
+from .ordered import numbered, with_next
 
 JOB_STATES = ("pending", "running", "completed", "failed", "retrying")
 
@@ -77,23 +81,26 @@ def backoff(attempt: Column, most: int = 30) -> Column:
     return F.least(F.lit(float(most)), F.pow(F.lit(2.0), attempt) * 2)
 
 
-def department_paths(departments: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Rows (id, path): names from the root down, joined by slashes. Deeper levels and cycles are left out."""
-    level = departments.where("parent_id is null").select("id", F.concat(F.lit("/"), F.col("name")).alias("path"))
-    found = level
+def department_paths(departments: DataFrame) -> DataFrame:
+    """Rows (id, path): names from the root down, joined by slashes, for any depth; path is null in and below a cycle, and below an id that does not exist.
+
+    Each level is a table, so that the lineage does not grow with the depth.
+    """
     children = departments.select("id", "parent_id", "name")
-    for _ in range(max_depth):
-        level = children.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat("path", F.lit("/"), "name").alias("path"))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+    level = stored(children.where("parent_id is null").select("id", F.concat(F.lit("/"), F.col("name")).alias("path")), "departments")
+    found = []
+    while not level.isEmpty():
+        found.append(level)
+        below = level.select(F.col("id").alias("parent_id"), "path")
+        level = stored(children.join(below, "parent_id").select("id", F.concat("path", F.lit("/"), "name").alias("path")), "departments")
+    reached = reduce(DataFrame.union, found, level)
+    return departments.select("id").join(reached, "id", "left")
 
 
 def unique_slugs(rows: DataFrame, slug: str, order: str) -> DataFrame:
-    """Equal slugs get -2, -3, ... in the given order."""
-    n = F.row_number().over(W.partitionBy(slug).orderBy(order))
-    return rows.withColumn(slug, F.when(n > 1, F.concat(F.col(slug), F.lit("-"), n.cast("string"))).otherwise(F.col(slug)))
+    """Equal slugs get -2, -3, ... in the given order; as many rows as there are may share one."""
+    n = F.col("_number")
+    return numbered(rows, [slug], [order], "_number").withColumn(slug, F.when(n > 1, F.concat(F.col(slug), F.lit("-"), n.cast("string"))).otherwise(F.col(slug))).drop("_number")
 
 
 def page(rows: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
@@ -118,5 +125,6 @@ def allowed(users: DataFrame, user_roles: DataFrame, permissions: DataFrame, res
 
 def superseded_chain(records: DataFrame) -> DataFrame:
     """Knowledge records as slowly changing rows: version numbers by chain, valid_to where the next begins."""
-    order = W.partitionBy("chain_id").orderBy("published_at", "id")
-    return records.withColumn("version", F.row_number().over(order)).withColumn("valid_to", F.lead("published_at").over(order)).withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
+    order = ["published_at", "id"]
+    rows = with_next(numbered(records, ["chain_id"], order, "version"), ["chain_id"], order, ["published_at"])
+    return rows.withColumnRenamed("next_published_at", "valid_to").withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))

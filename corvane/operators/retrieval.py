@@ -15,9 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, term_relevance, tokens
+from ..storage import stored
 
 #: Bytes of query vectors that go to the executors at a time.
 VECTOR_BLOCK_BYTES = 32 << 20
+#: Rows (query, term) of a batch up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
@@ -55,20 +58,26 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, query_id: str, query_text:
     if variant not in ("lucene", "okapi"):
         raise ValueError("variant must be lucene or okapi")
     wanted = query_terms(queries, query_id, query_text)
-    rows = docs.select("doc_id", tokens("text").alias("terms")).withColumn("dl", F.size("terms"))
-    n_docs, mean = docs.count(), rows.where("dl > 0").agg(F.avg("dl")).first()[0] or 1.0
-    asked = wanted.select("term").distinct()
-    hits = rows.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    # the empty term stands for the document itself, so one pass gives statistics and postings
+    every = F.concat(F.coalesce(tokens("text"), F.array().cast("array<string>")), F.array(F.lit("")))
+    rows = docs.select("doc_id", every.alias("terms")).select("doc_id", (F.size("terms") - 1).alias("dl"), F.explode("terms").alias("term"))
+    asked = wanted.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    found = stored(rows.join(asked, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")), "bm25")
+    n_docs, mean = found.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl") > 0, F.col("tf")))).first()
+    hits = found.where("term != ''")
     usual = None
     if variant == "okapi":
-        every = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
-        usual = every.agg(F.avg(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0] or 0.0
+        counts = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+        usual = counts.agg(F.avg(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0] or 0.0
     weights = term_weights(hits.groupBy("term").agg(F.count("*").alias("df")), n_docs, usual)
     if searched is not None:
         hits = hits.join(searched.select("doc_id"), "doc_id", "left_semi")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    return hits.join(wanted.join(weights, "term"), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    weighted = stored(wanted.join(weights, "term"), "bm25-queries")
+    # common words are hot keys; a batch of queries of checked size is broadcast to them
+    small = weighted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return hits.join(F.broadcast(weighted) if small else weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10, **options) -> DataFrame:
@@ -76,23 +85,27 @@ def bm25(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k:
     return top_k(bm25_scores(docs, queries, query_id, query_text, **options).where("score > 0"), k)
 
 
-def overlap_fallback(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10, block: int = 1000) -> DataFrame:
+def _substrings(text: Column, n: int) -> Column:
+    """All stretches of ``n`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda at: F.substring(text, at, F.lit(n)))
+
+
+def overlap_fallback(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10) -> DataFrame:
     """For queries no document has a term of: share of the query's tokens that occur anywhere in the text.
 
-    Substrings have no key to join on, so the queries go to the tasks, about ``block`` at
-    a time, and each pass leaves the best ``k`` of every query.
+    Substrings are found by their first characters, up to three: documents and tokens
+    join on these, and what they share is then looked up in the text.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), tokens(query_text).alias("tokens"))
-    blocks = max(1, -(-asked.count() // block))
-    bodies = docs.select("doc_id", F.lower("text").alias("body"))
-    found = None
-    for number in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        pairs = bodies.join(F.broadcast(own), F.expr("exists(tokens, t -> contains(body, t))"))
-        share = F.size(F.filter("tokens", lambda t: F.contains(F.col("body"), t))) / F.size("tokens")
-        best = top_k(pairs.select("query_id", "doc_id", share.alias("score")), k)
-        found = best if found is None else found.union(best)
-    return found
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("tokens"))
+    listed = asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).withColumn("head", F.substring("token", 1, 3))
+    heads = listed.select("head").distinct()
+    bodies = docs.select("doc_id", F.lower("text").alias("body")).where("body is not null")
+    cuts = F.concat(*(_substrings(F.col("body"), n) for n in (1, 2, 3)))
+    found = bodies.select("doc_id", F.explode(F.array_distinct(cuts)).alias("head")).join(heads, "head", "left_semi")
+    pairs = found.join(listed.select("head", "token").distinct(), "head").select("doc_id", "token")
+    held = pairs.join(bodies, "doc_id").where(F.contains("body", F.col("token"))).select("doc_id", "token")
+    shares = held.join(listed.select("query_id", "n", "token"), "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("score"))
+    return top_k(shares, k)
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", exclude_self: bool = True) -> DataFrame:
@@ -100,7 +113,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: s
 
     ``queries``: (query_id, embedding). Their vectors go to the tasks in blocks of
     bounded size, one pass over ``vectors`` for each; a task keeps its best ``k`` for
-    each query, and only those are shuffled. Null and zero vectors score 0.
+    each query, and only those are shuffled. Zero vectors score 0; rows without a vector
+    or an id are left out. Equal scores, to nine digits, are ranked by id.
     """
     spark = vectors.sparkSession
     n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
@@ -121,22 +135,23 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: s
             ids, matrix = shared.value
             best: pd.DataFrame | None = None
             for batch in batches:
-                batch = batch[batch[embedding].notna()]
+                batch = batch[batch[embedding].notna() & batch[vec_id].notna()]
                 if batch.empty:
                     continue
-                own = batch[vec_id].to_numpy(dtype=np.int64)
+                own = batch[vec_id].astype(np.int64).to_numpy()
                 scores = matrix @ _unit(np.stack(batch[embedding].to_list()).astype(np.float64)).T
                 if exclude_self:
                     scores[ids[:, None] == own[None, :]] = -np.inf
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, : k + 8] if scores.shape[1] > k + 8 else np.tile(np.arange(scores.shape[1]), (len(ids), 1))
-                rows = pd.DataFrame({"query_id": np.repeat(ids, keep.shape[1]), "vec_id": own[keep].ravel(), "score": np.take_along_axis(scores, keep, axis=1).ravel()})
-                rows = rows[np.isfinite(rows["score"])]
+                # every row that may be among the best k in the order of rounded scores, ties included
+                least = np.partition(scores, -k, axis=1)[:, -k] if 0 < k < scores.shape[1] else np.full(len(ids), -np.inf)
+                q, at = np.nonzero((scores >= least[:, None] - 2e-9) & np.isfinite(scores))
+                rows = pd.DataFrame({"query_id": ids[q], "vec_id": own[at], "score": scores[q, at]})
                 best = rows if best is None else pd.concat([best, rows])
                 best = best.assign(r=best["score"].round(9)).sort_values(["query_id", "r", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k).drop(columns="r")
             if best is not None:
                 yield best
 
-        part = vectors.select(F.col(vec_id).cast("long").alias(vec_id), embedding).mapInPandas(search, schema)
+        part = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias(vec_id), embedding).mapInPandas(search, schema)
         found = part if found is None else found.union(part)
     return top_k(found, k, item="vec_id")
 

@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OPERATIONS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow, ast.USub: operator.neg, ast.UAdd: operator.pos}
-_FUNCTIONS = {"abs": abs, "round": round, "min": min, "max": max, "sqrt": math.sqrt, "log": math.log, "exp": math.exp}
+#: Bounds of every value in a calculation, and of exponents.
+LARGEST, MAX_EXPONENT = 1e100, 100
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -56,25 +56,49 @@ def compared(baseline: Column, candidate: Column, higher_is_better: bool = True)
     return F.struct(delta.alias("delta"), F.when(baseline != 0, delta / F.abs(baseline)).alias("relative"), (delta > 0 if higher_is_better else delta < 0).alias("improved"))
 
 
+def _checked(value) -> float:
+    """Every step of a calculation stays below LARGEST, so numbers cannot grow without bound on the way."""
+    if type(value) not in (int, float) or not math.isfinite(value) or abs(value) > LARGEST:
+        raise ValueError("too large, or no number")
+    return value
+
+
+def _power(left: float, right: float) -> float:
+    if abs(right) > MAX_EXPONENT:
+        raise ValueError("exponent")
+    # a float first: it overflows at once, where an exact power could take for ever
+    return _checked(left**right if abs(float(left) ** right) <= LARGEST else math.inf)
+
+
 def _value(node: ast.AST) -> float:
     if isinstance(node, ast.Expression):
         return _value(node.body)
-    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return node.value
+    if isinstance(node, ast.Constant):
+        return _checked(node.value)
+    if isinstance(node, ast.Name) and node.id in _CONSTANTS:
+        return _CONSTANTS[node.id]
     if isinstance(node, ast.UnaryOp) and type(node.op) in _OPERATIONS:
-        return _OPERATIONS[type(node.op)](_value(node.operand))
+        return _checked(_OPERATIONS[type(node.op)](_value(node.operand)))
     if isinstance(node, ast.BinOp) and type(node.op) in _OPERATIONS:
-        left, right = _value(node.left), _value(node.right)
-        if isinstance(node.op, ast.Pow) and abs(right) > 100:
-            raise ValueError("exponent")
-        return _OPERATIONS[type(node.op)](left, right)
+        return _checked(_OPERATIONS[type(node.op)](_value(node.left), _value(node.right)))
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in _FUNCTIONS and not node.keywords:
-        return _FUNCTIONS[node.func.id](*map(_value, node.args))
+        return _checked(_FUNCTIONS[node.func.id](*map(_value, node.args)))
     raise ValueError("not allowed")
 
 
+_OPERATIONS = {
+    ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv,
+    ast.Mod: operator.mod, ast.Pow: _power, ast.USub: operator.neg, ast.UAdd: operator.pos,
+}
+_FUNCTIONS = {
+    "abs": abs, "round": round, "min": min, "max": max, "pow": _power, "sqrt": math.sqrt, "log": math.log, "log10": math.log10, "exp": math.exp,
+    "sin": math.sin, "cos": math.cos, "tan": math.tan,
+}
+_CONSTANTS = {"pi": math.pi, "e": math.e}
+
+
 def calculated(expression: str | None) -> float | None:
-    """Value of an arithmetic expression of numbers and a few functions; None for anything else, or beyond 1e100."""
+    """Value of an arithmetic expression of numbers and a few functions; None for anything else, or where a step goes beyond LARGEST."""
     if not expression or len(expression) > 512:
         return None
     try:
@@ -84,7 +108,7 @@ def calculated(expression: str | None) -> float | None:
         value = float(_value(tree))
     except (SyntaxError, ValueError, ArithmeticError, TypeError, RecursionError):
         return None
-    return value if math.isfinite(value) and abs(value) <= 1e100 else None
+    return value
 
 
 def calculator(expression: Column | str) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +30,3 @@ class Catalogue:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_fallback: dict[str, str] = {}
-
-
-def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; in a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="corvane-"))
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -51,11 +51,13 @@ def chunks_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.semantic_chunks(rows, threshold=0.9, min_tokens=4)
 
 
-@query("""with c as (select doc_id, substr(text, 1, 1200) as chunk, sha256(text) as h from documents)
-select doc_id, substr(h, 1, 20) || '-0-' || substr(md5(chunk || h || '0'), 1, 12) as chunk_id from c""")
+@query("""with w as (select doc_id, text, sha256(text) as h, unnest(range(0, greatest(cast(ceil((length(text) - 150) / 1050.0) as bigint), 1))) as i from documents),
+c as (select doc_id, i, h, substr(text, i * 1050 + 1, 1200) as chunk from w)
+select doc_id, i as chunk_index, substr(h, 1, 20) || '-' || i || '-' || substr(md5(chunk || h || i), 1, 12) as chunk_id from c where length(trim(chunk)) > 0""")
 def chunk_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 1200).alias("chunk"), F.sha2("text", 256).alias("h"))
-    return rows.select("doc_id", text.worker_chunk_id(F.col("h"), F.lit(0), F.col("chunk")).alias("chunk_id"))
+    """Identifiers of all windows of every whole document."""
+    rows = chunking.fixed_chunks(load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "text"))
+    return rows.select("doc_id", "chunk_index", text.worker_chunk_id(F.col("h"), F.col("chunk_index"), F.col("chunk_text")).alias("chunk_id"))
 
 
 @query("select doc_id, cast(floor(length(text) / 4) as bigint) as tokens from documents")
@@ -100,11 +102,13 @@ def text_session_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.session_title("text").alias("title"))
 
 
-@query("""with m as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?\\s*(?:%|percent|天|年)')) as fact from documents)
-select doc_id, count(*) as facts, min('number: ' || fact) as first from m group by doc_id""")
+@query("""with m as (select doc_id, 'number: ' || unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?\\s*(?:%|percent|百分比|人数|天|年|元|万元|人次)')) as fact from documents
+union all select doc_id, 'date: ' || unnest(regexp_extract_all(text, '[0-9]{4}[-/年][0-9]{1,2}[-/月][0-9]{1,2}|[0-9]{1,2}[-/月][0-9]{1,2}')) from documents
+union all select doc_id, unnest(regexp_extract_all(text, '[一-龥]{2,6}\\s*[:：]\\s*[^\\n，,。；;]{2,20}')) from documents)
+select doc_id, count(*) as facts, min(fact) as first from m group by doc_id""")
 def text_key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers with units; of the units only those of the tables' languages occur."""
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(text.key_facts("text")).alias("fact")).where(F.col("fact").startswith("number: "))
+    """Numbers with units, dates, and pairs of names and values."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.explode(text.key_facts("text")).alias("fact"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("facts"), F.min("fact").alias("first"))
 
 
@@ -151,21 +155,24 @@ def safety_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(safety.sanitised("text", escape=True)).alias("digest"))
 
 
-@query("""with m as (select doc_id, unnest(regexp_extract_all(text, '[a-zA-Z]{2,8}\\s*[0-9]+(?:\\.[0-9]+)?\\s*(?:%|percent)')) as m from documents),
+@query("""with stated as (select doc_id, text || ' discount ' || (doc_id % 3 + 10) || '% and growth 4 percent' as text from documents),
+m as (select doc_id, unnest(regexp_extract_all(text, '[a-zA-Z]{2,8}\\s*[0-9]+(?:\\.[0-9]+)?\\s*(?:%|percent)')) as m from stated),
 q as (select doc_id, regexp_extract(m, '([a-zA-Z]{2,8})\\s*([0-9]+(?:\\.[0-9]+)?)\\s*(%|percent)', 1) as attribute, regexp_extract(m, '([a-zA-Z]{2,8})\\s*([0-9]+(?:\\.[0-9]+)?)\\s*(%|percent)', 2) as value,
   regexp_extract(m, '([a-zA-Z]{2,8})\\s*([0-9]+(?:\\.[0-9]+)?)\\s*(%|percent)', 3) as unit from m)
 select attribute, unit, count(distinct value) as n_values, count(distinct doc_id) as n_docs from q group by all having count(distinct value) > 1""")
 def evidence_numeric_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.numeric_conflicts(evidence.quantities(load(spark, sf_dir, "documents"), units="%|percent"))
+    """Every document states a discount, which differs by id, and a growth, which does not."""
+    stated = F.concat("text", F.lit(" discount "), (F.col("doc_id") % 3 + 10).cast("string"), F.lit("% and growth 4 percent"))
+    return evidence.numeric_conflicts(evidence.quantities(load(spark, sf_dir, "documents").withColumn("text", stated), units="%|percent"))
 
 
-@query("""with r as (select lang as query_id, doc_id, source as title, substr(text, 1, 500) as head, lead(doc_id) over w as next_doc_id, lead(source) over w as next_title, lead(substr(text, 1, 500)) over w as next_head
+@query("""with r as (select lang as query_id, doc_id, source as title, text, lead(doc_id) over w as next_doc_id, lead(source) over w as next_title, lead(text) over w as next_text
   from documents window w as (partition by lang order by doc_id))
-select query_id, doc_id, next_doc_id from r where title != next_title and ((contains(head, 'with') and contains(next_head, 'from')) or (contains(head, 'from') and contains(next_head, 'with')))""")
+select query_id, doc_id, next_doc_id from r where title != next_title and ((contains(text, 'with') and contains(next_text, 'from')) or (contains(text, 'from') and contains(next_text, 'with')))""")
 def evidence_contradicting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents next to each other of which one holds a word and the other its opposite."""
+    """Whole documents next to each other of which one holds a word and the other its opposite."""
     rows = load(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("rank"), "doc_id", F.col("source").alias("title"), "text")
-    return evidence.contradicting_neighbours(rows, pairs=(("with", "from"),))
+    return evidence.contradicting_neighbours(rows, pairs=(("with", "from"),), limit=None)
 
 
 @query("""with a as (select doc_id, md5(text) as d from documents where doc_id % 10 != 3), b as (select doc_id, case when doc_id % 10 = 4 then md5(text || '!') else md5(text) end as d from documents where doc_id % 10 != 5)

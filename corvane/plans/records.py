@@ -9,7 +9,8 @@ from ..operators import conversations, metrics, registry, stats
 from ..operators import evidence as ev
 from ..operators.ingest import orphans
 from ..streaming import ratelimit, windows
-from .base import Catalogue, load, work_path
+from ..storage import fresh_path
+from .base import Catalogue, load
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -116,10 +117,10 @@ def jobs_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", registry.backoff(F.col("o_orderkey") % 6).alias("seconds"))
 
 
-@query("select event_id, user_id, (select count(*) from events where event_type = 'click' and user_id < 50) as total from events where event_type = 'click' and user_id < 50 order by ts desc, event_id limit 20 offset 20")
+@query("select event_id, user_id, (select count(*) from events where event_type = 'click') as total from events where event_type = 'click' order by ts desc, event_id limit 20 offset 20")
 def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second page of twenty, with the number of all rows."""
-    rows = load(spark, sf_dir, "events").where("event_type = 'click' and user_id < 50").select("event_id", "user_id", "ts")
+    rows = load(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "user_id", "ts")
     return registry.page(rows, [F.col("ts").desc(), "event_id"], 2, 20).drop("ts")
 
 
@@ -358,7 +359,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _finished(spark: SparkSession, result: DataFrame, mode: str) -> DataFrame:
-    base = work_path(spark, "stream")
+    base = fresh_path(spark, "stream")
     windows.run_to_end(result, f"{base}/table", f"{base}/checkpoint", mode)
     return spark.read.parquet(f"{base}/table")
 
@@ -405,7 +406,9 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two requests of a user an hour; tests hold the decisions against a plain loop."""
-    return _finished(spark, ratelimit.limited_stream(_stream(spark, sf_dir), "user_id", 2, 3600), "append")
+    base = fresh_path(spark, "stream")
+    ratelimit.limit_stream(_stream(spark, sf_dir), "user_id", 2, 3600, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table/decisions").drop("generation")
 
 
 @query("select event_id, (select count(*) from events o where o.user_id = e.user_id and o.ts > e.ts - interval '1 hour' and o.ts <= e.ts) as in_window from events e")

@@ -23,8 +23,8 @@ def _described(rows: DataFrame) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One document for each text, Markdown or HTML file, folders included; HTML is reduced to its text."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true")
+    """One document for each text, Markdown or HTML file, folders included; HTML is reduced to its text. A file that cannot be read is an error."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     rows = _described(reader.text(path, wholetext=True)).withColumnRenamed("value", "text")
     text = F.when(F.col("file_type").isin("html", "htm"), html_to_text("text")).otherwise(F.col("text"))
     return rows.withColumns({"text": text, "title": title_from_filename("source"), "doc_type": doc_type_of("source")})

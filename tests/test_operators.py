@@ -172,3 +172,55 @@ def test_sources(spark, tmp_path):
     kinds = [r.kind for r in files.elements(files.text_files(spark, str(tmp_path), "*.md")).orderBy("element_no").collect()]
     assert kinds == ["Title", "NarrativeText", "ListItem"]
     assert files.synthetic_corpus(spark).count() == 240
+
+
+def test_equal_vectors_are_ranked_by_id(spark):
+    """Copies in many batches and out of order: the smallest ids win."""
+    rows = spark.createDataFrame([((k * 37) % 1000, [1.0, 0.0] if k % 2 else [0.6, 0.8]) for k in range(1000)] + [(None, [1.0, 0.0])], "vec_id long, embedding array<float>").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = retrieval.vector_search(rows, spark.createDataFrame([(5000, [1.0, 0.0])], "query_id long, embedding array<float>"), 5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == sorted((k * 37) % 1000 for k in range(1, 1000, 2))[:5]
+
+
+def test_calculations_are_bounded():
+    for text in ("((((9^100)^100)^100)^100)", "9^100*9^100", "10^99*10*10", "2^1000", "__import__('os')", "1e101", "(-8)^0.5"):
+        assert stats.calculated(text) is None
+    assert stats.calculated("pow(2, 10) + log10(1000) - sin(0) + 2*pi/pi") == pytest.approx(1029)
+
+
+def test_requests_of_a_key_stand_in_order(spark):
+    """One key with rows in reverse order, in batches of ten."""
+    start = datetime(2024, 1, 1)
+    rows = [("a", k, int((start + timedelta(seconds=k)).timestamp() * 1_000_000)) for k in range(200)][::-1] + [("b", 1000, 5)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        log = spark.createDataFrame([("a", rows[-2][2] - 1_000_000), ("c", 7)], "key string, at long")
+        found = ratelimit.limit_batch(spark.createDataFrame(rows, "key string, event_id long, at long"), log, 3, 60).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    times = deque([-1])
+    want = {k: ratelimit.decide([k], times, 3, 60)[0] for k in range(200)}
+    assert {r.event_id: r.allowed for r in found if not r.logged} == want | {1000: True}
+    assert sorted((r.key, r.at) for r in found if r.logged) == sorted([("b", 5), ("c", 7), *(("a", int((start + timedelta(seconds=k)).timestamp() * 1_000_000)) for k in times)])
+
+
+def test_paths_of_any_depth_and_cycles(spark):
+    rows = [(0, None, "r")] + [(k, k - 1, f"d{k}") for k in range(1, 25)] + [(100, 101, "x"), (101, 100, "y"), (200, 999, "lost")]
+    got = {r.id: r.path for r in registry.department_paths(spark.createDataFrame(rows, "id long, parent_id long, name string")).collect()}
+    assert got[24] == "/r/" + "/".join(f"d{k}" for k in range(1, 25)) and len(got) == len(rows)
+    assert got[100] is None and got[101] is None and got[200] is None
+
+
+def test_totals_over_ranges(spark):
+    from corvane.operators import ordered
+
+    rows = spark.createDataFrame([(g, k, k % 7) for g in ("a", "b", None) for k in range(100)], "g string, k long, w long").repartition(5)
+    got = {(r.g, r.k): (r.n, r.t) for r in ordered.running_total(ordered.numbered(rows, ["g"], ["k"], "n"), ["g"], ["k"], "t", "w").collect()}
+    assert got == {(g, k): (k + 1, sum(j % 7 for j in range(k + 1))) for g in ("a", "b", None) for k in range(100)}
+    following = {(r.g, r.k): r.next_w for r in ordered.with_next(rows, ["g"], ["k"], ["w"]).collect()}
+    assert following == {(g, k): (k + 1) % 7 if k < 99 else None for g in ("a", "b", None) for k in range(100)}
