@@ -275,6 +275,12 @@ class PieceTransducer:
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<i4")
 
+    def forget(self) -> None:
+        """Give back the memory of stretches and pairs; only the model stays."""
+        self.encoded.clear()
+        self.encoded.before = {}
+        self.kept_pairs.clear()
+
     def decode(self, ids) -> str:
         """Pieces joined; bytes that are no UTF-8 become U+FFFD; the space in front goes, of each piece up to the first other character in models that drop spaces."""
         parts = list(map(self.text_of.__getitem__, ids))
@@ -326,8 +332,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = compiled(shared.value)
-        for texts in batches:
-            yield pd.Series([model.encode(t) for t in texts])
+        try:
+            for texts in batches:
+                yield pd.Series([model.encode(t) for t in texts])
+        finally:
+            model.forget()  # the worker goes on to other stages
 
     return docs.withColumn(out, F.pandas_udf(run, "array<int>")(text_col))
 

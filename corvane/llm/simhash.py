@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, small_side, spread_lookup, stored
+from .common import batches_of, narrow_name, small_side, spread_lookup, stored
 from .components import connected_components
 
 #: Texts are hashed in blocks of so many shingles, which bounds a task's memory for long texts.
@@ -43,6 +43,8 @@ _FLIPS, _FACTORS = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 MINIMA_BLOCK = 1 << 9
 #: Texts of a key that are compared pair by pair; those of larger keys are first held against a few centres.
 CROWD = 32
+#: Pairs of texts that Python gets at a time.
+TEXT_PAIRS = 100
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -289,7 +291,10 @@ def _join_similar(shelves: DataFrame, labelled: DataFrame, texts: DataFrame, sim
         few = stored(rows.join(cold, "key", "left_semi"), "simhash-few")
         one, other = few.select("key", F.col("node").alias("x"), F.col("label").alias("lx")), few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
         pairs = stored(one.join(other, "key").where("x > y and lx != ly").select("x", "lx", "y", "ly").distinct(), "simhash-pairs")
-        links = [] if pairs.isEmpty() else [_similar_labels(pairs, texts, similarity, words)]
+        links = []
+        if not pairs.isEmpty():
+            with batches_of(texts.sparkSession, TEXT_PAIRS):
+                links = [stored(_similar_labels(pairs, texts, similarity, words), "simhash-links")]
         more = not hot.isEmpty()
         if more:
             crowd = stored(rows.join(hot, "key", "left_semi"), "simhash-crowd")
