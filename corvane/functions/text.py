@@ -38,9 +38,9 @@ def terms(text: Column | str) -> Column:
 
 
 def term_relevance(query: Column | str, statement: Column | str) -> Column:
-    """Share of the query's terms that the statement has, at most 0.99; 0 without terms."""
+    """Share of the query's terms that the statement has, at most 0.99; 0 without terms, and for a null statement."""
     q = terms(query)
-    share = F.size(F.array_intersect(q, terms(statement))) / F.size(q)
+    share = F.coalesce(F.size(F.array_intersect(q, terms(statement))) / F.size(q), F.lit(0.0))  # least() passes over nulls
     return F.when(F.size(q) > 0, F.least(F.lit(0.99), share)).otherwise(0.0)
 
 
