@@ -5,6 +5,7 @@ from __future__ import annotations
 from .answers import catalogue as answers
 from .base import Query
 from .corpus import catalogue as corpus
+from .details import catalogue as details
 from .evaluations import catalogue as evaluations
 from .records import catalogue as records
 from .relations import catalogue as relations
@@ -12,8 +13,8 @@ from .retrieval import catalogue as retrieval
 
 
 def queries() -> dict[str, Query]:
-    return retrieval.queries | corpus.queries | answers.queries | records.queries | relations.queries | evaluations.queries
+    return retrieval.queries | corpus.queries | answers.queries | details.queries | records.queries | relations.queries | evaluations.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.sql | corpus.sql | answers.sql | records.sql | relations.sql | evaluations.sql
+    return retrieval.sql | corpus.sql | answers.sql | details.sql | records.sql | relations.sql | evaluations.sql
