@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,28 +85,33 @@ def recursive_chunks(docs: DataFrame, size: int = 1200, overlap: int = 150, text
 
 
 def budget_chunks(docs: DataFrame, budget: int = 500, carried: int = 2, share: float = 0.3, text: str = "text") -> DataFrame:
-    """Sentences packed into chunks of a token budget.
+    """Sentences packed into chunks of a token budget, with some of their neighbours.
 
-    Up to ``carried`` sentences from the end of a chunk open the next if they take at
-    most ``share`` of its budget. A sentence over the budget is a chunk of its own. The
-    document's first heading is put in front of each chunk.
+    Up to ``carried`` sentences before a chunk stand in front of it if they take at most
+    ``share`` of the budget, and up to as many of those behind it follow if they fit half of
+    what it leaves. A sentence over the budget is a chunk of its own. The document's
+    first heading is put in front of each chunk.
     """
 
     def pack(parts: list[str], sizes: list[int]) -> list[str]:
-        out: list[str] = []
-        own: list[int] = []
-        total = fresh = 0
+        runs: list[tuple[int, int]] = []
+        first = total = 0
         for k, size in enumerate(sizes):
-            if fresh and total + size > budget:
-                out.append(" ".join(parts[j] for j in own))
-                tail = own[-carried:] if carried else []
-                while tail and sum(sizes[j] for j in tail) > share * budget:
-                    tail = tail[1:]
-                own, total, fresh = list(tail), sum(sizes[j] for j in tail), 0
-            own.append(k)
-            total, fresh = total + size, fresh + 1
-        if fresh:
-            out.append(" ".join(parts[j] for j in own))
+            if k > first and total + size > budget:
+                runs.append((first, k))
+                first, total = k, 0
+            total += size
+        if sizes:
+            runs.append((first, len(sizes)))
+        out = []
+        for a, b in runs:
+            before = range(max(0, a - carried), a)
+            if sum(sizes[j] for j in before) > share * budget:
+                before = range(0)
+            room, end = (budget - sum(sizes[a:b])) / 2, b
+            while end < min(b + carried, len(sizes)) and sum(sizes[b : end + 1]) <= room:
+                end += 1
+            out.append(" ".join(parts[j] for j in (*before, *range(a, end))))
         return out
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -119,6 +125,39 @@ def budget_chunks(docs: DataFrame, budget: int = 500, carried: int = 2, share: f
     return _exploded(docs, F.pandas_udf(run, "array<string>")(own, sizes, title), text)
 
 
+def code_chunks(docs: DataFrame, size: int = 1200, overlap: int = 150, text: str = "text") -> DataFrame:
+    """Python sources cut in front of classes, functions and decorators at the left margin; short neighbours stay together, long ones are split on."""
+    opening = re.compile(r"(?m)^(?=(?:class|def|async def)\s|@)")
+
+    def pack(source: str) -> list[str]:
+        out, current = [], ""
+        for part in opening.split(source):
+            if current and len(current) + len(part) > size:
+                out.extend(split_text(current, size, overlap))
+                current = ""
+            # a decorator stays with what it decorates
+            current += part
+        return out + split_text(current, size, overlap)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([pack(t or "") for t in texts])
+
+    return _exploded(docs, F.pandas_udf(run, "array<string>")(text), text)
+
+
+def hybrid_chunks(rows: DataFrame, threshold: float = 0.3, coarse_tokens: int = 500, max_tokens: int = 800, min_tokens: int = 150) -> DataFrame:
+    """Sentences (doc_id, position, text, embedding) cut coarsely by tokens, then where the topic turns: (doc_id, chunk_index, chunk_text, n_sentences).
+
+    Parts below ``min_tokens`` join the one before; no sentence is lost.
+    """
+    running = F.sum(token_estimate("text")).over(W.partitionBy("doc_id").orderBy("position").rowsBetween(W.unboundedPreceding, 0))
+    coarse = rows.withColumn("doc_id", F.struct("doc_id", F.floor((running - 1) / F.lit(coarse_tokens)).alias("coarse")))
+    parts = semantic_chunks(coarse, threshold, max_tokens, min_tokens)
+    index = F.row_number().over(W.partitionBy("doc_id.doc_id").orderBy("doc_id.coarse", "chunk_index")) - 1
+    return parts.withColumn("_index", index).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("_index").cast("long").alias("chunk_index"), "chunk_text", "n_sentences")
+
+
 def semantic_chunks(rows: DataFrame, threshold: float = 0.5, max_tokens: int = 500, min_tokens: int = 20) -> DataFrame:
     """Chunks of sentences (doc_id, position, text, embedding): (doc_id, chunk_index, chunk_text, n_sentences).
 
@@ -183,10 +222,8 @@ def preview(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def chunks(docs: DataFrame, strategy: str = "recursive", **options) -> DataFrame:
-    """Chunks by one of the strategies fixed, recursive, budget, header."""
-    known = {"fixed": fixed_chunks, "recursive": recursive_chunks, "budget": budget_chunks, "header": header_chunks}
+    """Chunks by one of the strategies fixed, recursive, budget, header (or markdown), code; of sentences with embeddings, semantic or hybrid."""
+    known = {"fixed": fixed_chunks, "recursive": recursive_chunks, "budget": budget_chunks, "header": header_chunks, "markdown": header_chunks, "code": code_chunks, "semantic": semantic_chunks, "hybrid": hybrid_chunks}
     if strategy not in known:
         raise ValueError(f"strategy must be one of {sorted(known)}")
     return known[strategy](docs, **options)
-
-

@@ -202,6 +202,19 @@ def rerank(results: DataFrame, query: Column | str, text: Column | str, k: int,
     return top_k(rescored if threshold is None else rescored.where(F.col("score") >= threshold), k)
 
 
+def decomposed(queries: DataFrame, retrieve, k: int = 10, most: int = 4, each: int = 3) -> DataFrame:
+    """Queries (query_id, query, parts) and their parts, up to ``most`` different texts, retrieved at once and fused.
+
+    ``parts`` is an array of subquestions; ``retrieve`` gives (query_id, doc_id, rank) for
+    rows (query_id, query). Each text gives its best min(``each``, k).
+    """
+    texts = F.slice(F.array_distinct(F.concat(F.array("query"), F.coalesce("parts", F.array().cast("array<string>")))), 1, most)
+    asked = stored(queries.select("query_id", F.posexplode(texts).alias("part", "query")).withColumn("part_id", F.struct("query_id", "part")), "decomposed")
+    found = retrieve(asked.select(F.to_json("part_id").alias("query_id"), "query")).where(F.col("rank") <= min(each, k))
+    named = found.withColumnRenamed("query_id", "_part").join(asked.select(F.to_json("part_id").alias("_part"), "query_id", F.col("part").cast("string").alias("list")), "_part")
+    return top_k(rrf(named.select("query_id", "doc_id", "list", "rank")), k)
+
+
 def without_reranker(results: DataFrame) -> DataFrame:
     """Scores that fall by 0.01 with each rank, in the order given."""
     return results.withColumn("score", 1 - 0.01 * (F.col("rank") - 1))

@@ -314,7 +314,7 @@ def metrics_no_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.no_answer_rate(queries, results).withColumn("empty_rate", F.round("empty_rate", 6))
 
 
-@query("""select unnest(['p_size', 'p_retailprice', 'p_brand']) as "column", unnest([0, 0, 0])::bigint as missing, (select count(*) from part) as filled, unnest(['number', 'number', 'text']) as kind,
+@query("""select unnest(['p_size', 'p_retailprice', 'p_brand']) as "column", unnest([0, 0, 0])::bigint as missing, (select count(*) from part) as filled, unnest([(select count(distinct p_size) from part), (select count(distinct p_retailprice) from part), (select count(distinct p_brand) from part)]) as "distinct", unnest(['number', 'number', 'text']) as kind,
   unnest([(select min(p_size)::double from part), (select min(p_retailprice) from part), null]) as minimum, unnest([(select max(p_size)::double from part), (select max(p_retailprice) from part), null]) as maximum,
   unnest([(select round(avg(p_size), 6) from part), (select round(avg(p_retailprice), 6) from part), null]) as mean""")
 def stats_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,12 +403,17 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events),
+r as (select user_id, event_id, ts, n, true as allowed, cast(null as timestamp) as older, ts as newer from e where n = 1
+  union all select e.user_id, e.event_id, e.ts, e.n, r.older is null or r.older <= e.ts - interval '1 hour',
+    case when r.older is null or r.older <= e.ts - interval '1 hour' then r.newer else r.older end, case when r.older is null or r.older <= e.ts - interval '1 hour' then e.ts else r.newer end
+  from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+select cast(user_id as varchar) as key, event_id, ts, allowed from r""")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two requests of a user an hour; tests hold the decisions against a plain loop."""
     base = fresh_path(spark, "stream")
     ratelimit.limit_stream(_stream(spark, sf_dir), "user_id", 2, 3600, f"{base}/table", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/table/decisions").drop("generation")
+    return spark.read.parquet(f"{base}/table/decisions").drop("generation").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("select event_id, (select count(*) from events o where o.user_id = e.user_id and o.ts > e.ts - interval '1 hour' and o.ts <= e.ts) as in_window from events e")

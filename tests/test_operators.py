@@ -224,3 +224,42 @@ def test_totals_over_ranges(spark):
     assert got == {(g, k): (k + 1, sum(j % 7 for j in range(k + 1))) for g in ("a", "b", None) for k in range(100)}
     following = {(r.g, r.k): r.next_w for r in ordered.with_next(rows, ["g"], ["k"], ["w"]).collect()}
     assert following == {(g, k): (k + 1) % 7 if k < 99 else None for g in ("a", "b", None) for k in range(100)}
+
+
+def test_code_and_hybrid_chunks(spark):
+    source = "import os\n\n\n@cached\ndef one():\n    return 1\n\n\nclass Two:\n    x = 2\n\n\ndef three():\n    return " + "3" * 60 + "\n"
+    rows = chunking.chunks(spark.createDataFrame([(1, source), (2, None)], "doc_id long, text string"), "code", size=60, overlap=0).orderBy("chunk_index").collect()
+    assert [r.chunk_text.split("\n")[0] for r in rows][:2] == ["import os", "class Two:"] and "".join(r.chunk_text for r in rows).replace("\n", "").count("3") == 60
+    sentences = spark.createDataFrame([(1, k, f"sentence number {k} here", [1.0, 0.0] if k < 5 else [0.0, 1.0]) for k in range(10)], "doc_id long, position long, text string, embedding array<double>")
+    parts = chunking.chunks(sentences, "hybrid", coarse_tokens=1000, max_tokens=1000, min_tokens=3).orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.n_sentences) for r in parts] == [(0, 5), (1, 5)]
+    assert sum(r.n_sentences for r in chunking.hybrid_chunks(sentences, coarse_tokens=20, min_tokens=4).collect()) == 10
+
+
+def test_budget_chunks_take_neighbours_along(spark):
+    text = " ".join(f"This is sentence {k:02d} of it." for k in range(12))
+    rows = chunking.budget_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), budget=30, carried=1).orderBy("chunk_index").collect()
+    assert len(rows) > 2 and all(f"sentence {k:02d}" in " ".join(r.chunk_text for r in rows) for k in range(12))
+    first = [r.chunk_text.count("sentence") for r in rows]
+    assert first[1] > first[0] - 1 and rows[1].chunk_text.startswith(rows[0].chunk_text.split(". ")[-1].split(" of")[0][:10])
+
+
+def test_decomposed_queries_are_fused(spark):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, "blue sky")], "doc_id long, text string")
+    ask = spark.createDataFrame([(7, "red pear", ["red", "pear", "red"]), (8, "sky", None)], "query_id long, query string, parts array<string>")
+    got = retrieval.decomposed(ask, lambda q: retrieval.bm25(docs, q, "query_id", "query", 3), k=2).collect()
+    assert {(r.query_id, r.doc_id) for r in got} == {(7, 1), (7, 2), (8, 3)}
+
+
+def test_profiles(spark):
+    rows = spark.createDataFrame([("1", "a"), ("2", "a"), ("2", " "), (None, "b")], "x string, y string")
+    got = {r.column: tuple(r)[1:] for r in stats.profile(rows).collect()}
+    assert got == {"x": (1, 3, 2, "number", 1.0, 2.0, pytest.approx(5 / 3)), "y": (1, 3, 2, "text", None, None, None)}
+    assert {r.column: r.filled for r in stats.profile(rows.limit(0)).collect()} == {"x": 0, "y": 0}
+
+
+def test_stored_tables_can_be_removed(spark):
+    from corvane import storage
+
+    kept = storage.stored(spark.range(3), "test")
+    assert kept.count() == 3 and storage.clear(spark) >= 1 and not storage._made
