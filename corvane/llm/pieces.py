@@ -39,7 +39,7 @@ UNIGRAM, BPE = 1, 2
 #: What an unknown character costs beyond the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a task remembers in each of two generations, how long they may be, and pairs of pieces that it remembers.
-REMEMBERED, LONGEST, PAIRS = 1 << 18, 64, 1 << 19
+REMEMBERED, LONGEST, PAIRS = 1 << 17, 64, 1 << 18
 INFINITE = float("inf")
 
 

@@ -22,7 +22,6 @@ probability (1 - 0.8 ** ROWS) ** BANDS = 0.0004.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, narrow_name, small_side, spread_lookup, stored
+from .common import narrow_name, small_side, spread_lookup, stored
 from .components import connected_components
 
 #: Texts are hashed in blocks of so many shingles, which bounds a task's memory for long texts.
@@ -41,10 +40,8 @@ _RANDOM = np.random.default_rng(20)
 _FLIPS, _FACTORS = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 #: Shingles whose minima are taken at a time: the block stays in the processor's cache.
 MINIMA_BLOCK = 1 << 9
-#: Texts of a key that are compared pair by pair; those of larger keys are first held against a few centres.
+#: Texts of a key from which on they are first held against a few centres.
 CROWD = 32
-#: Pairs of texts that Python gets at a time.
-TEXT_PAIRS = 100
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -219,30 +216,8 @@ def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
     return stored(joined.select(labelled.node, F.coalesce("component", "label").alias("label")), "simhash-labels")
 
 
-def _similar_labels(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Different (a, b) labels of those pairs (x, lx, y, ly) of texts whose shingle sets have the Jaccard similarity."""
-
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, last_set = [], None, set()
-        for one, other in zip(left, right, strict=True):
-            if other != last:
-                last, last_set = other, shingle_set(other, words)
-            own = shingle_set(one, words)
-            common = len(own & last_set)
-            out.append(common > 0 and common >= similarity * (len(own) + len(last_set) - common) - 1e-9)
-        return pd.Series(out, dtype=bool)
-
-    needed = stored(pairs.select(F.col("x").alias("place")).union(pairs.select("y")).distinct(), "simhash-needed")
-    texts = texts.join(small_side(needed), "place", "left_semi")
-    first = texts.select(F.col("place").alias("x"), F.col("text").alias("left"))
-    second = texts.select(F.col("place").alias("y"), F.col("text").alias("right"))
-    both = pairs.join(first, "x").join(second, "y")
-    return both.where(similar("left", "right")).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
-
-
 def _measured(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, hashes, alone) of the nodes: their shingles' hashes, and how many of them no other of these nodes has."""
+    """(node, hashes, alone) of the nodes: their shingles' hashes (32 bits, as they travel with each key), and how many shingles no other of these nodes has (by 64 bits)."""
 
     @F.pandas_udf("array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -253,64 +228,58 @@ def _measured(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     rows = stored(rows, "simhash-shingles")
     once = rows.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     alone = once.groupBy("node").agg(F.count("*").alias("alone"))
-    return stored(rows.join(alone, "node", "left").select("node", "hashes", F.coalesce("alone", F.lit(0)).alias("alone")), "simhash-measured")
+    short = F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("hashes")
+    return stored(rows.join(alone, "node", "left").select("node", short, F.coalesce("alone", F.lit(0)).alias("alone")), "simhash-measured")
 
 
-def _crowd_links(crowd: DataFrame, centres: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) labels of ``crowd`` and ``centres`` (node, key, label) that share a key and have the similarity.
+def _similar(measured: DataFrame, rows: DataFrame, others: DataFrame, similarity: float, apart=None) -> DataFrame:
+    """(a, b) different labels of ``rows`` and ``others`` (node, key, label) that share a key and have the similarity.
 
     The join's own condition compares the sets of hashes, so only links come out of it.
     First it leaves out what cannot reach the similarity: shingles that one text alone
-    has are not shared.
+    has are not shared. ``apart`` is a further condition on nodes x and y.
     """
-    side = lambda rows, x: rows.join(measured, "node").select("key", F.col("label").alias(f"l{x}"), F.col("hashes").alias(f"h{x}"), F.size("hashes").alias(f"n{x}"), F.col("alone").alias(f"u{x}"))
+    side = lambda df, x: df.join(measured, "node").select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("hashes").alias(f"h{x}"), F.size("hashes").alias(f"n{x}"), F.col("alone").alias(f"u{x}"), *([F.col("home").alias(f"m{x}")] if "home" in df.columns else []))
     enough = lambda common: common >= similarity * (F.col("nx") + F.col("ny") - common) - 1e-9
     most = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
-    x, y = side(crowd, "x"), side(centres, "y").withColumnRenamed("key", "centre_key")
-    near = (F.col("key") == F.col("centre_key")) & (F.col("lx") != F.col("ly")) & enough(most) & enough(F.size(F.array_intersect("hx", "hy")))
-    return x.join(y, near).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
+    near = (F.col("kx") == F.col("ky")) & (F.col("lx") != F.col("ly")) & (F.lit(True) if apart is None else apart) & enough(most) & enough(F.size(F.array_intersect("hx", "hy")))
+    return side(rows, "x").join(side(others, "y"), near).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
+
+
+def _hub_links(crowd: DataFrame, measured: DataFrame, slots: int, similarity: float) -> DataFrame:
+    """Links of the nodes of crowded keys to some centres: in each of ``slots`` hashed parts of a key the node with the least share of shingles that it alone has."""
+    share = crowd.join(measured.select("node", (F.col("alone") / F.size("hashes")).alias("share")), "node")
+    least = F.min(F.struct("share", F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label")).alias("c")
+    centres = share.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(least).select("key", "c.node", "c.label")
+    return _similar(measured, crowd, centres, similarity)
 
 
-def _join_similar(shelves: DataFrame, labelled: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(node, label) after texts that share a key and have the similarity have the same label.
+def _join_similar(shelves: DataFrame, labelled: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(node, label) after ``links`` (a, b) between labels, and after texts that share a key and have the similarity have the same label.
 
-    ``shelves`` are rows (node, key). Pairs of a key are compared unless their
-    labels are equal already. A key of more than CROWD nodes is not paired at once:
-    its nodes are held against some centres, in each of ``slots`` hashed parts the node
-    with the least share of shingles that it alone has, which usually joins them all.
-    Centres are done then and leave the key, and slots grow sixteenfold each round, until
-    each key is small or has one label.
+    ``shelves`` are rows (node, key). Keys of more than CROWD nodes are first held against
+    one centre, then against one in each of 16 parts, which usually joins the groups of
+    copies in them. Of what then still has different labels in a key, all pairs are
+    compared but those of the key's most frequent label: exactly, and within the join, so
+    that no list of pairs ever exists.
     """
-    slots, measured = 1, None
-    while True:
-        rows = shelves.join(labelled, "node")
-        sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
-        # a table, as hot keys must not change and their rows are not dealt by key
-        mixed = stored(sizes.where("low != high").select("key", (F.col("c") > CROWD).alias("hot")), "simhash-mixed")
-        hot, cold = small_side(mixed.where("hot").select("key")), small_side(mixed.where("not hot").select("key"))
-        few = stored(rows.join(cold, "key", "left_semi"), "simhash-few")
-        one, other = few.select("key", F.col("node").alias("x"), F.col("label").alias("lx")), few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"))
-        pairs = stored(one.join(other, "key").where("x > y and lx != ly").select("x", "lx", "y", "ly").distinct(), "simhash-pairs")
-        links = []
-        if not pairs.isEmpty():
-            with batches_of(texts.sparkSession, TEXT_PAIRS):
-                links = [stored(_similar_labels(pairs, texts, similarity, words), "simhash-links")]
-        more = not hot.isEmpty()
-        if more:
-            crowd = stored(rows.join(hot, "key", "left_semi"), "simhash-crowd")
-            if measured is None:
-                measured = _measured(stored(crowd.select("node").distinct(), "simhash-nodes"), texts, words)
-            share = crowd.join(measured.select("node", (F.col("alone") / F.size("hashes")).alias("share")), "node")
-            least = F.min(F.struct("share", F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label")).alias("c")
-            centres = share.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(least)
-            centres = stored(centres.select("key", "c.node", "c.label"), "simhash-centres")
-            links.append(_crowd_links(crowd, centres, measured, similarity))
-            shelves = crowd.select("node", "key").join(small_side(centres.select("key", "node")), ["key", "node"], "left_anti")
-        if links:
-            labelled = _relabelled(labelled, stored(reduce(DataFrame.union, links).distinct(), "simhash-links"))
-        if not more:
-            return labelled
-        slots *= 16
+    rows = shelves.join(labelled, "node")
+    mixed = lambda df: df.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", (F.col("c") > CROWD).alias("crowded"))
+    keys = stored(mixed(rows), "simhash-mixed")
+    rows = stored(rows.join(small_side(keys), "key"), "simhash-shelved")
+    measured = _measured(rows.select("node").distinct(), texts, words)
+    found = links
+    for slots in (1, 16):
+        hubs = _hub_links(rows.where("crowded"), measured, slots, similarity)
+        found = stored(found.union(hubs).distinct() if slots == 1 else hubs, "simhash-links")
+        if not found.isEmpty():
+            labelled = _relabelled(labelled, found)
+            rows = rows.select("node", "key").join(labelled, "node")
+            rows = stored(rows.join(small_side(stored(mixed(rows), "simhash-mixed")), "key"), "simhash-shelved")
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("home"))
+    rows = stored(rows.join(counts, "key"), "simhash-shelved")
+    once = (F.col("ly") == F.col("my")) | (F.col("x") < F.col("y"))
+    return _relabelled(labelled, stored(_similar(measured, rows.where("label != home"), rows, similarity, once), "simhash-links"))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -327,10 +296,9 @@ def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarit
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
     found = stored(_sketched(texts, words), "simhash-fp").groupBy("same").agg(F.min(best).alias("best"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = stored(found.select(F.col("best.place").alias("node"), "best", "fp", "keys"), "simhash-nodes")
-    links = stored(similar_fingerprints(nodes.select("fp").distinct(), radius), "simhash-links")
-    labelled = _relabelled(stored(nodes.select("node", F.col("fp").alias("label")), "simhash-labels"), links)
-    shelves = nodes.select("node", F.explode("keys").alias("key"))
-    labelled = _join_similar(shelves, labelled, texts, similarity, words)
+    links = similar_fingerprints(nodes.select("fp").distinct(), radius)
+    labelled = nodes.select("node", F.col("fp").alias("label"))
+    labelled = _join_similar(nodes.select("node", F.explode("keys").alias("key")), labelled, links, texts, similarity, words)
     groups = nodes.join(labelled, "node").groupBy("label")
     kept = groups.agg(F.min("best").alias("best")).select(F.col("best.place").alias(place))
     return base.join(kept, place, "left_semi").select(docs.columns)

@@ -29,7 +29,7 @@ from .common import narrow_name, stored
 BUCKETS = 1 << 20
 WORD = re.compile(r"\w+")
 #: Words whose bucket or score a task remembers; then it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Taken from every token's score: the passage must earn it.
 DRIFT = 0.2
 #: Standard errors by which scores are drawn towards zero.
