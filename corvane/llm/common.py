@@ -3,46 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words in several contracts: space and \t \n \v \f \r.
-ASCII_SPACE = "\x20\x09-\x0d"
-
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where unset and the master is local, as in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if "dir" not in _fallback:
-        _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    return _fallback["dir"]
-
+from ..storage import fresh_path, stored
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+__all__ = ["ascii_lower", "batches_of", "fresh_path", "modest_batches", "narrow_name", "small_side", "spread_lookup", "stored", "table"]
 
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage: what was computed survives the loss of any executor,
-    and partition ids or random draws in it can no longer change.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Characters that separate words in several contracts: space and \t \n \v \f \r.
+ASCII_SPACE = "\x20\x09-\x0d"
 
 
 def ascii_lower(column):
