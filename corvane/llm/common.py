@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 from collections.abc import Iterator
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path, stored
 
-__all__ = ["ascii_lower", "batches_of", "fresh_path", "modest_batches", "narrow_name", "small_side", "spread_lookup", "stored", "table"]
+__all__ = ["ascii_lower", "batches_of", "fresh_path", "give_back", "modest_batches", "narrow_name", "small_side", "spread_lookup", "stored", "table"]
 
 #: Characters that separate words in several contracts: space and \t \n \v \f \r.
 ASCII_SPACE = "\x20\x09-\x0d"
@@ -64,7 +66,7 @@ def spread_lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str, values: l
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+def modest_batches(spark: SparkSession, rows: int = 250) -> None:
     """Let Python get at most so many rows at a time, for the rest of the session: texts are long, and Spark's default is 10,000.
 
     For stages, whose plans run after they return; no result depends on it.
@@ -81,3 +83,9 @@ def batches_of(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(_BATCH, before)
+
+
+def give_back() -> None:
+    """At the end of a Python task: memory that Arrow keeps for later goes back, as idle workers of other stages live on beside the next ones."""
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()

@@ -22,6 +22,7 @@ that the acceptor leaves finite equals the library's encoding.
 from __future__ import annotations
 
 import re
+import weakref
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 SPACE = "▁"
 _SPACE_BYTES = SPACE.encode()
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -39,7 +42,7 @@ UNIGRAM, BPE = 1, 2
 #: What an unknown character costs beyond the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a task remembers in each of two generations, how long they may be, and pairs of pieces that it remembers.
-REMEMBERED, LONGEST, PAIRS = 1 << 17, 64, 1 << 18
+REMEMBERED, LONGEST, PAIRS = 1 << 16, 64, 1 << 17
 INFINITE = float("inf")
 
 
@@ -275,12 +278,6 @@ class PieceTransducer:
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<i4")
 
-    def forget(self) -> None:
-        """Give back the memory of stretches and pairs; only the model stays."""
-        self.encoded.clear()
-        self.encoded.before = {}
-        self.kept_pairs.clear()
-
     def decode(self, ids) -> str:
         """Pieces joined; bytes that are no UTF-8 become U+FFFD; the space in front goes, of each piece up to the first other character in models that drop spaces."""
         parts = list(map(self.text_of.__getitem__, ids))
@@ -297,13 +294,13 @@ class _Stretches(dict):
 
     def __init__(self, model: PieceTransducer):
         super().__init__()
-        self.model = model
+        self.path = weakref.proxy(model)  # no cycle, so the model's memory is free as soon as it is
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
         out = self.before.get(stretch)
         if out is None:
-            out = array("i", self.model.shortest_path(stretch)).tobytes()
+            out = array("i", self.path.shortest_path(stretch)).tobytes()
         if len(stretch) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.before = dict(self)
@@ -331,12 +328,11 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out: str =
     shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model_path))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = compiled(shared.value)
-        try:
-            for texts in batches:
-                yield pd.Series([model.encode(t) for t in texts])
-        finally:
-            model.forget()  # the worker goes on to other stages
+        model = PieceTransducer(shared.value)  # compiled for this task alone: the worker goes on to other stages
+        for texts in batches:
+            yield pd.Series([model.encode(t) for t in texts])
+        del model
+        give_back()
 
     return docs.withColumn(out, F.pandas_udf(run, "array<int>")(text_col))
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, stored
+from .common import give_back, narrow_name, stored
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -86,6 +86,7 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
 def _stats(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([text_stats(t) for t in texts], columns=list(STATS), dtype="int64")
+    give_back()
 
 
 def stats_of(text):

@@ -14,8 +14,8 @@ in which no key can gather more than 65 fingerprints.
 
 Copies with edits differ in too many bits for that: at a Jaccard similarity of
 0.8 in 10 of 64. keep_one_of_each therefore also looks for texts that share one of
-BANDS keys, each of ROWS minima of hashed shingles, and links those whose shingle
-sets reach the similarity, compared exactly. A pair at 0.8 shares no key with
+BANDS keys, each of ROWS minima of hashed shingles, and links those whose sets of
+hashed shingles reach the similarity. A pair at 0.8 shares no key with
 probability (1 - 0.8 ** ROWS) ** BANDS = 0.0004.
 """
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, small_side, spread_lookup, stored
+from .common import give_back, narrow_name, small_side, spread_lookup, stored
 from .components import connected_components
 
 #: Texts are hashed in blocks of so many shingles, which bounds a task's memory for long texts.
@@ -203,6 +203,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
             fps = np.array([fp for fp, _ in found], dtype=np.uint64).view(np.int64)
             same = [xxhash.xxh3_128_hexdigest(b" ".join(_words(t))) for t in texts]
             yield pd.DataFrame({"fp": fps, "same": same, "keys": [keys for _, keys in found]})
+        give_back()
 
     return docs.select("place", "doc_id", sketch("text").alias("s")).select("place", "doc_id", "s.*")
 
@@ -223,6 +224,7 @@ def _measured(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([np.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingle_set(t, words)], dtype=np.int64) for t in batch])
+        give_back()
 
     rows = texts.join(small_side(nodes), texts.place == nodes.node, "left_semi").select(F.col("place").alias("node"), hashed("text").alias("hashes"))
     rows = stored(rows, "simhash-shingles")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, stored
+from .common import give_back, narrow_name, stored
 
 BUCKETS = 1 << 20
 WORD = re.compile(r"\w+")
@@ -124,7 +124,10 @@ def _token_counts(docs: DataFrame, label: str) -> DataFrame:
                 if toxic == toxic and toxic is not None:
                     total[1 - int(toxic), at] += 1
         used = np.flatnonzero(total[2])
-        yield pd.DataFrame({"bucket": used, "toxic": total[0, used], "other": total[1, used], "every": total[2, used]})
+        found = pd.DataFrame({"bucket": used, "toxic": total[0, used], "other": total[1, used], "every": total[2, used]})
+        del seen, total
+        give_back()
+        yield found
 
     rows = docs.select("text", label).mapInPandas(count, "bucket long, toxic long, other long, every long")
     return rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("toxic", "other", "every")))
@@ -228,6 +231,7 @@ def scored(docs: DataFrame, model: ToxicityModel, out: str = "toxicity") -> Data
                 evidence, found = m.evidence(*m.segments(text, seen))
                 rows.append((m.probability(evidence), float(evidence), [dict(zip(("first", "last", "score", "e_value"), x, strict=True)) for x in found]))
             yield pd.DataFrame(rows, columns=["score", "evidence", "segments"])
+        give_back()
 
     return docs.withColumn(out, judge("text"))
 
