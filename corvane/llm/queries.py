@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, pieces, quality, sharding, simhash, tokenfiles, toxicity, urlfilter, warc
+from . import decontaminate, licenses, mixing, periodic, pieces, quality, sharding, simhash, tokenfiles, toxicity, urlfilter, variants, warc
 from .common import batches_of, stored, table
 
 
@@ -52,10 +52,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10_warc(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.op11_periodic(table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.op12_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op13_mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filter, op2_sentencepiece, op3_decontaminate, op4_shards, op5_quality, op6_toxicity,
-        op7_simhash, op8_token_files, op9_licenses, op10_warc,
+        op7_simhash, op8_token_files, op9_licenses, op10_warc, op11_periodic, op12_variants, op13_mix,
     )
     return {f.__name__: _in_modest_batches(f) for f in found}
 
@@ -70,4 +82,4 @@ def _in_modest_batches(query: Callable[[SparkSession, str], DataFrame]) -> Calla
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urlfilter.OP1_SQL, "op5_quality": quality.OP5_SQL, "op10_warc": warc.OP10_SQL}
+    return {"op1_url_filter": urlfilter.OP1_SQL, "op5_quality": quality.OP5_SQL, "op10_warc": warc.OP10_SQL, "op13_mix": mixing.OP13_SQL}
