@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from ..storage import fresh_path, stored
 
 __all__ = ["ascii_lower", "batches_of", "fresh_path", "give_back", "modest_batches", "narrow_name", "small_side", "spread_lookup", "stored", "table"]
 
+_C = ctypes.CDLL(None)
+
 #: Characters that separate words in several contracts: space and \t \n \v \f \r.
 ASCII_SPACE = "\x20\x09-\x0d"
 
@@ -86,6 +89,8 @@ def batches_of(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
 
 
 def give_back() -> None:
-    """At the end of a Python task: memory that Arrow keeps for later goes back, as idle workers of other stages live on beside the next ones."""
+    """At the end of a Python task: memory that Arrow and the C library keep for later goes back, as idle workers of other stages live on beside the next ones."""
     gc.collect()
     pyarrow.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):  # glibc
+        _C.malloc_trim(0)

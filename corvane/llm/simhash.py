@@ -16,12 +16,16 @@ Copies with edits differ in too many bits for that: at a Jaccard similarity of
 0.8 in 10 of 64. keep_one_of_each therefore also looks for texts that share one of
 BANDS keys, each of ROWS minima of hashed shingles, and links those whose sets of
 hashed shingles reach the similarity. A pair at 0.8 shares no key with
-probability (1 - 0.8 ** ROWS) ** BANDS = 0.0004.
+probability (1 - 0.8 ** ROWS) ** BANDS = 0.0004. Keys bring ids and signatures (a byte
+of each minimum) together; whole sets are fetched for pairs whose signatures allow the
+similarity, which those of a pair at 0.8 fail to do with probability below 1e-7.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,8 @@ from .components import connected_components
 BLOCK = 1 << 16
 #: Keys of a text by which edited copies are looked for, and minima in each.
 BANDS, ROWS = 20, 5
+#: Numbers in a signature: a byte of each minimum.
+SIGNATURE = -(-BANDS * ROWS // 8)
 _RANDOM = np.random.default_rng(20)
 _FLIPS, _FACTORS = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 #: Shingles whose minima are taken at a time: the block stays in the processor's cache.
@@ -52,15 +58,28 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return value
 
 
-def band_keys(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, list[int]]:
-    """The fingerprint, and BANDS keys of the set of word shingles; no words: none."""
-    value, least = 0, np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def band_keys(text: str | None, words: int = 5, seed: int = 42) -> tuple[int, int, list[int], list[int]]:
+    """The fingerprint, and of the set of word shingles the size, BANDS keys and the signature; no words: no keys.
+
+    The signature holds the lowest byte of each of the BANDS * ROWS minima, eight in a number.
+    """
+    value, least, seen = 0, np.full(BANDS * ROWS, np.iinfo(np.uint64).max), []
     for value, hashes in _hashed(text, words, seed):
+        seen = [np.unique(np.concatenate([*seen, hashes]))]
         for at in range(0, len(hashes), MINIMA_BLOCK):
             np.minimum(least, ((hashes[at : at + MINIMA_BLOCK] ^ _FLIPS[:, None]) * _FACTORS[:, None]).min(axis=1), out=least)
     raw, step = least.tobytes(), 8 * ROWS
     keys = [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) - (1 << 63) for k in range(BANDS)]
-    return value, keys if (text or "").split() else []
+    # the lowest bits of products are those of their factors, so the bytes are taken from higher ones
+    low = np.zeros(8 * SIGNATURE, dtype=np.uint8)
+    low[: BANDS * ROWS] = (least >> np.uint64(24)).astype(np.uint8)
+    return value, len(seen[0]) if seen else 0, keys if seen else [], low.view(np.int64).tolist()
+
+
+def most_differing(similarity: float) -> int:
+    """Bytes in which signatures of sets of that similarity differ at most: six standard deviations above the mean."""
+    n = BANDS * ROWS
+    return int(n * (1 - similarity) + 6 * (n * similarity * (1 - similarity)) ** 0.5)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -194,15 +213,14 @@ def fingerprint_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """place, doc_id, fp (fingerprint), same (digest of the words in order) and keys (of band_keys) of each text."""
+    """place, doc_id, fp (fingerprint), same (digest of the words in order), and of the set of shingles its size n, keys and sig (of band_keys) of each text."""
 
-    @F.pandas_udf("fp long, same string, keys array<long>")
+    @F.pandas_udf("fp long, same string, n long, keys array<long>, sig array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [band_keys(t, words) for t in texts]
-            fps = np.array([fp for fp, _ in found], dtype=np.uint64).view(np.int64)
-            same = [xxhash.xxh3_128_hexdigest(b" ".join(_words(t))) for t in texts]
-            yield pd.DataFrame({"fp": fps, "same": same, "keys": [keys for _, keys in found]})
+            rows = [(fp, xxhash.xxh3_128_hexdigest(b" ".join(_words(t))), n, keys, sig) for t in texts for fp, n, keys, sig in [band_keys(t, words)]]
+            found = pd.DataFrame(rows, columns=["fp", "same", "n", "keys", "sig"])
+            yield found.assign(fp=np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64))
         give_back()
 
     return docs.select("place", "doc_id", sketch("text").alias("s")).select("place", "doc_id", "s.*")
@@ -217,8 +235,8 @@ def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
     return stored(joined.select(labelled.node, F.coalesce("component", "label").alias("label")), "simhash-labels")
 
 
-def _measured(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, hashes, alone) of the nodes: their shingles' hashes (32 bits, as they travel with each key), and how many shingles no other of these nodes has (by 64 bits)."""
+def _shingle_sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the hashed shingles of each of these nodes, once."""
 
     @F.pandas_udf("array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -226,62 +244,84 @@ def _measured(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield pd.Series([np.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingle_set(t, words)], dtype=np.int64) for t in batch])
         give_back()
 
-    rows = texts.join(small_side(nodes), texts.place == nodes.node, "left_semi").select(F.col("place").alias("node"), hashed("text").alias("hashes"))
-    rows = stored(rows, "simhash-shingles")
-    once = rows.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    alone = once.groupBy("node").agg(F.count("*").alias("alone"))
-    short = F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("hashes")
-    return stored(rows.join(alone, "node", "left").select("node", short, F.coalesce("alone", F.lit(0)).alias("alone")), "simhash-measured")
+    rows = texts.join(small_side(nodes), texts.place == nodes.node, "left_semi")
+    return stored(rows.select(F.col("place").alias("node"), hashed("text").alias("hashes")), "simhash-shingles")
+
+
+def _differing(a: str, b: str):
+    """Bytes in which the signatures in two columns differ: bits are folded into each byte's lowest."""
 
+    def bytes_of(k: int):
+        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-def _similar(measured: DataFrame, rows: DataFrame, others: DataFrame, similarity: float, apart=None) -> DataFrame:
-    """(a, b) different labels of ``rows`` and ``others`` (node, key, label) that share a key and have the similarity.
+    return reduce(add, (bytes_of(k) for k in range(SIGNATURE)))
 
-    The join's own condition compares the sets of hashes, so only links come out of it.
-    First it leaves out what cannot reach the similarity: shingles that one text alone
-    has are not shared. ``apart`` is a further condition on nodes x and y.
+
+def _candidates(rows: DataFrame, others: DataFrame, similarity: float, apart=None) -> DataFrame:
+    """(x, y, a, b, differing): nodes x of ``rows`` and y of ``others`` that share a key, with their different labels a and b, unless sizes or signatures show that they cannot be similar.
+
+    Only ids, sizes and signatures take part, all of fixed width. ``apart`` is a further condition.
     """
-    side = lambda df, x: df.join(measured, "node").select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("hashes").alias(f"h{x}"), F.size("hashes").alias(f"n{x}"), F.col("alone").alias(f"u{x}"), *([F.col("home").alias(f"m{x}")] if "home" in df.columns else []))
-    enough = lambda common: common >= similarity * (F.col("nx") + F.col("ny") - common) - 1e-9
-    most = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
-    near = (F.col("kx") == F.col("ky")) & (F.col("lx") != F.col("ly")) & (F.lit(True) if apart is None else apart) & enough(most) & enough(F.size(F.array_intersect("hx", "hy")))
-    return side(rows, "x").join(side(others, "y"), near).select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct()
+    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), *([F.col("home").alias(f"m{x}")] if "home" in df.columns else []))
+    alike = (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9) & (_differing("sx", "sy") <= most_differing(similarity))
+    near = (F.col("kx") == F.col("ky")) & (F.col("lx") != F.col("ly")) & (F.lit(True) if apart is None else apart) & alike
+    return side(rows, "x").join(side(others, "y"), near).select("x", "y", F.col("lx").alias("a"), F.col("ly").alias("b"), _differing("sx", "sy").alias("differing"))
+
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those ``pairs`` (x, y, a, b), each given once, whose sets have the similarity. Each join has one set for a key."""
+    pairs = stored(pairs, "simhash-pairs")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"))
+    common = F.size(F.array_intersect("hx", "hy"))
+    enough = common >= similarity * (F.size("hx") + F.size("hy") - common) - 1e-9
+    return stored(pairs.join(side("x"), "x").join(side("y"), "y").where(enough).select("a", "b").distinct(), "simhash-links")
 
-def _hub_links(crowd: DataFrame, measured: DataFrame, slots: int, similarity: float) -> DataFrame:
-    """Links of the nodes of crowded keys to some centres: in each of ``slots`` hashed parts of a key the node with the least share of shingles that it alone has."""
-    share = crowd.join(measured.select("node", (F.col("alone") / F.size("hashes")).alias("share")), "node")
-    least = F.min(F.struct("share", F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label")).alias("c")
-    centres = share.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(least).select("key", "c.node", "c.label")
-    return _similar(measured, crowd, centres, similarity)
+
+def _hub_pairs(crowd: DataFrame, slots: int, similarity: float) -> DataFrame:
+    """(x, y, a, b): each node of crowded keys with the likest of its centres.
+
+    Centres are, in each of ``slots`` hashed parts of a key, the node that is in most
+    crowded keys: that from which the others were copied has more of them than its copies.
+    """
+    busy = crowd.groupBy("node").agg(F.count("*").alias("busy"))
+    parts = crowd.join(busy, "node").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots)))
+    first = F.max(F.struct("busy", F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label", "n", "sig")).alias("c")
+    centres = parts.groupBy("key", "slot").agg(first).select("key", "c.node", "c.label", "c.n", "c.sig")
+    best = F.min(F.struct("differing", "y", "a", "b")).alias("best")
+    return _candidates(crowd, centres, similarity).groupBy("x").agg(best).select("x", "best.y", "best.a", "best.b")
 
 
-def _join_similar(shelves: DataFrame, labelled: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+def _join_similar(nodes: DataFrame, labelled: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """(node, label) after ``links`` (a, b) between labels, and after texts that share a key and have the similarity have the same label.
 
-    ``shelves`` are rows (node, key). Keys of more than CROWD nodes are first held against
-    one centre, then against one in each of 16 parts, which usually joins the groups of
+    ``nodes`` have node, n, keys and sig. Nodes in keys of more than CROWD are first held against
+    the likest of one centre for each key, then of 16, which usually joins the groups of
     copies in them. Of what then still has different labels in a key, all pairs are
-    compared but those of the key's most frequent label: exactly, and within the join, so
-    that no list of pairs ever exists.
+    compared but those of the key's most frequent label. What keys bring together are
+    ids and signatures; the sets of shingles are fetched for the pairs that these leave.
     """
-    rows = shelves.join(labelled, "node")
+    shelves = nodes.select("node", "n", "sig", F.explode("keys").alias("key"))
     mixed = lambda df: df.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", (F.col("c") > CROWD).alias("crowded"))
+    rows = shelves.select("node", "key").join(labelled, "node")
     keys = stored(mixed(rows), "simhash-mixed")
-    rows = stored(rows.join(small_side(keys), "key"), "simhash-shelved")
-    measured = _measured(rows.select("node").distinct(), texts, words)
+    kept = stored(shelves.join(small_side(keys.select("key")), "key", "left_semi"), "simhash-shelved")
+    sets = _shingle_sets(kept.select("node").distinct(), texts, words)
     found = links
-    for slots in (1, 16):
-        hubs = _hub_links(rows.where("crowded"), measured, slots, similarity)
-        found = stored(found.union(hubs).distinct() if slots == 1 else hubs, "simhash-links")
+    for slots in (1, 16, 0):
         if not found.isEmpty():
             labelled = _relabelled(labelled, found)
-            rows = rows.select("node", "key").join(labelled, "node")
-            rows = stored(rows.join(small_side(stored(mixed(rows), "simhash-mixed")), "key"), "simhash-shelved")
+        rows = kept.join(labelled, "node")
+        rows = stored(rows.join(small_side(stored(mixed(rows), "simhash-mixed")), "key"), "simhash-shelved")
+        if slots:
+            found = _verified(_hub_pairs(rows.where("crowded"), slots, similarity), sets, similarity)
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("home"))
     rows = stored(rows.join(counts, "key"), "simhash-shelved")
     once = (F.col("ly") == F.col("my")) | (F.col("x") < F.col("y"))
-    return _relabelled(labelled, stored(_similar(measured, rows.where("label != home"), rows, similarity, once), "simhash-links"))
+    pairs = _candidates(rows.where("label != home"), rows, similarity, once).select("x", "y", "a", "b").distinct()
+    return _relabelled(labelled, _verified(pairs, sets, similarity))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -296,12 +336,13 @@ def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarit
     base = stored(docs.withColumn(place, F.monotonically_increasing_id()), "simhash-input")
     texts = base.select(F.col(place).alias("place"), "doc_id", "text")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    found = stored(_sketched(texts, words), "simhash-fp").groupBy("same").agg(F.min(best).alias("best"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    nodes = stored(found.select(F.col("best.place").alias("node"), "best", "fp", "keys"), "simhash-nodes")
+    firsts = (F.first(c).alias(c) for c in ("fp", "n", "keys", "sig"))
+    found = stored(_sketched(texts, words), "simhash-fp").groupBy("same").agg(F.min(best).alias("best"), *firsts)
+    nodes = stored(found.select(F.col("best.place").alias("node"), "best", "fp", "n", "keys", "sig"), "simhash-nodes")
     links = similar_fingerprints(nodes.select("fp").distinct(), radius)
     labelled = nodes.select("node", F.col("fp").alias("label"))
-    labelled = _join_similar(nodes.select("node", F.explode("keys").alias("key")), labelled, links, texts, similarity, words)
-    groups = nodes.join(labelled, "node").groupBy("label")
+    labelled = _join_similar(nodes, labelled, stored(links, "simhash-links"), texts, similarity, words)
+    groups = nodes.select("node", "best").join(labelled, "node").groupBy("label")
     kept = groups.agg(F.min("best").alias("best")).select(F.col("best.place").alias(place))
     return base.join(kept, place, "left_semi").select(docs.columns)
 
