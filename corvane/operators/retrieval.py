@@ -19,6 +19,8 @@ from ..storage import stored
 
 #: Bytes of query vectors that go to the executors at a time.
 VECTOR_BLOCK_BYTES = 32 << 20
+#: Queries and rows of which a task multiplies all pairs at a time: 32 MB of scores.
+TILE_QUERIES, TILE_ROWS = 2048, 2048
 #: Rows (query, term) of a batch up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -85,77 +87,100 @@ def bm25(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k:
     return top_k(bm25_scores(docs, queries, query_id, query_text, **options).where("score > 0"), k)
 
 
-def _substrings(text: Column, n: int) -> Column:
-    """All stretches of ``n`` characters."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda at: F.substring(text, at, F.lit(n)))
-
-
 def overlap_fallback(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10) -> DataFrame:
-    """For queries no document has a term of: share of the query's tokens that occur anywhere in the text.
+    """For queries no document has a term of: share of the query's tokens that occur anywhere in the text, within words too.
 
-    Substrings are found by their first characters, up to three: documents and tokens
-    join on these, and what they share is then looked up in the text.
+    A token is a run of letters and digits, so a text has it within a word or not at all. Tokens
+    are therefore looked up in the corpus's different words, by their first three
+    characters at each place of a word; documents then join the words that hold one.
+    All other queries, and those without tokens, have no rows.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("tokens"))
-    listed = asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).withColumn("head", F.substring("token", 1, 3))
-    heads = listed.select("head").distinct()
-    bodies = docs.select("doc_id", F.lower("text").alias("body")).where("body is not null")
-    cuts = F.concat(*(_substrings(F.col("body"), n) for n in (1, 2, 3)))
-    found = bodies.select("doc_id", F.explode(F.array_distinct(cuts)).alias("head")).join(heads, "head", "left_semi")
-    pairs = found.join(listed.select("head", "token").distinct(), "head").select("doc_id", "token")
-    held = pairs.join(bodies, "doc_id").where(F.contains("body", F.col("token"))).select("doc_id", "token")
-    shares = held.join(listed.select("query_id", "n", "token"), "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("score"))
+    terms = stored(postings(docs).groupBy("term").agg(F.count("*").alias("df")), "overlap-words")
+    asked = stored(queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("tokens")).select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "overlap-tokens")
+    answered = asked.join(terms, asked["token"] == terms["term"], "left_semi").select("query_id").distinct()
+    open_ = stored(asked.join(answered, "query_id", "left_anti"), "overlap-open")
+    if open_.isEmpty():
+        return top_k(open_.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")), 0)
+    heads = open_.select("token", F.substring("token", 1, 3).alias("head"), F.least(F.length("token"), F.lit(3)).alias("width")).distinct()
+    widths = F.array(*(F.lit(w) for w in range(1, 4)))
+    cuts = F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - w + 1, F.lit(1))), lambda at: F.substring(F.col("term"), at, w)))))
+    within = terms.select("term", F.explode(cuts).alias("head")).join(heads, "head").where(F.contains("term", F.col("token"))).select("term", "token").distinct()
+    within = stored(within, "overlap-within")
+    small = within.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    words = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    held = words.join(F.broadcast(within) if small else within, "term").select("doc_id", "token").distinct()
+    shares = held.join(open_, "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("score"))
     return top_k(shares, k)
 
 
+def bm25_or_overlap(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10) -> DataFrame:
+    """BM25, and for queries without any term in the corpus the share of tokens within words; ``method`` says which."""
+    columns = ("query_id", "doc_id", "score", "rank")
+    lexical = bm25(docs, queries, query_id, query_text, k).select(*columns, F.lit("bm25").alias("method"))
+    return lexical.unionByName(overlap_fallback(docs, queries, query_id, query_text, k).select(*columns, F.lit("overlap").alias("method")))
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """Exact nearest rows by cosine: (query_id, vec_id, score, rank).
 
     ``queries``: (query_id, embedding). Their vectors go to the tasks in blocks of
-    bounded size, one pass over ``vectors`` for each; a task keeps its best ``k`` for
-    each query, and only those are shuffled. Zero vectors score 0; rows without a vector
-    or an id are left out. Equal scores, to nine digits, are ranked by id.
+    bounded size, one pass over ``vectors`` for each; a task multiplies at most TILE_QUERIES *
+    TILE_ROWS pairs at a time and keeps its best ``k`` for each query, and only those are shuffled. Zero vectors score 0;
+    rows and queries without a vector or an id, or with a null or NaN in the vector, are left out. Vectors of different
+    lengths are an error that names the first id. Equal scores, to nine digits, are ranked by id.
     """
     spark = vectors.sparkSession
-    n, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    schema = "query_id long, vec_id long, score double"
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    queries = queries.where(F.col("query_id").isNotNull() & whole("embedding")).select("query_id", "embedding")
+    n, width, least, odd = queries.agg(F.count("*"), F.max(F.size("embedding")), F.min(F.size("embedding")), F.max_by("query_id", F.size("embedding"))).first()
+    types = (queries.schema["query_id"].dataType, vectors.schema[vec_id].dataType)
+    schema = f"query_id {types[0].simpleString()}, vec_id {types[1].simpleString()}, score double"
     if not n:
         return spark.createDataFrame([], schema + ", rank long")
-    blocks = max(1, -(-n * max(width or 1, 1) * 8 // VECTOR_BLOCK_BYTES))
+    if width != least:
+        raise ValueError(f"query vectors have {least} to {width} numbers; one of {width} is {odd!r}")
+    blocks = max(1, -(-n * max(width, 1) * 8 // VECTOR_BLOCK_BYTES))
+    same = F.when(F.size(embedding) == width, F.col(embedding)).otherwise(F.raise_error(F.concat(F.lit(f"a vector has not {width} numbers: "), F.col(vec_id).cast("string"))).cast(vectors.schema[embedding].dataType))
+    rows = vectors.where(F.col(vec_id).isNotNull() & whole(embedding)).select(F.col(vec_id).alias("vec_id"), same.alias("embedding"))
     found = None
     for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "embedding").collect()
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         if not own:
             continue
-        ids = np.array([r[0] for r in own], dtype=np.int64)
-        matrix = _unit(np.array([r[1] for r in own], dtype=np.float64))
+        ids = pd.Series([r[0] for r in own]).to_numpy()
+        matrix = _unit(np.array([r[1] for r in own], dtype=np.float64).reshape(len(own), width))
         shared = spark.sparkContext.broadcast((ids, matrix))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
-            best: pd.DataFrame | None = None
+            best: dict[int, pd.DataFrame] = {}
             for batch in batches:
-                batch = batch[batch[embedding].notna() & batch[vec_id].notna()]
-                if batch.empty:
-                    continue
-                own = batch[vec_id].astype(np.int64).to_numpy()
-                scores = matrix @ _unit(np.stack(batch[embedding].to_list()).astype(np.float64)).T
-                if exclude_self:
-                    scores[ids[:, None] == own[None, :]] = -np.inf
-                # every row that may be among the best k in the order of rounded scores, ties included
-                least = np.partition(scores, -k, axis=1)[:, -k] if 0 < k < scores.shape[1] else np.full(len(ids), -np.inf)
-                q, at = np.nonzero((scores >= least[:, None] - 2e-9) & np.isfinite(scores))
-                rows = pd.DataFrame({"query_id": ids[q], "vec_id": own[at], "score": scores[q, at]})
-                best = rows if best is None else pd.concat([best, rows])
-                best = best.assign(r=best["score"].round(9)).sort_values(["query_id", "r", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k).drop(columns="r")
-            if best is not None:
-                yield best
-
-        part = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias(vec_id), embedding).mapInPandas(search, schema)
+                for low in range(0, len(batch), TILE_ROWS):
+                    rows = batch.iloc[low : low + TILE_ROWS]
+                    own, units = rows["vec_id"].to_numpy(), _unit(np.stack(rows["embedding"].to_list()).astype(np.float64))
+                    for at in range(0, len(ids), TILE_QUERIES):
+                        asked = ids[at : at + TILE_QUERIES]
+                        scores = matrix[at : at + TILE_QUERIES] @ units.T
+                        if exclude_self and asked.dtype == own.dtype:
+                            scores[asked[:, None] == own[None, :]] = -np.inf
+                        best[at] = _best(best.get(at), asked, own, scores, k)
+            yield from best.values()
+
+        part = rows.mapInPandas(search, schema)
         found = part if found is None else found.union(part)
     return top_k(found, k, item="vec_id")
 
 
+def _best(before: pd.DataFrame | None, ids: np.ndarray, own: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The best ``k`` of ``before`` and these scores for each query, in the order of rounded scores and ids."""
+    # every row that may be among the best k, ties included
+    least = np.partition(scores, -k, axis=1)[:, -k] if 0 < k < scores.shape[1] else np.full(len(ids), -np.inf)
+    q, at = np.nonzero((scores >= least[:, None] - 2e-9) & np.isfinite(scores))
+    rows = pd.DataFrame({"query_id": ids[q], "vec_id": own[at], "score": scores[q, at]})
+    rows = rows if before is None else pd.concat([before, rows])
+    return rows.assign(r=rows["score"].round(9)).sort_values(["query_id", "r", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k).drop(columns="r")
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows by their length; zero rows stay zero."""
     norm = np.linalg.norm(rows, axis=1, keepdims=True)

@@ -10,11 +10,12 @@ from .evaluations import catalogue as evaluations
 from .records import catalogue as records
 from .relations import catalogue as relations
 from .retrieval import catalogue as retrieval
+from .services import catalogue as services
 
 
 def queries() -> dict[str, Query]:
-    return retrieval.queries | corpus.queries | answers.queries | details.queries | records.queries | relations.queries | evaluations.queries
+    return retrieval.queries | corpus.queries | answers.queries | details.queries | records.queries | relations.queries | evaluations.queries | services.queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.sql | corpus.sql | answers.sql | details.sql | records.sql | relations.sql | evaluations.sql
+    return retrieval.sql | corpus.sql | answers.sql | details.sql | records.sql | relations.sql | evaluations.sql | services.sql

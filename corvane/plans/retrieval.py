@@ -31,7 +31,7 @@ qt as (select item_id as query_id, term, count(*) as qtf from (select item_id, u
 df as (select term, count(*) as df from tf group by term)"""
 
 
-def _bm25_sql(idf: str, where: str = "", k: int = 10, extra: str = "") -> str:
+def bm25_sql(idf: str, where: str = "", k: int = 10, extra: str = "") -> str:
     return f"""with {_TOKENS}{extra},
 idf as ({idf}),
 sc as (select query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score
@@ -40,24 +40,24 @@ rk as (select *, row_number() over (partition by query_id order by round(score,
 select query_id, doc_id, rank, round(score, 6) as score from rk where rank <= {k}"""
 
 
-_LUCENE = "select term, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from df cross join st"
+LUCENE = "select term, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from df cross join st"
 _OKAPI = """select term, case when raw < 0 then 0.25 * (select avg(ln((n - df + 0.5) / (df + 0.5))) from df cross join st) else raw end as idf
   from (select term, ln((n - df + 0.5) / (df + 0.5)) as raw from df cross join st)"""
 
 
-def _published(df: DataFrame) -> DataFrame:
+def published(df: DataFrame) -> DataFrame:
     return df.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(_bm25_sql(_LUCENE))
+@query(bm25_sql(LUCENE))
 def retrieval_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents for every benchmark item."""
-    return _published(retrieval.bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "item_id", "text"))
+    return published(retrieval.bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "item_id", "text"))
 
 
-@query(_bm25_sql(_OKAPI))
+@query(bm25_sql(_OKAPI))
 def retrieval_bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _published(retrieval.bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "item_id", "text", variant="okapi"))
+    return published(retrieval.bm25(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "item_id", "text", variant="okapi"))
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +83,12 @@ def _readable(docs: DataFrame, role: str, department: str = "lab") -> DataFrame:
     return docs.where(access.is_published("state") & rule)
 
 
-@query(_bm25_sql(_LUCENE, "where doc_id in (select doc_id from acl)", 5, ", " + _READABLE))
+@query(bm25_sql(LUCENE, "where doc_id in (select doc_id from acl)", 5, ", " + _READABLE))
 def retrieval_bm25_acl_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best documents that a senior student may read: the rules come before the cut."""
     docs = derived(spark, sf_dir)
     allowed = _readable(docs, "senior_student")
-    return _published(retrieval.bm25(docs.select("doc_id", "text"), load(spark, sf_dir, "benchmark"), "item_id", "text", k=5, searched=allowed))
+    return published(retrieval.bm25(docs.select("doc_id", "text"), load(spark, sf_dir, "benchmark"), "item_id", "text", k=5, searched=allowed))
 
 
 _COSINE = """sc as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score
@@ -116,7 +116,7 @@ def retrieval_vector_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFram
 
 #: Two rankings of documents for each benchmark item: BM25, and the vectors with the same numbers.
 _LISTS = f"""{_TOKENS},
-idf as ({_LUCENE}),
+idf as ({LUCENE}),
 sc as (select query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score
   from tf join qt using (term) join idf using (term) join dl using (doc_id) cross join st group by all),
 lex as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0),
@@ -151,7 +151,7 @@ select query_id, doc_id, rank, round(score, 6) as score from rk where rank <= 10
 def retrieval_score_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical, near = _lists(spark, sf_dir)
     rows = lexical.select("query_id", "doc_id", F.lit("bm25").alias("list"), "rank").unionByName(near.select("query_id", "doc_id", F.lit("vector").alias("list"), "rank"))
-    return _published(retrieval.top_k(retrieval.score_fusion(rows, {"bm25": 0.7, "vector": 0.3}), 10))
+    return published(retrieval.top_k(retrieval.score_fusion(rows, {"bm25": 0.7, "vector": 0.3}), 10))
 
 
 _HALVES = """halves as (select item_id, part, case part when 0 then substr(text, 1, length(text) // 2) else substr(text, length(text) // 2 + 1) end as text
@@ -159,7 +159,7 @@ _HALVES = """halves as (select item_id, part, case part when 0 then substr(text,
 
 
 @query(f"""with {_HALVES}, {_TOKENS.replace("select item_id as query_id", "select item_id * 2 + part as query_id").replace("(select item_id, unnest", "(select item_id, part, unnest").replace("from benchmark)", "from halves)")},
-idf as ({_LUCENE}),
+idf as ({LUCENE}),
 sc as (select query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score
   from tf join qt using (term) join idf using (term) join dl using (doc_id) cross join st group by all),
 lists as (select query_id // 2 as query_id, query_id % 2 as list, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0),
@@ -173,13 +173,13 @@ def retrieval_multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = load(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parts).alias("part", "text")).select((F.col("item_id") * 2 + F.col("part")).alias("query_id"), "text")
     found = retrieval.bm25(load(spark, sf_dir, "documents"), halves, "query_id", "text", k=10)
     lists = found.select(F.floor(F.col("query_id") / 2).cast("long").alias("query_id"), "doc_id", (F.col("query_id") % 2).cast("string").alias("list"), "rank")
-    return _published(retrieval.top_k(retrieval.rrf(lists), 5))
+    return published(retrieval.top_k(retrieval.rrf(lists), 5))
 
 
 #: Terms as the relevance function has them; no CJK in the tables.
 _OVERLAP = "len(list_intersect(list_distinct(regexp_extract_all(lower({a}), '[a-z0-9_]+')), list_distinct(regexp_extract_all(lower({b}), '[a-z0-9_]+'))))::double / len(list_distinct(regexp_extract_all(lower({a}), '[a-z0-9_]+')))"
 _CANDIDATES = f"""{_TOKENS},
-idf as ({_LUCENE}),
+idf as ({LUCENE}),
 sc as (select query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score
   from tf join qt using (term) join idf using (term) join dl using (doc_id) cross join st group by all),
 lex as (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sc where score > 0),
@@ -198,7 +198,7 @@ rk as (select query_id, doc_id, relevance as score, row_number() over (partition
 select query_id, doc_id, rank, round(score, 6) as score from rk where rank <= 5""")
 def retrieval_overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three times the candidates, reordered by term overlap, those below the threshold dropped."""
-    return _published(retrieval.rerank(_candidates(spark, sf_dir), "query", "text", 5, threshold=0.2))
+    return published(retrieval.rerank(_candidates(spark, sf_dir), "query", "text", 5, threshold=0.2))
 
 
 @query(f"""with {_CANDIDATES},
