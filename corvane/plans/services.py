@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index
-from ..storage import fresh_path
+from ..operators import index, segmentation
+from ..sources import office
+from ..storage import fresh_path, stored
+from ..streaming import state, windows
 from .base import Catalogue, load
 from .retrieval import LUCENE, bm25_sql, published
 
@@ -35,3 +37,96 @@ def retrieval_bm25_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     whole = index.changed(spark, _indexed(spark, sf_dir), "fourth", docs.where("doc_id % 7 = 3"))
     return published(index.search(spark, index.merged(spark, whole), load(spark, sf_dir, "benchmark"), "item_id", "text", k=3))
+
+
+_SEGMENTED = r"""with recursive words as (select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) group by word),
+total as (select sum(n)::double as t from words),
+dict as (select word, round(1000000 * ln(t / n))::bigint as cost from words, total),
+runs as (select item_id, generate_subscripts(rs, 1) - 1 as run_no, unnest(rs) as run from (select item_id, regexp_extract_all(regexp_replace(lower(text), '[ \n]+', '', 'g'), '[a-z]+') as rs from benchmark)),
+cuts as (select item_id, run_no, i, w, substr(run, i + 1, w) as piece from runs, unnest(range(length(run))) as t1(i), unnest(range(1, 1 + (select max(length(word)) from words))) as t2(w) where i + w <= length(run)),
+edges as (select item_id, run_no, i, w, coalesce(cost, case when w = 1 then (select round(1000000 * ln(t))::bigint from total) end) as cost from cuts left join dict on piece = word where cost is not null or w = 1),
+dp as (select item_id, run_no, length(run) as i, [0::bigint] as best, []::bigint[] as steps from runs
+  union all
+  select item_id, run_no, i, list_prepend(b.c, best), list_prepend(-b.w, steps) from (
+    select d.item_id, d.run_no, d.i - 1 as i, any_value(d.best) as best, any_value(d.steps) as steps, min({'c': e.cost + d.best[e.w], 'w': -e.w}) as b
+    from dp d join edges e on e.item_id = d.item_id and e.run_no = d.run_no and e.i = d.i - 1 where d.i > 0 group by d.item_id, d.run_no, d.i)),
+walk as (select item_id, run_no, run, steps, 1::bigint as place, '' as words from dp join runs using (item_id, run_no) where i = 0
+  union all
+  select item_id, run_no, run, steps, place + steps[place], words || case when words = '' then '' else ' ' end || substr(run, place, steps[place]) from walk where place <= length(run))
+select item_id, run_no, words from walk where place > length(run)"""
+
+
+@query(_SEGMENTED)
+def text_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items without their spaces, cut into the words of all documents; the dictionary goes through a join of pieces."""
+    words = load(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    joined = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[ \n]+", "").alias("text"))
+    found = segmentation.segmented(joined, segmentation.dictionary(words), "item_id", runs="[a-z]+")
+    return found.select("item_id", F.col("run_no").cast("long").alias("run_no"), F.array_join("words", " ").alias("words"))
+
+
+@query("select doc_id, sha256(text) as digest, length(text) - length(replace(text, chr(10), '')) + 1 as paragraphs from documents")
+def sources_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as DOCX files, a paragraph for each line, and read again."""
+    packed = stored(office.as_docx(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "docx")
+    return office.docx_documents(packed, between="\n").select("doc_id", F.sha2("text", 256).alias("digest"), F.col("n_paragraphs").cast("long").alias("paragraphs"))
+
+
+@query("""select l_orderkey, string_agg(line, chr(10) order by place, line) as markdown from (
+  select l_orderkey, -1 as place, '| Order | Line | Flag |' || chr(10) || '| --- | --- | --- |' as line from lineitem group by l_orderkey
+  union all select l_orderkey, l_linenumber, '| ' || l_orderkey || ' | ' || l_linenumber || ' | ' || l_returnflag || ' & ' || l_linestatus || ' |' from lineitem
+  union all select l_orderkey, 1000000, '| Lines | Lines | ' || count(*) || ' |' from lineitem group by l_orderkey) group by l_orderkey""")
+def sources_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as an HTML table whose first cell is as high as it has lines, as Markdown."""
+    cells = F.concat(F.lit("<td> "), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), F.col("l_returnflag"), F.lit("\n&amp; <b>"), F.col("l_linestatus"), F.lit("</b></td>"))
+    orders = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cells.alias("cells")))).alias("lines"))
+    n = F.size("lines").cast("string")
+    body = F.array_join(F.transform("lines", lambda x: x["cells"]), "</tr><tr>")
+    html = F.concat(F.lit("<p>Order</p><table><thead><tr><th>Order<th>Line<th>Flag</tr></thead><tbody><tr><td rowspan="), n, F.lit(">"), F.col("l_orderkey").cast("string"), F.lit("</td>"), body, F.lit("</tbody><tfoot><tr><td colspan='2'>Lines</td><td>"), n, F.lit("</td></tr></tfoot></table>"))
+    return office.html_tables(orders.select("l_orderkey", html.alias("html"))).select("l_orderkey", "markdown")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, step) -> DataFrame:
+    """What ``step`` makes of the events as a stream of three files in order of time: a query's state goes on from batch to batch."""
+    base = fresh_path(spark, "state")
+    events = load(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", (F.col("value") < 50).alias("ok"))
+    for low, high in ((0, 10), (10, 20), (20, 32)):
+        events.where(F.dayofmonth("ts").between(low + 1, high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in").withWatermark("ts", "1 day")
+    with state.rocks(spark):
+        windows.run_to_end(step(rows), f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table")
+
+
+_CALLS = """calls as (select user_id, event_id, ts, coalesce(value < 50, false) as ok, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null)"""
+
+
+@query(f"""with recursive {_CALLS},
+b as (select user_id, event_id, 1::bigint as k, 'closed' as phase, true as admitted, case when ok then 0 else 1 end as failed, null::timestamp as opened from calls where k = 1
+  union all select c.user_id, c.event_id, c.k, case when c.ts < b.opened then 'open' when b.opened is not null then 'half_open' else 'closed' end, not coalesce(c.ts < b.opened, false),
+    case when c.ts < b.opened then b.failed when c.ok or b.opened is not null or b.failed >= 1 then 0 else b.failed + 1 end,
+    case when c.ts < b.opened then b.opened when c.ok then null when b.opened is not null or b.failed >= 1 then c.ts + interval 2 days end
+  from b join calls c on c.user_id = b.user_id and c.k = b.k + 1)
+select user_id::varchar as key, event_id as id, phase, admitted from b""")
+def stream_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of each user's service: after two failures in a row, two days without any."""
+    found = _streamed(spark, sf_dir, lambda rows: state.circuit_breaker(rows, "user_id", "event_id", "ts", "ok", failures=2, cooldown_seconds=2 * 86_400, forget_seconds=90 * 86_400))
+    return found.select("key", "id", "phase", "admitted")
+
+
+@query(f"""with recursive {_CALLS},
+c as (select user_id, event_id, k, ts, ts as loaded from calls where k = 1
+  union all select n.user_id, n.event_id, n.k, n.ts, case when n.ts < c.loaded + interval 18 hours then c.loaded else n.ts end from c join calls n on n.user_id = c.user_id and n.k = c.k + 1)
+select user_id::varchar as key, event_id as id, loaded < ts or k > 1 and loaded = lag(loaded) over (partition by user_id order by k) as hit, round(epoch_us(ts) / 1e6 - epoch_us(loaded) / 1e6, 3) as age_seconds from c""".replace(" or k > 1 and loaded = lag(loaded) over (partition by user_id order by k)", " or coalesce(loaded = lag(loaded) over (partition by user_id order by k), false)"))
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and misses of a cache with an entry for each user, which lives for 18 hours."""
+    found = _streamed(spark, sf_dir, lambda rows: state.cache_lookups(rows, "user_id", "event_id", "ts", 18 * 3600))
+    return found.select("key", "id", "hit", F.round("age_seconds", 3).alias("age_seconds"))
+
+
+@query(f"""with {_CALLS}, s as (select *, coalesce(ts >= lag(ts) over (partition by user_id order by k) + interval 12 hours, true) as first from calls),
+g as (select *, sum(first::int) over (partition by user_id order by k) as run from s)
+select user_id::varchar as key, event_id as id, row_number() over (partition by user_id, run order by k) as n from g""")
+def stream_expiring_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter for each user, which begins anew 12 hours after its last increment."""
+    return _streamed(spark, sf_dir, lambda rows: state.expiring_counters(rows, "user_id", "event_id", "ts", 12 * 3600)).select("key", "id", "n")
