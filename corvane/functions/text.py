@@ -78,6 +78,22 @@ def is_meaningful_query(query: Column | str) -> Column:
     return F.coalesce(compact.rlike(f"[A-Za-z0-9{CJK}]") & ~((F.length(compact) >= 32) & (distinct <= 2)), F.lit(False))
 
 
+#: What a chunker's sentences end with, and characters that stand for these within list items meanwhile.
+_MARKS, _HELD = ".!?;；．,，", "".join(chr(0xE000 + k) for k in range(8))
+_LIST_LINE = r"^[ \t]*(?:(?:\d+[.、]|[-*+])[ \t]+|[①-⑳]|[一二三四五六七八九十百零\d]+[、，])[ \t]*\S"
+_BREAKS = r"(?<=[.!?;；．])|(?<=[,，])(?=[A-Za-z一-鿿(]|\d+\.)"
+
+
+def chunk_sentences(text: Column | str) -> Column:
+    """Sentences as the chunker has them: after . ! ? ; and after a comma that a letter follows at once; lines of lists stay whole.
+
+    Marks in list lines are held back as private characters while the text is split.
+    """
+    lines = F.transform(F.split(F.coalesce(_col(text), F.lit("")), "\n"), lambda x: F.when(x.rlike(_LIST_LINE), F.translate(x, _MARKS, _HELD)).otherwise(x))
+    parts = F.transform(F.split(F.array_join(lines, "\n"), _BREAKS), lambda s: F.regexp_replace(F.translate(s, _HELD, _MARKS), r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: s != "")
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity of two arrays of numbers; 0 if one of them is zero, null if lengths differ."""
     x, y = (F.transform(_col(v), lambda e: e.cast("double")) for v in (a, b))

@@ -126,3 +126,28 @@ def no_answer_rate(queries: DataFrame, results: DataFrame) -> DataFrame:
 def rrf_score(rank: Column, k: int = 60, weight: float = 1.0) -> Column:
     """1 / (k + rank), weighted; 0 for a rank of 0 or null, which stand for absence."""
     return F.when(rank > 0, F.lit(weight) / (k + rank)).otherwise(0.0)
+
+
+def verdict_map(results: DataFrame, axes: list[str], keys: list[str]) -> DataFrame:
+    """(task_id, axis, verdict) of results with a column for each axis, an array of (item_id, verdict): supported or not_supported.
+
+    ``keys`` and the item make the task's id. Axes become rows by ``unpivot``; null arrays have no rows.
+    """
+    rows = results.unpivot(keys, axes, "axis", "items").select(*keys, "axis", F.explode("items").alias("item"))
+    task = F.concat_ws(":", *(F.col(k).cast("string") for k in keys), "axis", F.col("item.item_id").cast("string"))
+    return rows.select(task.alias("task_id"), "axis", F.when(F.col("item.verdict") == "supported", "supported").otherwise("not_supported").alias("verdict"))
+
+
+def kappa_by(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(by, n, agreement, kappa) for each value of ``by``, from one aggregation; kappa is 1 if chance alone would agree always."""
+    joint = pairs.groupBy(by, F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
+    sides = joint.select(by, F.col("x").alias("v"), F.col("n").alias("p"), F.lit(0).alias("q")).union(joint.select(by, "y", F.lit(0), "n"))
+    chance = sides.groupBy(by, "v").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).groupBy(by).agg(F.sum(F.col("p") * F.col("q")).alias("c"))
+    total = joint.groupBy(by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"))
+    observed, expected = F.col("same") / F.col("n"), F.col("c") / (F.col("n") * F.col("n"))
+    return total.join(chance, by).select(by, "n", observed.alias("agreement"), F.when(expected < 1, (observed - expected) / (1 - expected)).otherwise(1.0).alias("kappa"))
+
+
+def verdict_table(verdicts: DataFrame, axes: list[str]) -> DataFrame:
+    """(verdict, one column for each axis): numbers of tasks, by ``pivot`` with the given axes."""
+    return verdicts.groupBy("verdict").pivot("axis", axes).agg(F.count("*")).fillna(0)

@@ -42,3 +42,18 @@ def with_next(rows: DataFrame, keys: list[str], order: list, columns: list[str],
     for k in keys:
         same = same & placed[k].eqNullSafe(following[f"_key_{k}"])
     return placed.join(following, same, "left").select(*rows.columns, *(prefix + c for c in columns))
+
+
+def last_known(rows: DataFrame, keys: list[str], order: list[str], column: str, prefix: str = "last_") -> DataFrame:
+    """``rows`` with the last value of ``column`` that is not null up to each row, within ``keys`` and in a total ``order``; a join on time without pairs."""
+    placed = stored(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ordered")
+    filled = F.col(column).isNotNull()
+    tails = placed.groupBy(*keys, "_range").agg(F.max_by(column, F.when(filled, F.struct(*order))).alias("_tail"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = tails.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_range").alias("_start_range"), F.last("_tail", ignorenulls=True).over(before).alias("_start"))
+    within = F.last(column, ignorenulls=True).over(W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    same = placed["_range"] == starts["_start_range"]
+    for k in keys:
+        same = same & placed[k].eqNullSafe(starts[f"_key_{k}"])
+    joined = placed.withColumn("_within", within).join(starts, same, "left")
+    return joined.withColumn(prefix + column, F.coalesce("_within", "_start")).select(*rows.columns, prefix + column)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import index, segmentation
-from ..sources import office
+from ..functions import research, text
+from ..operators import embedding, index, memory, metrics, planner, retrieval, segmentation
+from ..sources import element_source, office
 from ..storage import fresh_path, stored
 from ..streaming import state, windows
 from .base import Catalogue, load
@@ -130,3 +131,126 @@ select user_id::varchar as key, event_id as id, row_number() over (partition by
 def stream_expiring_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A counter for each user, which begins anew 12 hours after its last increment."""
     return _streamed(spark, sf_dir, lambda rows: state.expiring_counters(rows, "user_id", "event_id", "ts", 12 * 3600)).select("key", "id", "n")
+
+
+_KIND = """case when regexp_matches(t, '^#{1,6}\\s') then 'Title' when regexp_matches(t, '^\\|[^\\n]*\\|') then 'Table' when regexp_matches(t, '^([-*+•]|[0-9]+[.)])\\s') then 'ListItem'
+  when length(t) < 80 and not regexp_matches(t, '[.!?。！？]$') then 'Title' else 'NarrativeText' end"""
+_ELEMENTS = f"""with e as (select unnest(string_split(regexp_replace(text, '\\n\\s*\\n', chr(1), 'g'), chr(1))) as t from documents), k as (select trim(t, ' ' || chr(10) || chr(13)) as t from e)
+select {_KIND} as kind, sha256(t) as digest, count(*) as n from k where trim(t, ' ' || chr(9) || chr(10) || chr(13)) != '' group by all"""
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as text files in a new folder, with a blank line after each."""
+    folder = fresh_path(spark, "texts")
+    load(spark, sf_dir, "documents").select(F.concat("text", F.lit("\n"))).write.text(folder)
+    return folder
+
+
+@query(_ELEMENTS)
+def sources_elements_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of text files by the data source, in ranges of 64 kB: kinds and texts of all."""
+    element_source.register(spark)
+    rows = spark.read.format("corvane_elements").option("glob", "part-*").option("split_bytes", 1 << 16).load(_as_files(spark, sf_dir))
+    return rows.groupBy("kind", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query(_ELEMENTS)
+def sources_elements_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as a stream."""
+    element_source.register(spark)
+    base = fresh_path(spark, "elements")
+    rows = spark.readStream.format("corvane_elements").option("glob", "part-*").load(_as_files(spark, sf_dir))
+    windows.run_to_end(rows, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table").groupBy("kind", F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("""with t as (select doc_id, text, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents), h as (select doc_id, ('0x' || substr(md5(token), 1, 8))::bigint as h from t),
+s as (select doc_id, h % 4 as slot, sum(1 - 2 * ((h // 4) % 2))::double as v from h group by all), n as (select doc_id, sqrt(sum(v * v)) as norm from s group by doc_id),
+v as (select doc_id, slot, case when norm > 0 then v / norm else 0 end as v from s join n using (doc_id)),
+w as (select doc_id, coalesce(max(v) filter (slot = 0), 0) as v0, coalesce(max(v) filter (slot = 1), 0) as v1, coalesce(max(v) filter (slot = 2), 0) as v2, coalesce(max(v) filter (slot = 3), 0) as v3 from documents left join v using (doc_id) group by doc_id)
+select doc_id, min(doc_id % 2) over (partition by text)::bigint as commit, round(v0, 6) + 0.0 as v0, round(v1, 6) + 0.0 as v1, round(v2, 6) + 0.0 as v2, round(v3, 6) + 0.0 as v3 from w join documents using (doc_id)""")
+def embeddings_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents after those with even numbers had been encoded: copies of these are not encoded again, and a third call encodes nothing."""
+    path, docs = fresh_path(spark, "vectors"), load(spark, sf_dir, "documents").select("doc_id", "text")
+    embedder = embedding.feature_hashing(4)
+    embedding.encoded(spark, path, docs.where("doc_id % 2 = 0"), embedder, "hashing-4")
+    rows = embedding.with_vectors(spark, path, docs, embedder, "hashing-4")
+    if embedding.encoded(spark, path, docs, embedder, "hashing-4"):
+        raise RuntimeError("a text was encoded twice")
+    return rows.select("doc_id", "commit", *((F.round(F.col("vector")[k], 6) + 0.0).alias(f"v{k}") for k in range(4)))
+
+
+_MEMORIES = """m as (select o_custkey % 150 as memory_id, case when o_orderkey % 9 = 0 then 'delete' else 'update' end as event, o_orderpriority as content, o_orderdate as ts, o_orderkey as seq, (o_custkey % 150) % 10 as owner from orders),
+r as (select l_orderkey * 10000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as request_id, l_partkey % 150 as memory_id, l_suppkey % 10 as user_id, l_shipdate as ts from lineitem),
+l as (select ts, memory_id, arg_max(struct_pack(event, content), seq) as c, any_value(owner) as owner from m group by ts, memory_id),
+o as (select memory_id, any_value(owner) as owner from m group by memory_id)"""
+
+
+@query(f"""with {_MEMORIES}, j as (select r.*, o.owner, l.c from r asof left join l on r.memory_id = l.memory_id and r.ts >= l.ts left join o on o.memory_id = r.memory_id)
+select request_id, case when owner is null or user_id != owner then 'denied' when c is null or c.event = 'delete' then 'absent' else 'present' end as state,
+  case when user_id = owner and c.event != 'delete' then c.content end as content from j""")
+def memory_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each line item's user may read of a memory at its shipping date; memories change with the orders."""
+    return memory.as_of(_memory_events(spark, sf_dir), _memory_requests(spark, sf_dir)).select("request_id", "state", "content")
+
+
+def _memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("o_custkey") % 150
+    return load(spark, sf_dir, "orders").select(own.alias("memory_id"), (own % 10).alias("user_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 9 == 0, "delete").otherwise("update").alias("event"), F.col("o_orderpriority").alias("content"))
+
+
+def _memory_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    return load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10000 + place).alias("request_id"), (F.col("l_partkey") % 150).alias("memory_id"), (F.col("l_suppkey") % 10).alias("user_id"), F.col("l_shipdate").alias("at"))
+
+
+@query(f"""with {_MEMORIES}, n as (select *, lead(ts) over (partition by memory_id order by ts, seq) as valid_to from m) select memory_id, seq, valid_to from n""")
+def memory_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Until when each state of a memory held."""
+    return memory.history(_memory_events(spark, sf_dir)).select("memory_id", "seq", "valid_to")
+
+
+@query("""with d as (select conv_id, turn, regexp_replace(text, '\\. ', ' [S' || (turn % 4) || '][S9]; ', 'g') as draft from conversations),
+s as (select conv_id, turn, unnest(l) as s, generate_subscripts(l, 1) as k from (select conv_id, turn, regexp_split_to_array(draft, '[。；;\\n]+') as l from d)),
+c as (select conv_id, turn, k, trim(s, ' -0123456789.、') as s from s),
+f as (select conv_id, turn, k, s, list_distinct(list_filter(regexp_extract_all(s, '\\[(S[0-9]+)\\]', 1), lambda x: x in ('S1', 'S2', 'S3'))) as ids from c where length(s) >= 8),
+g as (select *, row_number() over (partition by conv_id, turn order by k) as n from f where len(ids) > 0)
+select conv_id, turn, 'C' || n as claim_id, trim(regexp_replace(s, '\\[S[0-9]+\\]', '', 'g')) as text, ids[1] as source_id from g where n <= 16""")
+def claims_from_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with a citation after each sentence, as claims that cite evidence that is there."""
+    mark = F.concat(F.lit(" [S"), (F.col("turn") % 4).cast("string"), F.lit("][S9]; "))
+    drafts = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.col("text"), F.lit("\\. "), mark).alias("draft"))
+    known = F.array(*map(F.lit, ("S1", "S2", "S3")))
+    rows = drafts.select("conv_id", "turn", F.explode(research.draft_claims("draft", known)).alias("c"))
+    return rows.select("conv_id", "turn", "c.claim_id", "c.text", F.col("c.source_ids")[0].alias("source_id"))
+
+
+@query("""with c as (select conv_id, turn, string_split(case when turn % 2 = 0 then '- ' || text else text end, chr(10)) as lines from conversations),
+h as (select conv_id, turn, array_to_string(list_transform(lines, lambda x: case when regexp_matches(x, '^[ \\t]*([-*+]|[0-9]+[.、])[ \\t]+\\S') then translate(x, '.!?;,', chr(1) || chr(2) || chr(3) || chr(4) || chr(5)) else x end), chr(10)) as t from c),
+p as (select conv_id, turn, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?;])', '\\1' || chr(6), 'g'), ',([A-Za-z])', ',' || chr(6) || '\\1', 'g'), chr(6))) as s from h),
+f as (select conv_id, turn, trim(translate(s, chr(1) || chr(2) || chr(3) || chr(4) || chr(5), '.!?;,'), ' ' || chr(9) || chr(10) || chr(13)) as s from p)
+select conv_id, turn, count(*) as sentences, sum(length(s))::bigint as characters, md5(string_agg(md5(s), '' order by s)) as digest from f where s != '' group by all""")
+def text_chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of messages as the chunker has them; every other message begins as a list item, whose first line stays whole."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("- "), F.col("text"))).otherwise(F.col("text")).alias("text"))
+    parts = rows.select("conv_id", "turn", text.chunk_sentences("text").alias("s")).where(F.size("s") > 0)
+    total = F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x)).cast("long")
+    digest = F.md5(F.array_join(F.transform(F.array_sort("s"), F.md5), ""))
+    return parts.select("conv_id", "turn", F.size("s").cast("long").alias("sentences"), total.alias("characters"), digest.alias("digest"))
+
+
+@query("""with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, axis, case when (case axis when 'answer' then l_quantity when 'truth' then l_partkey else l_suppkey end) % 3 = 0 then 'supported' else 'not_supported' end as a,
+  case when (case axis when 'answer' then l_quantity else l_partkey end) % 5 < 2 then 'supported' else 'not_supported' end as b from lineitem, (select unnest(['answer', 'truth', 'context']) as axis)),
+n as (select axis, count(*) as n, avg((a = b)::int) as o, avg((a = 'supported')::int) as pa, avg((b = 'supported')::int) as pb from r group by axis)
+select axis, n, round(o, 6) as agreement, round((o - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) as kappa from n""")
+def metrics_kappa_by_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on three axes of two judges, made rows of one kind, and how far the judges agree on each axis."""
+    axes = ["answer", "truth", "context"]
+    item = lambda hit: F.array(F.struct(F.col("id").alias("item_id"), F.when(hit, "supported").otherwise(F.when(F.col("id") % 2 == 0, "refuted")).alias("verdict")))
+    rows = load(spark, sf_dir, "lineitem").withColumn("id", F.monotonically_increasing_id())
+    rows = stored(rows, "verdicts")
+    of = lambda columns, hit: metrics.verdict_map(rows.select("id", *(item(hit(F.col(c))).alias(a) for a, c in zip(axes, columns, strict=True))), axes, ["id"])
+    first = of(("l_quantity", "l_partkey", "l_suppkey"), lambda c: c % 3 == 0).withColumnRenamed("verdict", "a")
+    second = of(("l_quantity", "l_partkey", "l_partkey"), lambda c: c % 5 < 2).select("task_id", F.col("verdict").alias("b"))
+    found = metrics.kappa_by(first.join(second, "task_id"), "axis", "a", "b")
+    return found.select("axis", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
