@@ -254,3 +254,68 @@ def metrics_kappa_by_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = of(("l_quantity", "l_partkey", "l_partkey"), lambda c: c % 5 < 2).select("task_id", F.col("verdict").alias("b"))
     found = metrics.kappa_by(first.join(second, "task_id"), "axis", "a", "b")
     return found.select("axis", "n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+
+
+_FORMS = """a as (select item_id as query_id, text as query, ['none', 'plain', 'standalone', 'expanded', 'corrected'][item_id % 5 + 1] as branch, substr(text, 1, length(text) // 2) as head, substr(text, length(text) // 2 + 1) as tail from benchmark),
+forms as (select query_id, branch, 0 as part, query as text from a where branch != 'none' union all select query_id, branch, 1, tail from a where branch = 'standalone'
+  union all select query_id, branch, 1, head from a where branch = 'expanded' union all select query_id, branch, 2, tail from a where branch = 'expanded')"""
+_PLANNED = f"""with {_FORMS},
+tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents), tf as (select doc_id, term, count(*) as tf from tok group by all),
+dl as (select doc_id, sum(tf) as dl from tf group by doc_id), st as (select (select count(*) from documents) as n, (select avg(dl) from dl) as mean), df as (select term, count(*) as df from tf group by term),
+idf as ({LUCENE}),
+qt as (select query_id, branch, part, term, count(*) as qtf from (select query_id, branch, part, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from forms) group by all),
+sc as (select query_id, branch, part, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) as score from tf join qt using (term) join idf using (term) join dl using (doc_id) cross join st group by all),
+lex as (select *, row_number() over (partition by query_id, part order by round(score, 9) desc, doc_id) as rank from sc where score > 0),
+words as (select query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9_]+')) as q from a),
+rel as (select l.*, least(0.99, len(list_intersect(w.q, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]+'))))::double / len(w.q)) as relevance from lex l join words w using (query_id) join documents d using (doc_id) where part = 0 and (branch = 'plain' and rank <= 15 or branch = 'corrected' and rank <= 5)),
+gr as (select *, case when relevance >= 0.5 then 'high' when relevance >= 0.25 then 'medium' else 'low' end as grade from rel where branch = 'corrected'),
+cn as (select query_id, count(*) as n, count(*) filter (grade = 'high') as h, count(*) filter (grade = 'medium') as m, count(*) filter (grade = 'low') as l, avg(relevance) as mean from gr group by query_id),
+de as (select query_id, case when h = 0 and m = 0 and l / n >= 0.8 then 'no_results' when h / n >= 0.2 and mean >= 0.25 then 'high' when h + m > 0 and mean >= 0.15 then 'medium' else 'low' end as decision from cn),
+out as (select query_id, branch, doc_id, relevance as score from rel where branch = 'plain'
+  union all select query_id, branch, doc_id, sum(1.0 / (60 + rank)) from lex where branch = 'standalone' and rank <= 5 or branch = 'expanded' and rank <= 3 group by all
+  union all select query_id, branch, doc_id, score from gr join de using (query_id) where decision = 'high' and grade = 'high' or decision = 'medium' and grade != 'low'),
+rk as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from out)"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions of five kinds; their halves are rewritten forms and parts."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    kind, none = F.col("item_id") % 5, F.array().cast("array<string>")
+    return load(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.when(kind == 0, "...?").otherwise(F.col("text")).alias("query"), F.when(kind == 3, F.array(head, tail)).otherwise(none).alias("parts"), F.when(kind == 2, F.array(tail)).otherwise(none).alias("rewritten"),
+        (kind == 3).alias("needs_expansion"), (kind == 4).alias("corrected"), F.concat(F.lit("p"), (F.col("item_id") % 2).cast("string")).alias("project_id"),
+    )
+
+
+def _bm25(docs: DataFrame):
+    return lambda queries, k: retrieval.bm25(docs, queries, "query_id", "query", k)
+
+
+@query(f"{_PLANNED} select query_id, doc_id, rank, round(score, 6) as score, branch from rk where rank <= 5")
+def retrieval_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of all kinds in one call: none, plain, standalone, expanded, corrected."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = planner.retrieve_documents(_questions(spark, sf_dir), docs, _bm25(docs), 5, rounds=1)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "branch")
+
+
+@query("""with m as (select o_orderkey as id, case when o_orderkey % 2 = 0 then 'confirmed_research_fact' else 'note' end as memory_type, case when o_orderkey % 3 = 0 then 'research' when o_orderkey % 5 != 0 then 'user' end as scope,
+  case when o_orderkey % 7 != 0 then 'p' || (o_custkey % 2) end as project_id, o_custkey as run_id, o_orderpriority as claim_id, case when o_orderkey % 11 = 0 then [] else ['S1', 'S2'] end as source_ids, case when o_orderkey % 13 = 0 then 'REVISE' else 'PASS' end as review, o_orderkey % 17 != 0 as confirmed, o_orderkey % 19 != 0 as verified from orders),
+c as (select c_custkey as run_id, c_mktsegment, c_nationkey from customer), v as (select m.*, c.c_nationkey is not null and c.c_nationkey % 2 = 0 as readable, c.c_nationkey % 3 as k from m left join c on c.run_id = m.run_id and m.claim_id != '5-LOW')
+select id, case when memory_type != 'confirmed_research_fact' and coalesce(scope, '') != 'research' then 'plain'
+  when not (memory_type = 'confirmed_research_fact' and coalesce(scope, '') = 'research' and project_id is not null and len(source_ids) > 0 and review = 'PASS' and confirmed and verified) then 'invalid_metadata'
+  when readable and k > 0 then 'verified' else 'acl_filtered' end as verdict from v""")
+def memory_recall_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories of orders against confirmed claims of customers: research needs all its marks and the very claim."""
+    key, text_of = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    sources = F.when(key % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("S1"), F.lit("S2")))
+    memories = load(spark, sf_dir, "orders").select(
+        key.alias("id"), F.when(key % 2 == 0, "confirmed_research_fact").otherwise("note").alias("memory_type"), F.when(key % 3 == 0, "research").when(key % 5 != 0, "user").alias("scope"),
+        F.when(key % 7 != 0, F.concat(F.lit("p"), (F.col("o_custkey") % 2).cast("string"))).alias("project_id"), text_of("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("claim_id"), sources.alias("source_ids"),
+        F.when(key % 13 == 0, "REVISE").otherwise("PASS").alias("review_decision"), (key % 17 != 0).alias("user_confirmed"), (key % 19 != 0).alias("verified"),
+    )
+    kinds = F.explode(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"))))
+    confirmed = F.when(F.col("c_nationkey") % 3 == 0, F.array(F.lit("S1"))).otherwise(F.array(F.lit("S2"), F.lit("S1")))
+    claims = load(spark, sf_dir, "customer").select(text_of("c_custkey").alias("run_id"), kinds.alias("claim_id"), F.concat(F.lit("p"), (F.col("c_custkey") % 2).cast("string")).alias("project_id"), confirmed.alias("source_ids"), (F.col("c_nationkey") % 2 == 0).alias("readable"))
+    return memory.recall_gate(memories, claims, F.lit(True)).select("id", "verdict")
