@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -26,61 +27,68 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 
 #: Short notices in the reduced form, their labels, and the edits allowed outside the braces. Words in braces are exact.
 NOTICES = (
-    ("released under the {mit} license", "mit", 3),
-    ("licensed under the {mit} license", "mit", 3),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", 8),
-    ("licensed under the {apache} license version {2 0}", "apache-2", 4),
-    ("released under the {apache} license {2 0}", "apache-2", 3),
-    ("licensed under the {apache} license version {1 1}", "apache-1.1", 4),
-    ("licensed under the {gnu general} public license version {2}", "gpl-2", 4),
-    ("licensed under the {gnu general} public license version {3}", "gpl-3", 4),
     ("terms of the {gnu general} public license as published by the free software foundation", "gpl", 6),
-    ("licensed under the {gnu lesser general} public license version {2 1}", "lgpl-2.1", 4),
-    ("licensed under the {gnu lesser general} public license version {3}", "lgpl-3", 4),
     ("terms of the {gnu lesser general} public license as published by the free software foundation", "lgpl", 6),
-    ("licensed under the {gnu affero general} public license version {3}", "agpl-3", 4),
     ("terms of the {gnu affero general} public license as published by the free software foundation", "agpl", 6),
-    ("licensed under the {mozilla} public license version {2 0}", "mpl-2", 4),
     ("subject to the terms of the {mozilla} public license v {2 0}", "mpl-2", 4),
-    ("licensed under the {mozilla} public license version {1 1}", "mpl-1.1", 4),
-    ("licensed under the {eclipse} public license version {2 0}", "epl-2", 4),
-    ("licensed under the {eclipse} public license version {1 0}", "epl-1", 4),
-    ("released under the {bsd} license", "bsd", 3),
-    ("licensed under the {bsd} license", "bsd", 3),
-    ("licensed under the {bsd 2} clause license", "bsd-2-clause", 3),
-    ("licensed under the {bsd 3} clause license", "bsd-3-clause", 3),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 6),
-    ("released under the {isc} license", "isc", 3),
-    ("licensed under the {isc} license", "isc", 3),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 8),
-    ("licensed under the {boost} software license version {1 0}", "bsl-1", 4),
-    ("released under the {zlib} license", "zlib", 3),
     ("this is free and unencumbered software released into the {public domain}", "unlicense", 5),
-    ("licensed under {cc by} {version}", "cc-by", 2),
-    ("licensed under {cc by sa} {version}", "cc-by-sa", 2),
-    ("licensed under {cc by nc} {version}", "cc-by-nc", 2),
-    ("licensed under {cc by nd} {version}", "cc-by-nd", 2),
-    ("licensed under {cc by nc sa} {version}", "cc-by-nc-sa", 2),
-    ("licensed under {cc by nc nd} {version}", "cc-by-nc-nd", 2),
-    ("licensed under a {creative commons attribution} {version} international license", "cc-by", 4),
-    ("licensed under a {creative commons attribution sharealike} {version} international license", "cc-by-sa", 4),
-    ("licensed under a {creative commons attribution noncommercial} {version} international license", "cc-by-nc", 4),
-    ("licensed under a {creative commons attribution noderivatives} {version} international license", "cc-by-nd", 4),
-    ("licensed under a {creative commons attribution noncommercial sharealike} {version} international license", "cc-by-nc-sa", 4),
-    ("licensed under a {creative commons attribution noncommercial noderivatives} {version} international license", "cc-by-nc-nd", 4),
     ("dedicated to the public domain under {cc0 1 0}", "cc0", 4),
+    ("{apache license version 1 1}", "apache-1.1", 0),
 )
-
-#: Identifiers of the SPDX list, in the reduced form, with the labels used here.
-SPDX = (
-    ("mit", "mit"), ("apache 2 0", "apache-2"), ("apache 1 1", "apache-1.1"), ("bsd 2 clause", "bsd-2-clause"), ("bsd 3 clause", "bsd-3-clause"), ("isc", "isc"), ("zlib", "zlib"),
-    ("gpl 2 0 only", "gpl-2"), ("gpl 2 0 or later", "gpl-2"), ("gpl 3 0 only", "gpl-3"), ("gpl 3 0 or later", "gpl-3"), ("lgpl 2 1 only", "lgpl-2.1"), ("lgpl 2 1 or later", "lgpl-2.1"),
-    ("lgpl 3 0 only", "lgpl-3"), ("lgpl 3 0 or later", "lgpl-3"), ("agpl 3 0 only", "agpl-3"), ("agpl 3 0 or later", "agpl-3"), ("mpl 2 0", "mpl-2"), ("mpl 1 1", "mpl-1.1"), ("epl 2 0", "epl-2"), ("epl 1 0", "epl-1"),
-    ("bsl 1 0", "bsl-1"), ("unlicense", "unlicense"), ("cc0 1 0", "cc0"), ("cc by 4 0", "cc-by"), ("cc by sa 4 0", "cc-by-sa"), ("cc by nc 4 0", "cc-by-nc"), ("cc by nd 4 0", "cc-by-nd"),
-    ("cc by nc sa 4 0", "cc-by-nc-sa"), ("cc by nc nd 4 0", "cc-by-nc-nd"),
+#: Beginnings of notices that name a licence, and the edits allowed in each.
+BEGINNINGS = (("licensed under the", 3), ("licensed under", 2), ("released under the", 3), ("released under", 2), ("distributed under the", 3), ("available under the", 3))
+#: Licences as notices name them, and their labels. Fixed values.
+NAMES = (
+    ("{mit} license", "mit"), ("{apache} license version {2 0}", "apache-2"), ("{apache} license {2 0}", "apache-2"), ("{apache} license version {1 1}", "apache-1.1"), ("{bsd} license", "bsd"),
+    ("{bsd 2} clause license", "bsd-2-clause"), ("{bsd 3} clause license", "bsd-3-clause"), ("{isc} license", "isc"), ("{zlib} license", "zlib"), ("{boost} software license version {1 0}", "bsl-1"),
+    ("{mozilla} public license version {2 0}", "mpl-2"), ("{mozilla} public license {2 0}", "mpl-2"), ("{mozilla} public license version {1 1}", "mpl-1.1"), ("{eclipse} public license version {2 0}", "epl-2"), ("{eclipse} public license version {1 0}", "epl-1"),
+    ("{mpl 2 0}", "mpl-2"), ("{epl 2 0}", "epl-2"), ("{gpl}", "gpl"), ("{gnu gpl}", "gpl"), ("{lgpl}", "lgpl"), ("{gnu lgpl}", "lgpl"), ("{agpl}", "agpl"), ("{gnu agpl}", "agpl"),
 )
+#: Licences of the GNU project: short and long name, and versions with the label's.
+GNU = (("gpl", "gnu general", ("1", "2", "3")), ("lgpl", "gnu lesser general", ("2", "2.1", "3")), ("lgpl", "gnu library general", ("2",)), ("agpl", "gnu affero general", ("3",)))
+#: Creative commons licences: what may follow attribution, and the label.
+COMMONS = (("", "cc-by"), (" sharealike", "cc-by-sa"), (" noncommercial", "cc-by-nc"), (" noderivatives", "cc-by-nd"), (" noncommercial sharealike", "cc-by-nc-sa"), (" noncommercial noderivatives", "cc-by-nc-nd"))
+#: What follows the version of one.
+TERRITORIES = (" international", " unported", " generic", "")
+
+
+def _named() -> tuple[tuple[str, str, int], ...]:
+    """Notices of every beginning and name."""
+    names = list(NAMES)
+    for short, long, versions in GNU:
+        for v in versions:
+            label, digits = f"{short}-{v}", v.replace(".", " ")
+            forms = {digits, f"{digits} 0"} if "." not in v else {digits}
+            for d in sorted(forms):
+                names += [(f"{{{x}v{d}}}", label) for x in (short, f"gnu {short}")] + [(f"{{{x} v{d}}}", label) for x in (short, f"gnu {short}")] + [(f"{{{x} version {d}}}", label) for x in (short, f"gnu {short}")]
+                names += [(f"{{{long}}} public license version {{{d}}}", label), (f"{{{long}}} public license {{v{d}}}", label)]
+    found = [(f"{beginning} {name}", label, errors) for name, label in names for beginning, errors in BEGINNINGS]
+    for more, label in COMMONS:
+        found += [(f"licensed under {article} {{creative commons attribution{more}}} {{version}}{where} license", label, 4) for article in ("a", "the") for where in TERRITORIES]
+        found.append((f"licensed under {{{label.replace('-', ' ')}}} {{version}}", label, 2))
+    return tuple(found)
+
+
+def _identifiers() -> tuple[tuple[str, str], ...]:
+    """SPDX identifiers in the reduced form, with the labels used here."""
+    found = [
+        ("mit", "mit"), ("mit 0", "mit-0"), ("apache 2 0", "apache-2"), ("apache 1 1", "apache-1.1"), ("0bsd", "0bsd"), ("bsd 2 clause", "bsd-2-clause"), ("bsd 3 clause", "bsd-3-clause"), ("isc", "isc"), ("zlib", "zlib"),
+        ("mpl 2 0", "mpl-2"), ("mpl 1 1", "mpl-1.1"), ("epl 2 0", "epl-2"), ("epl 1 0", "epl-1"), ("bsl 1 0", "bsl-1"), ("unlicense", "unlicense"), ("cc0 1 0", "cc0"), ("wtfpl", "wtfpl"), ("artistic 2 0", "artistic-2"),
+    ]
+    for short, _, versions in GNU:
+        for v in versions:
+            name = f"{short} {v.replace('.', ' ')}" + ("" if "." in v else " 0")
+            found += [(name + tail, f"{short}-{v}") for tail in ("", " only", " or later")]
+    found += [(f"{label.replace('-', ' ')} {v}", label) for _, label in COMMONS for v in ("1 0", "2 0", "2 5", "3 0", "4 0")]
+    return tuple(dict.fromkeys(found))
+
+
+SPDX = _identifiers()
 #: Every notice that scan() looks for unless told otherwise.
-ALL_NOTICES = (*NOTICES, *((f"spdx license identifier {{{name}}}", label, 2) for name, label in SPDX))
+ALL_NOTICES = (*NOTICES, *_named(), *((f"spdx license identifier {{{name}}}", label, 2) for name, label in SPDX))
 
 #: Versions that creative commons licences have had.
 VERSION = r"(?:[123] 0|2 5|4 0)"
@@ -102,7 +110,7 @@ class Notice:
     text: str = field(init=False)
     exact: list[str] = field(init=False)
     pieces: list[tuple[str, int]] = field(init=False)
-    pattern: regex.Pattern = field(init=False)
+    anchor: str | None = field(init=False)
 
     def __post_init__(self):
         sample = self.template.replace("{version}", "{4 0}")
@@ -114,8 +122,15 @@ class Notice:
         if "{version}" in self.template:  # no piece may hold a version's digits
             at = sample.index("{4 0}") - sample[: sample.index("{4 0}")].count("{") - sample[: sample.index("{4 0}")].count("}")
             self.pieces = [(piece, a) for piece, a in self.pieces if a + len(piece) <= at or a >= at + 3] + [(self.exact[0], self.text.index(self.exact[0]))]
+        # a text without this word, which has to stand there as it is, has no match
+        self.anchor = max((w for x in self.exact for w in x.split()), key=len, default=None)
+
+    @cached_property
+    def pattern(self) -> regex.Pattern:
         body = "".join(self._part(x) for x in regex.split(r"(\{.*?\})", self.template) if x)
-        self.pattern = regex.compile(rf"(?<![^ ]){body}(?![^ ])", regex.BESTMATCH)
+        # a version is no other one's beginning: 2 is not 2 1
+        ends = "(?! [0-9])" if self.template.endswith("}") and self.text[-1].isdigit() else ""
+        return regex.compile(rf"(?<![^ ]){body}(?![^ ]){ends}", regex.BESTMATCH)
 
     def _part(self, part: str) -> str:
         if part == "{version}":
@@ -136,8 +151,8 @@ class Notice:
         for piece, offset in self.pieces:
             at = joined.find(piece)
             while at >= 0:
-                # one character more on both sides, for the word borders
-                windows.add((max(0, at - offset - self.errors - 1), at - offset + len(self.text) + self.errors + 1))
+                # more characters on both sides, for the word borders and a number that goes on
+                windows.add((max(0, at - offset - self.errors - 1), at - offset + len(self.text) + self.errors + 3))
                 at = joined.find(piece, at + 1)
         found, reach = [], 0
         for begin, end in sorted(windows):
@@ -148,6 +163,12 @@ class Notice:
         return found
 
 
+@lru_cache(maxsize=2)
+def _compiled(notices: tuple[tuple[str, str, int], ...]) -> list[Notice]:
+    """Notices, once in a worker; a pattern is compiled when a text has the words for it."""
+    return [Notice(*n) for n in notices]
+
+
 def _starts(words: list[bytes], length) -> list[int]:
     """Where each word starts in the words joined by spaces."""
     return list(accumulate((length(w) + 1 for w in words[:-1]), initial=0)) if words else []
@@ -169,7 +190,8 @@ def phrase_places(words: list[bytes], phrases=PHRASES) -> list[tuple[int, str]]:
 
 def best_matches(notices: list[Notice], joined: str) -> list[tuple[int, int, int, Notice]]:
     """(edits, start, end, notice) of matches that no better one overlaps: fewer edits, then longer, then the earlier notice."""
-    every = [(edits, start - end, k, start, end) for k, notice in enumerate(notices) for start, end, edits in notice.search(joined)]
+    words = set(joined.split(" "))
+    every = [(edits, start - end, k, start, end) for k, notice in enumerate(notices) if notice.anchor is None or notice.anchor in words for start, end, edits in notice.search(joined)]
     starts: list[int] = []
     kept: list[tuple[int, int, int, Notice]] = []
     for edits, _, k, start, end in sorted(every):
@@ -180,6 +202,18 @@ def best_matches(notices: list[Notice], joined: str) -> list[tuple[int, int, int
     return kept
 
 
+_MORE = regex.compile(r" (?:or|and|with) (" + "|".join(sorted((name for name, _ in SPDX), key=len, reverse=True)) + r")(?![^ ])(?! [0-9])")
+
+
+def further_identifiers(joined: str, end: int) -> list[tuple[int, int, str]]:
+    """(start, end, label) of the identifiers that an SPDX expression joins to one that ends at ``end``."""
+    found, labels = [], dict(SPDX)
+    while m := _MORE.match(joined, end):
+        found.append((m.start(1), m.end(1), labels[m[1]]))
+        end = m.end()
+    return found
+
+
 _RESULT = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label: string, first_word: long, last_word: long, edits: int>>"
@@ -194,10 +228,11 @@ def judged(text: str | None, notices: list[Notice], phrases=PHRASES) -> tuple:
     joined = " ".join(letters)
     found = best_matches(notices, joined)
     starts = _starts(letters, len) if found else []
-    spans = [
-        {"label": notice.label, "first_word": bisect_right(starts, start) - 1, "last_word": bisect_right(starts, end - 1) - 1, "edits": edits}
-        for edits, start, end, notice in found
-    ]
+    marks = [(start, end, notice.label, edits) for edits, start, end, notice in found]
+    for _, _, end, notice in found:
+        if notice.template.startswith("spdx "):
+            marks += [(*mark, 0) for mark in further_identifiers(joined, end) if mark not in {m[:3] for m in marks}]
+    spans = [{"label": label, "first_word": bisect_right(starts, start) - 1, "last_word": bisect_right(starts, end - 1) - 1, "edits": edits} for start, end, label, edits in sorted(marks)]
     best = max([1.0 if base else 0.0, *(1 - edits / len(notice.text) for edits, _, _, notice in found)])
     places = [k for k, _ in base]
     own = {label for _, label in base}
@@ -213,7 +248,7 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", phrases
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compiled = [Notice(*n) for n in notices]
+        compiled = _compiled(tuple(notices))
         names = [x.split()[0] for x in _RESULT.split(", ")[:8]]
         for texts in batches:
             rows = pd.DataFrame([judged(t, compiled, phrases) for t in texts], columns=names)
