@@ -236,12 +236,12 @@ def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, hashes): the hashed shingles of each of these nodes, once."""
+    """(node, hashes): the different hashes of each of these nodes' shingles, in 32 bits, as they travel with keys."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<int>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([np.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingle_set(t, words)], dtype=np.int64) for t in batch])
+            yield pd.Series([np.unique(np.array([xxhash.xxh32_intdigest(x) for x in shingle_set(t, words)], dtype=np.uint32)).view(np.int32) for t in batch])
         give_back()
 
     rows = texts.join(small_side(nodes), texts.place == nodes.node, "left_semi")
@@ -260,24 +260,28 @@ def _differing(a: str, b: str):
     return reduce(add, (bytes_of(k) for k in range(SIGNATURE)))
 
 
-def _candidates(rows: DataFrame, others: DataFrame, similarity: float, apart=None) -> DataFrame:
-    """(x, y, a, b, differing): nodes x of ``rows`` and y of ``others`` that share a key, with their different labels a and b, unless sizes or signatures show that they cannot be similar.
+def _side(df: DataFrame, x: str, *more: str) -> DataFrame:
+    """Columns of one side of a comparison: key, node, label, n, sig and ``more``, by their first letters and ``x``."""
+    return df.select(F.col("node").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in ("key", "label", "n", "sig", *more)))
 
-    Only ids, sizes and signatures take part, all of fixed width. ``apart`` is a further condition.
-    """
-    side = lambda df, x: df.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), *([F.col("home").alias(f"m{x}")] if "home" in df.columns else []))
+
+def _near(similarity: float):
+    """Whether two sides have a key in common and different labels, and neither sizes nor signatures show that they cannot be similar."""
     alike = (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9) & (_differing("sx", "sy") <= most_differing(similarity))
-    near = (F.col("kx") == F.col("ky")) & (F.col("lx") != F.col("ly")) & (F.lit(True) if apart is None else apart) & alike
-    return side(rows, "x").join(side(others, "y"), near).select("x", "y", F.col("lx").alias("a"), F.col("ly").alias("b"), _differing("sx", "sy").alias("differing"))
+    return (F.col("kx") == F.col("ky")) & (F.col("lx") != F.col("ly")) & alike
+
+
+def _similar(similarity: float):
+    """Whether the sets of two sides have the similarity."""
+    # common >= similarity * (both - common), with one intersection
+    return (1 + similarity) * F.size(F.array_intersect("hx", "hy")) >= similarity * (F.size("hx") + F.size("hy")) - 1e-9
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of those ``pairs`` (x, y, a, b), each given once, whose sets have the similarity. Each join has one set for a key."""
+    """(a, b) of those ``pairs`` (x, y, a, b), at most one for each x, whose sets have the similarity."""
     pairs = stored(pairs, "simhash-pairs")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"))
-    common = F.size(F.array_intersect("hx", "hy"))
-    enough = common >= similarity * (F.size("hx") + F.size("hy") - common) - 1e-9
-    return stored(pairs.join(side("x"), "x").join(side("y"), "y").where(enough).select("a", "b").distinct(), "simhash-links")
+    return stored(pairs.join(side("x"), "x").join(side("y"), "y").where(_similar(similarity)).select("a", "b").distinct(), "simhash-links")
 
 
 def _hub_pairs(crowd: DataFrame, slots: int, similarity: float) -> DataFrame:
@@ -290,18 +294,20 @@ def _hub_pairs(crowd: DataFrame, slots: int, similarity: float) -> DataFrame:
     parts = crowd.join(busy, "node").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots)))
     first = F.max(F.struct("busy", F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label", "n", "sig")).alias("c")
     centres = parts.groupBy("key", "slot").agg(first).select("key", "c.node", "c.label", "c.n", "c.sig")
-    best = F.min(F.struct("differing", "y", "a", "b")).alias("best")
-    return _candidates(crowd, centres, similarity).groupBy("x").agg(best).select("x", "best.y", "best.a", "best.b")
+    best = F.min(F.struct(_differing("sx", "sy").alias("differing"), "y", F.col("lx").alias("a"), F.col("ly").alias("b"))).alias("best")
+    return _side(crowd, "x").join(_side(centres, "y"), _near(similarity)).groupBy("x").agg(best).select("x", "best.y", "best.a", "best.b")
 
 
 def _join_similar(nodes: DataFrame, labelled: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
     """(node, label) after ``links`` (a, b) between labels, and after texts that share a key and have the similarity have the same label.
 
     ``nodes`` have node, n, keys and sig. Nodes in keys of more than CROWD are first held against
-    the likest of one centre for each key, then of 16, which usually joins the groups of
-    copies in them. Of what then still has different labels in a key, all pairs are
-    compared but those of the key's most frequent label. What keys bring together are
-    ids and signatures; the sets of shingles are fetched for the pairs that these leave.
+    the likest of one centre for each key, then of four, which usually joins the groups of
+    copies in them: keys bring ids and signatures together, and the sets of shingles are
+    fetched for one pair of each node. Of what then still has different labels in a key, all
+    pairs are compared but those of the key's most frequent label: exactly, and within
+    the join, so that no list of pairs ever exists, and in the first of the keys that two
+    texts share only. There sets travel with the keys that are left, once for each.
     """
     shelves = nodes.select("node", "n", "sig", F.explode("keys").alias("key"))
     mixed = lambda df: df.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", (F.col("c") > CROWD).alias("crowded"))
@@ -310,7 +316,7 @@ def _join_similar(nodes: DataFrame, labelled: DataFrame, links: DataFrame, texts
     kept = stored(shelves.join(small_side(keys.select("key")), "key", "left_semi"), "simhash-shelved")
     sets = _shingle_sets(kept.select("node").distinct(), texts, words)
     found = links
-    for slots in (1, 16, 0):
+    for slots in (1, 4, 0):
         if not found.isEmpty():
             labelled = _relabelled(labelled, found)
         rows = kept.join(labelled, "node")
@@ -319,9 +325,11 @@ def _join_similar(nodes: DataFrame, labelled: DataFrame, links: DataFrame, texts
             found = _verified(_hub_pairs(rows.where("crowded"), slots, similarity), sets, similarity)
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("home"))
     rows = stored(rows.join(counts, "key"), "simhash-shelved")
+    held = rows.join(sets, "node").join(nodes.select("node", F.col("keys").alias("every")), "node").withColumnRenamed("home", "most")
     once = (F.col("ly") == F.col("my")) | (F.col("x") < F.col("y"))
-    pairs = _candidates(rows.where("label != home"), rows, similarity, once).select("x", "y", "a", "b").distinct()
-    return _relabelled(labelled, _verified(pairs, sets, similarity))
+    first = F.array_min(F.array_intersect("ex", "ey")) == F.col("kx")
+    pairs = _side(held.where("label != most"), "x", "hashes", "every").join(_side(held, "y", "hashes", "every", "most"), _near(similarity) & once & first & _similar(similarity))
+    return _relabelled(labelled, stored(pairs.select(F.col("lx").alias("a"), F.col("ly").alias("b")).distinct(), "simhash-links"))
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
