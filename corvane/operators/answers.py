@@ -175,3 +175,61 @@ def manifest_digest(files: DataFrame) -> DataFrame:
     """One row: number of files (name, digest) and the sum of the hashes of their pairs, the same in any order."""
     pair = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", "name", "digest"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return files.agg(F.count("*").alias("files"), F.sum(pair).cast("string").alias("digest"))
+
+
+#: What an assembled answer says besides its claims. Fixed values.
+NO_EVIDENCE = "现有权限范围内没有找到足够证据，无法可靠完成这项复杂科研分析。"
+PREMISE_TEXTS = {
+    "supported": "**前提核验**：当前证据支持该前提成立。", "unsupported": "**前提核验**：当前证据不支持该前提，该前提不成立。", "insufficient": "**前提核验**：当前证据不足，无法确认该前提是否成立。",
+}
+CONFLICTS, NO_CONFLICT = "**资料冲突**：", "**冲突核验**：现有证据不足以确认资料之间是否构成事实冲突；不能把缺少资料直接解释为结论一致。"
+REVISED = "> 已按独立复核意见完成一次受限修订；未获得证据支持的内容不应视为事实。"
+ASKS_CONFLICT, NAMES_CONFLICT = "冲突|矛盾|不一致|新旧.{0,8}差异", "冲突|矛盾|不一致"
+
+
+def assembled(claims: Column, draft: Column, n_evidence: Column, premise: Column, false_premise: Column, conflicts: Column, question: Column, decision: Column, revisions: Column) -> Column:
+    """The final answer: rendered claims (or the draft), what was found of the premise in front, then conflicts, then what a revision left open.
+
+    ``conflicts`` is an array; they are named unless the answer does. A question about conflicts gets a word
+    about them in any case. Without evidence there is no answer but that.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    body = F.when(F.coalesce(n_evidence, F.lit(0)) == 0, NO_EVIDENCE).otherwise(F.coalesce(F.nullif(text(claims), F.lit("")), F.trim(text(draft))))
+    verdict = F.when((premise == "not_applicable") & F.coalesce(false_premise, F.lit(False)), "unsupported").otherwise(premise)
+    front = F.lit("")
+    for name, words in PREMISE_TEXTS.items():
+        front = F.when(verdict == name, words + "\n\n").otherwise(front)
+    first = F.concat(front, body)
+    listed = F.coalesce(F.array_join(conflicts, "；"), F.lit(""))
+    second = F.concat(first, F.when((listed != "") & ~F.contains(first, F.lit("冲突")), F.concat(F.lit("\n\n" + CONFLICTS), listed)).otherwise(""))
+    third = F.concat(second, F.when(text(question).rlike(ASKS_CONFLICT) & ~second.rlike(NAMES_CONFLICT), "\n\n" + NO_CONFLICT).otherwise(""))
+    return F.concat(third, F.when((text(decision) != "PASS") & (F.coalesce(revisions, F.lit(0)) >= 1), "\n\n" + REVISED).otherwise(""))
+
+
+def package_documents(packages: DataFrame) -> DataFrame:
+    """(run_id, place, source_id, title, source, text) of packages (run_id, evidences), in the order of the evidence: numbers S1, S2 keep their meaning."""
+    rows = packages.select("run_id", F.posexplode("evidences").alias("place", "e"))
+    return rows.select("run_id", (F.col("place") + 1).cast("long").alias("place"), "e.source_id", "e.title", "e.source", F.col("e.excerpt").alias("text"))
+
+
+def resolved_items(items: DataFrame, claims: DataFrame) -> DataFrame:
+    """Review items (run_id, claim, ...) in which a claim's id gives way to its text (run_id, claim_id, text)."""
+    named = claims.select("run_id", F.col("claim_id").alias("claim"), F.col("text").alias("_text")).dropDuplicates(["run_id", "claim"])
+    return items.join(named, ["run_id", "claim"], "left").withColumn("claim", F.coalesce("_text", "claim")).drop("_text")
+
+
+def reviewed(reviews: DataFrame) -> DataFrame:
+    """Reviews after rules: (run_id, decision, premise, false_premise, n_issues by rule, has_premise_item, premise_task) with their final decision.
+
+    A pass with issues becomes a revision. Of a task that checks a premise a verdict of not_applicable becomes
+    unsupported, if the reviewer called the premise false, else insufficient; anything but supported needs an item
+    (``adds_item`` where there is none) and a revision.
+    """
+    task = F.coalesce("premise_task", F.lit(False))
+    own = F.when(task & (F.col("premise") == "not_applicable"), F.when(F.coalesce("false_premise", F.lit(False)), "unsupported").otherwise("insufficient")).otherwise(F.col("premise"))
+    rows = reviews.withColumn("premise", own)
+    open_ = task & F.col("premise").isin("unsupported", "insufficient")
+    needs = open_ | (F.coalesce("n_issues", F.lit(0)) > 0)
+    decision = F.when((F.col("decision") == "PASS") & needs, "REVISE").otherwise(F.col("decision"))
+    false_premise = F.when(task, F.col("premise") == "unsupported").otherwise(F.col("false_premise"))
+    return rows.withColumns({"decision": decision, "false_premise": false_premise, "adds_item": open_ & ~F.coalesce("has_premise_item", F.lit(False))})

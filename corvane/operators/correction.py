@@ -51,13 +51,13 @@ def corrective_retrieval(queries: DataFrame, retrieve: Callable[[DataFrame], Dat
 
     ``retrieve`` gives (query_id, query, doc_id, text, ...) for (query_id, query); ``rewrite``
     gives new texts for queries without an answer. Only these go into the next round; each
-    round's open queries are stored, which cuts the lineage.
+    round's grades, decisions and open queries are stored, which computes them once and cuts the lineage.
     """
     found: DataFrame | None = None
     pending = queries.select("query_id", "query")
     for number in range(1, rounds + 1):
-        grades = graded(retrieve(pending))
-        decided = decisions(grades, pending)
+        grades = stored(graded(retrieve(pending)), "correction-grades")
+        decided = stored(decisions(grades, pending), "correction-decisions")
         good = usable(grades, decided).withColumn("round", F.lit(number))
         found = good if found is None else found.unionByName(good)
         unresolved = decided.where(F.col("decision").isin("low", "no_results")).select("query_id")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metadata import snippet
 from ..functions.text import is_meaningful_query, term_relevance
 from ..storage import stored
 from . import correction, retrieval
@@ -70,3 +71,25 @@ def retrieve_documents(
     found = stored(found, "planner-found")
     merged = retrieval.merge_knowledge(found, extra, k)
     return merged.join(asked.select("query_id", "branch"), "query_id").select(*columns, "branch")
+
+
+def reauthorised(results: DataFrame, docs: DataFrame, may_read: Column) -> DataFrame:
+    """``results`` of documents that may be read now, whatever gave them: ``may_read`` is a rule over the columns of ``docs``. Ranks stay as they are."""
+    return results.join(docs.where(F.coalesce(may_read, F.lit(False))).select("doc_id"), "doc_id", "left_semi")
+
+
+def service_search(queries: DataFrame, docs: DataFrame, search: Callable[[DataFrame], Search], k: int = 5, condition: Column | None = None, may_read: Column | None = None, reranked: bool = True, score=term_relevance) -> DataFrame:
+    """One row for each question (query_id, query) that found anything: ``n``, and ``results``, an array of (rank, doc_id, score, snippet) in order.
+
+    ``condition`` (a compiled filter) and ``may_read`` come before any cut; ``search`` makes a search of the documents that
+    are left. Reranked, three times as many candidates are reordered by ``score``. At the end the rule is applied once more.
+    """
+    rule = F.lit(True) if may_read is None else may_read
+    allowed = docs.where((F.lit(True) if condition is None else condition) & rule)
+    texts = allowed.select("doc_id", "text")
+    found = search(texts)(queries.select("query_id", "query"), 3 * k if reranked else k).join(texts, "doc_id")
+    if reranked:
+        found = retrieval.rerank(found.join(queries.select("query_id", "query"), "query_id"), "query", "text", k, score=score)
+    final = reauthorised(found, docs, rule)
+    row = F.struct("rank", "doc_id", F.round("score", 6).alias("score"), snippet("text").alias("snippet"))
+    return final.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("results"))

@@ -84,8 +84,11 @@ def backoff(attempt: Column, most: int = 30) -> Column:
 def department_paths(departments: DataFrame) -> DataFrame:
     """Rows (id, path): names from the root down, joined by slashes, for any depth; path is null in and below a cycle, and below an id that does not exist.
 
-    Each level is a table, so that the lineage does not grow with the depth.
+    Each level is a table, so that the lineage does not grow with the depth. An id that
+    stands in several rows is an error: it could be below itself.
     """
+    if repeated := departments.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").first():
+        raise ValueError(f"department {repeated.id!r} stands in {repeated.n} rows")
     children = departments.select("id", "parent_id", "name")
     level = stored(children.where("parent_id is null").select("id", F.concat(F.lit("/"), F.col("name")).alias("path")), "departments")
     found = []
@@ -128,3 +131,23 @@ def superseded_chain(records: DataFrame) -> DataFrame:
     order = ["published_at", "id"]
     rows = with_next(numbered(records, ["chain_id"], order, "version"), ["chain_id"], order, ["published_at"])
     return rows.withColumnRenamed("next_published_at", "valid_to").withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
+
+
+def replacements(versions: DataFrame, arriving: DataFrame) -> DataFrame:
+    """``arriving`` (asked_doc_id, asked_version_id, and a version's columns) with ``problem`` and ``warnings``, before anything is replaced.
+
+    identity: the version is not of the document or not the one asked for; older: a live version is newer. Warnings are
+    the kinds of other conflicts, sorted. Rows without a problem may go to ``published``.
+    """
+    other = ~(F.col("asked_doc_id").eqNullSafe(F.col("doc_id")) & F.col("asked_version_id").eqNullSafe(F.col("version_id")))
+    found = version_conflicts(versions, arriving).groupBy("version_id").agg(F.array_sort(F.collect_set("conflict")).alias("_kinds"))
+    none = F.array().cast("array<string>")
+    kinds = F.coalesce("_kinds", none)
+    problem = F.when(F.array_contains(kinds, "older_conflict"), "older").when(other, "identity")
+    return arriving.join(found, "version_id", "left").withColumn("problem", problem).withColumn("warnings", F.array_except(kinds, F.array(F.lit("older_conflict")))).drop("_kinds")
+
+
+def archived_and_replaced(versions: DataFrame, arriving: DataFrame) -> DataFrame:
+    """Versions after those of ``arriving`` without a problem have been published."""
+    good = replacements(versions, arriving).where("problem is null").select(arriving.columns).drop("asked_doc_id", "asked_version_id")
+    return published(versions, good)

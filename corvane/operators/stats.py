@@ -15,22 +15,27 @@ from pyspark.sql import functions as F
 LARGEST, MAX_EXPONENT = 1e100, 100
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, distinct: list[str] | None = None) -> DataFrame:
     """One row for each column: missing, filled and distinct values, kind, numeric minimum, maximum and mean.
 
-    Blank texts are missing. Equal values of a column are counted first, in one pass over
-    the data, so that distinct values are exact and popular ones cost nothing more.
+    Blank texts are missing. Everything but distinct values comes from one aggregate of one
+    row. Distinct values are exact, and counted for the columns ``distinct`` (all, unless given;
+    null for others): only these columns' values are shuffled, each once from a task.
     """
-    text = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in df.columns))).alias("c")).select("c.*")
-    counts = cells.groupBy("column", "value").agg(F.count("*").alias("n")).withColumn("number", F.col("value").try_cast("double"))
-    given, odd = F.col("value").isNotNull(), F.col("value").isNotNull() & F.col("number").isNull()
-    sums = counts.groupBy("column").agg(
-        F.sum(F.when(~given, F.col("n")).otherwise(0)).alias("missing"), F.sum(F.when(given, F.col("n")).otherwise(0)).alias("filled"), F.count("value").alias("distinct"),
-        F.count_if(odd).alias("odd"), F.min("number").alias("minimum"), F.max("number").alias("maximum"), (F.sum(F.col("number") * F.col("n")) / F.sum(F.when(F.col("number").isNotNull(), F.col("n")))).alias("mean"),
+    text = {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns}
+    number = {c: text[c].try_cast("double") for c in df.columns}
+    sums = lambda c: F.struct(
+        F.lit(c).alias("column"), F.count_if(text[c].isNull()).alias("missing"), F.count(text[c]).alias("filled"), F.count_if(text[c].isNotNull() & number[c].isNull()).alias("odd"),
+        F.min(number[c]).alias("minimum"), F.max(number[c]).alias("maximum"), F.avg(number[c]).alias("mean"),
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
-    rows = names.join(sums, "column", "left").fillna(0, ["missing", "filled", "distinct", "odd"])
+    rows = df.agg(F.array(*map(sums, df.columns)).alias("columns")).select(F.explode("columns").alias("c")).select("c.*")
+    wanted = df.columns if distinct is None else [c for c in df.columns if c in distinct]
+    if wanted:
+        cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text[c].alias("value")) for c in wanted))).alias("c")).select("c.*").where("value is not null")
+        counted = cells.distinct().groupBy("column").agg(F.count("*").alias("distinct"))
+        rows = rows.join(F.broadcast(counted), "column", "left").withColumn("distinct", F.when(F.col("column").isin(*wanted), F.coalesce("distinct", F.lit(0))))
+    else:
+        rows = rows.withColumn("distinct", F.lit(None).cast("long"))
     plain = F.col("odd") == 0
     numeric = {c: F.when(plain, F.col(c)) for c in ("minimum", "maximum", "mean")}
     return rows.withColumns({"kind": F.when(plain & (F.col("filled") > 0), "number").otherwise("text")} | numeric).select("column", "missing", "filled", "distinct", "kind", "minimum", "maximum", "mean")

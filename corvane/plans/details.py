@@ -212,11 +212,12 @@ def access_endpoint_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with d as (select o_orderkey as id, o_orderpriority as event, o_orderkey % 4 as attempt, o_orderdate from orders)
-select id, case when event = '1-URGENT' and attempt >= 3 then 'failed' when event = '1-URGENT' then 'retrying' else event end as event from d""")
+select id, case when event = '1-URGENT' and stale and attempt >= 3 then 'failed' when event = '1-URGENT' and stale then 'retrying' when event = '1-URGENT' then 'running' else event end as event
+from (select *, timestamp '1995-06-17 00:00:00' - o_orderdate > interval 900 seconds as stale from d)""")
 def jobs_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running jobs without news, retried or failed after the last attempt."""
     rows = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", "running").otherwise(F.col("o_orderpriority")).alias("event"), (F.col("o_orderkey") % 4).alias("attempt"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
-    return registry.recovered(rows, F.lit("2100-01-01").cast("timestamp")).select("id", "event")
+    return registry.recovered(rows, F.lit("1995-06-17").cast("timestamp")).select("id", "event")
 
 
 @query("""select o_orderkey, round(o_totalprice - 1000, 6) as delta, round((o_totalprice - 1000) / 1000, 6) as relative, o_totalprice > 1000 as improved from orders""")
@@ -274,11 +275,10 @@ def stream_job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.agg(F.count("*").alias("jobs"), F.sum("fails").alias("failures"))
 
 
-@query("select 240 as documents, 6 as categories, 40 as each")
+@query("""with t as (select p_brand as category, count(*) as n from part group by 1) select category || '-' || k as source, category, 'Document ' || k || ' about ' || category || '.' as text from t, unnest(range(n)) as r(k)""")
 def sources_synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files.synthetic_corpus(spark)
-    per = rows.groupBy("category").agg(F.count("*").alias("n"))
-    return per.agg(F.sum("n").alias("documents"), F.count("*").cast("int").alias("categories"), F.max("n").alias("each"))
+    """A document for each part, its brand as the category."""
+    return files.synthetic_corpus(load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n")))
 
 
 @query("""with d as (select 'f' || (p_partkey) as source, md5(p_name) as c from part where p_partkey % 4 != 3) select source, cast(substr(source, 2) as int) % 5 != 0 as intact from d""")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import research, text
-from ..operators import embedding, index, memory, metrics, planner, retrieval, segmentation
+from ..functions import access, filters, research, text
+from ..operators import answers, embedding, index, memory, metrics, planner, registry, retrieval, segmentation
 from ..sources import element_source, office
 from ..storage import fresh_path, stored
-from ..streaming import state, windows
+from ..streaming import jobs, state, windows
 from .base import Catalogue, load
-from .retrieval import LUCENE, bm25_sql, published
+from .retrieval import LUCENE, _READABLE, TODAY, bm25_sql, derived, published
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -319,3 +319,61 @@ def memory_recall_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     confirmed = F.when(F.col("c_nationkey") % 3 == 0, F.array(F.lit("S1"))).otherwise(F.array(F.lit("S2"), F.lit("S1")))
     claims = load(spark, sf_dir, "customer").select(text_of("c_custkey").alias("run_id"), kinds.alias("claim_id"), F.concat(F.lit("p"), (F.col("c_custkey") % 2).cast("string")).alias("project_id"), confirmed.alias("source_ids"), (F.col("c_nationkey") % 2 == 0).alias("readable"))
     return memory.recall_gate(memories, claims, F.lit(True)).select("id", "verdict")
+
+
+@query("""with recursive e as (select event_id // 4 as job_id, ts, case event_id % 4 when 0 then 'pending' when 2 then 'running' else 'failed' end as event, row_number() over (partition by event_id // 4 order by ts, case event_id % 4 when 0 then 'pending' when 2 then 'running' else 'failed' end) as k from events),
+s as (select job_id, 0::bigint as k, '' as state, 0 as attempt, 0 as n from (select distinct job_id from e)
+  union all select e.job_id, e.k, case when s.state = 'failed' then 'failed' when e.event = 'failed' then case when s.attempt < 1 then 'retrying' else 'failed' end else e.event end,
+    case when s.state != 'failed' and e.event = 'failed' and s.attempt < 1 then s.attempt + 1 else s.attempt end, case when s.state = 'failed' then s.n else s.n + 1 end from s join e on e.job_id = s.job_id and e.k = s.k + 1)
+select job_id::varchar as job_id, arg_max(state, k) as state, max(attempt)::bigint as attempt, max(n)::bigint as changes from s group by job_id""")
+def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each job of the stream ends: one failure is tried again, the second is for good, and what comes after it changes nothing."""
+    base = fresh_path(spark, "jobs")
+    events = windows.event_stream(spark, sf_dir, load(spark, sf_dir, "events").schema, "events.parquet", lateness="40 days")
+    rows = events.select(F.floor(F.col("event_id") / 4).alias("job_id"), F.col("ts").alias("at"), F.when(F.col("event_id") % 4 == 0, "pending").when(F.col("event_id") % 4 == 2, "running").otherwise("failed").alias("event"))
+    windows.run_to_end(jobs.job_changes(rows, max_attempts=1), f"{base}/table", f"{base}/checkpoint")
+    order = F.struct("at", "attempt", (F.col("state") == "failed").alias("final"), (F.col("state") == "retrying").alias("again"), "state")
+    found = spark.read.parquet(f"{base}/table").groupBy("job_id").agg(F.max(order).alias("last"), F.count("*").alias("changes"))
+    return found.select("job_id", "last.state", F.col("last.attempt").cast("long").alias("attempt"), "changes")
+
+
+@query("""with v as (select p_partkey % 300 as doc_id, p_partkey as version_id, (p_size % 5) as version, case when p_partkey % 3 = 0 then 'archived' else 'active' end as status, p_size % 7 as day from part),
+a as (select c_custkey % 300 as doc_id, 1000000 + c_custkey as version_id, c_custkey % 6 as version, c_nationkey % 7 as day, c_custkey % 8 = 0 as other from customer),
+c as (select version_id, case when a.version < v.version then 'older_conflict' when a.version > v.version and a.day < v.day then 'date_conflict' when a.version > v.version then 'newer_override' end as kind from a join (select doc_id, version, day from v where status = 'active') v using (doc_id)),
+k as (select version_id, bool_or(kind = 'older_conflict') as older, string_agg(distinct kind, ',' order by kind) filter (kind != 'older_conflict') as warnings from c where kind is not null group by version_id)
+select version_id, case when older then 'older' when other then 'identity' end as problem, coalesce(warnings, '') as warnings from a left join k using (version_id)""")
+def versions_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as versions that are to replace those of parts: which may, and what there is to warn of."""
+    day = lambda c: F.date_add(F.lit("2026-01-01").cast("date"), (c % 7).cast("int"))
+    part, customer = load(spark, sf_dir, "part"), load(spark, sf_dir, "customer")
+    versions = part.select((F.col("p_partkey") % 300).alias("doc_id"), F.col("p_partkey").alias("version_id"), F.concat(F.lit("v"), (F.col("p_size") % 5).cast("string")).alias("version"), F.when(F.col("p_partkey") % 3 == 0, "archived").otherwise("active").alias("status"), day(F.col("p_size")).alias("effective_date"))
+    own = F.col("c_custkey") % 300
+    arriving = customer.select(
+        own.alias("doc_id"), (F.lit(1_000_000) + F.col("c_custkey")).alias("version_id"), F.concat(F.lit("v"), (F.col("c_custkey") % 6).cast("string")).alias("version"), day(F.col("c_nationkey")).alias("effective_date"),
+        F.when(F.col("c_custkey") % 8 == 0, own + 1).otherwise(own).alias("asked_doc_id"), (F.lit(1_000_000) + F.col("c_custkey")).alias("asked_version_id"),
+    )
+    return registry.replacements(versions, arriving).select("version_id", "problem", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(bm25_sql(LUCENE, k=10, extra=", " + _READABLE).replace("where rank <= 10", "where rank <= 10 and doc_id in (select doc_id from acl)"))
+def retrieval_reauthorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that were found without any rule, held against a reader's rules at the end; ranks stay."""
+    docs = derived(spark, sf_dir)
+    found = retrieval.bm25(docs, load(spark, sf_dir, "benchmark"), "item_id", "text")
+    return published(planner.reauthorised(found, docs, _rule()))
+
+
+def _rule() -> F.Column:
+    rule = access.may_read(F.lit("senior_student"), F.lit("lab"), F.lit(True), F.col("confidentiality"), F.col("visibility"), F.col("departments"), F.lit(""), F.col("effective_date"), F.col("expiry_date"), F.lit(TODAY).cast("date"))
+    return access.is_published("state") & rule
+
+
+_SEEN = "from (select * from documents where lang = 'en' and doc_id in (select doc_id from acl))"
+
+
+@query(f"with {_READABLE}, " + bm25_sql(LUCENE, k=4).removeprefix("with ").replace("from documents", _SEEN))
+def retrieval_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents that a reader may see, four for each item, without reordering."""
+    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = planner.service_search(queries, derived(spark, sf_dir), _bm25, 4, filters.compiled({"lang": "en"}), _rule(), reranked=False)
+    return found.select("query_id", F.explode("results").alias("r")).select("query_id", "r.doc_id", "r.rank", "r.score")

@@ -73,12 +73,11 @@ def elements(docs: DataFrame, kinds: list[str] | None = None, max_chars: int | N
     return rows.withColumn("text", F.substring("text", 1, max_chars)) if max_chars else rows
 
 
-def synthetic_corpus(spark: SparkSession, per_category: int = 40, categories: tuple[str, ...] = ("policy", "paper", "experiment", "meeting", "guide", "project")) -> DataFrame:
-    """A deterministic corpus of short documents in six categories."""
-    name = F.get(F.array(*map(F.lit, categories)), (F.col("id") % len(categories)).cast("int"))
-    number = F.floor(F.col("id") / len(categories))
-    rows = spark.range(per_category * len(categories))
-    return rows.select(F.concat_ws("-", name, number.cast("string")).alias("source"), name.alias("category"), F.concat(F.lit("Document "), number.cast("string"), F.lit(" about "), name, F.lit(". It has number "), F.col("id").cast("string"), F.lit(" in all.")).alias("text"))
+def synthetic_corpus(topics: DataFrame) -> DataFrame:
+    """A deterministic corpus of short documents: ``n`` of each category of ``topics`` (category, n)."""
+    rows = topics.where("category is not null and n > 0").select("category", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("number"))
+    number = F.col("number").cast("string")
+    return rows.select(F.concat_ws("-", "category", number).alias("source"), "category", F.concat(F.lit("Document "), number, F.lit(" about "), F.col("category"), F.lit(".")).alias("text"))
 
 
 def relational(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

@@ -25,20 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; what is written there goes with ``clear``."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table, read back: this cuts its lineage and pins what a recomputed task could change."""
     path = fresh_path(df.sparkSession, label)
-    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> int:
-    """Remove the tables that this driver's jobs have stored, and say how many; for the end of a job, as results may still read them before."""
+    """Remove the tables and folders that this driver's jobs have stored, and say how many; for the end of a job, as results may still read them before."""
     n = 0
     while _made:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())

@@ -12,37 +12,45 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 CHANGES = "job_id string, at timestamp, state string, attempt int"
 
 
-def job_changes(events: DataFrame, max_attempts: int = 3, stale_seconds: int = 900) -> DataFrame:
+def job_changes(events: DataFrame, max_attempts: int = 3, stale_seconds: int = 900, grace_seconds: int = 86_400) -> DataFrame:
     """Changes of state from a stream of (job_id, at, event); ``events`` needs a watermark on ``at``.
 
     Events: pending, running, completed, failed. A failure is retried up to ``max_attempts``
     times. A running job without news for ``stale_seconds`` of event time goes back to
-    retrying without an attempt less, and is reported when the watermark passes. A micro-batch's
-    events of one job, a handful, are sorted by time.
+    retrying without an attempt less, and is reported when the watermark passes. Events older than
+    the last one of their job change nothing, and nor do those of a job that has completed or failed for good. What is known of
+    a job goes ``grace_seconds`` after its last news. A micro-batch's events of one job, a handful, are sorted by time.
     """
 
+    def wait(state: GroupState, seconds: int, last: int) -> None:
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            _, attempt, at = state.get
-            late = pd.Timestamp(at + stale_seconds * 1_000_000, unit="us")
-            state.update(("retrying", attempt, at))
-            yield pd.DataFrame({"job_id": [key[0]], "at": [late], "state": ["retrying"], "attempt": [attempt]})
+            current, attempt, last = state.get
+            if current != "running":
+                state.remove()
+                return
+            late = last + stale_seconds * 1_000_000
+            state.update(("retrying", attempt, late))
+            wait(state, grace_seconds, late)
+            yield pd.DataFrame({"job_id": [key[0]], "at": [pd.Timestamp(late, unit="us")], "state": ["retrying"], "attempt": [attempt]})
             return
         current, attempt, last = state.get if state.exists else ("", 0, 0)
         rows = pd.concat(list(batches)).sort_values(["at", "event"])
         out = []
         for at, event in zip(rows["at"], rows["event"], strict=True):
-            if current in ("completed", "failed"):
-                break
-            last = int(at.value // 1000)
+            moment = int(at.value // 1000)
+            if current in ("completed", "failed") or moment < last:
+                continue
+            last = moment
             if event == "failed":
                 current, attempt = ("retrying", attempt + 1) if attempt < max_attempts else ("failed", attempt)
             else:
                 current = event
             out.append((key[0], at, current, attempt))
         state.update((current, attempt, last))
-        if current == "running":
-            state.setTimeoutTimestamp(max(last // 1000 + stale_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        wait(state, stale_seconds if current == "running" else grace_seconds, last)
         yield pd.DataFrame(out, columns=["job_id", "at", "state", "attempt"])
 
     rows = events.select(F.col("job_id").cast("string").alias("job_id"), "at", "event")
