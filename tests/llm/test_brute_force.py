@@ -477,3 +477,14 @@ def test_query_of_shards(spark, documents):
     assert all(r["size"] == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) and r.law == "rows" and r.grown_shard is None for r in rows)
     slots = [sorted(r.slot for r in rows if r.shard == k) for k in range(16)]
     assert all(s == list(range(len(s))) for s in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
+def test_sentencepiece_checksums_equal_the_library(documents):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in pieces.op2_sentencepiece(documents, PIECES).collect():
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_pieces, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<i4").tobytes()))
+        assert r.decoded_crc32 == zlib.crc32(library.decode(ids).encode())

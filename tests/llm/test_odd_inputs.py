@@ -60,6 +60,41 @@ def test_stages_keep_columns_and_survive(spark, tmp_path, odd_docs, no_docs, ite
             assert out.columns[: len(docs.columns)] == docs.columns, name
 
 
+def test_each_stage_decides_odd_rows_as_stated(spark, tmp_path, odd_docs, items, labels):
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+    # rows that repeat stay or go together where single rows are judged
+    toxic = ids(stages["toxicity"](spark, odd_docs, str(tmp_path)))
+    assert {toxic.count((False, 3)), toxic.count((False, 0))} <= {0, 2}
+    assert toxic.count((False, 3)) == 2 * toxic.count((False, 4))  # empty and null texts have one score
+    clean = ids(stages["quality rules"](spark, odd_docs, str(tmp_path)))
+    assert not {3, 4, 5, 6, 7} & {i for none, i in clean if not none and i != 5} and clean.count((False, 0)) == 2
+    left = ids(stages["benchmark decontamination"](spark, odd_docs, str(tmp_path)))
+    assert {(False, 6), (False, 10)}.isdisjoint(left) and left.count((False, 3)) == 2
+
+
+def test_last_stage_replaces_columns_of_its_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Some words.", 7, "own", "x"), (2, None, 8, "own", "x")], "doc_id long, text string, n_pieces long, pieces string, Place string")
+    out = dict(corpus_pipeline.STAGES)["sentencepiece encoding"](spark, docs, str(tmp_path))
+    rows = {r.doc_id: r for r in out.collect()}
+    assert sorted(out.columns) == sorted(docs.columns) and rows[1].n_pieces == len(rows[1].pieces) > 0 and rows[2].n_pieces == 0
+
+
+def test_session_keeps_its_batch_size(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "777")
+    try:
+        for table, schema, rows in (("documents", "doc_id long, text string, lang string, source string, n_chars long", []), ("labels", "doc_id long, quality int, toxic int", []), ("benchmark", "item_id long, text string", [])):
+            spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+        assert spark.conf.get(name) == "777"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_near_copies_keep_one_row_of_each_group(odd_docs):
     kept = simhash.keep_one_of_each(odd_docs).collect()
     texts = [r.text or "" for r in kept if (r.text or "").split()]
