@@ -70,7 +70,7 @@ def test_each_stage_decides_odd_rows_as_stated(spark, tmp_path, odd_docs, items,
     assert {toxic.count((False, 3)), toxic.count((False, 0))} <= {0, 2}
     assert toxic.count((False, 3)) == 2 * toxic.count((False, 4))  # empty and null texts have one score
     clean = ids(stages["quality rules"](spark, odd_docs, str(tmp_path)))
-    assert not {3, 4, 5, 6, 7} & {i for none, i in clean if not none and i != 5} and clean.count((False, 0)) == 2
+    assert not {3, 4, 6, 7} & {i for none, i in clean if not none} and clean.count((False, 0)) in (0, 2)  # as its host is closed or not
     left = ids(stages["benchmark decontamination"](spark, odd_docs, str(tmp_path)))
     assert {(False, 6), (False, 10)}.isdisjoint(left) and left.count((False, 3)) == 2
 
