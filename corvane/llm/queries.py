@@ -82,4 +82,4 @@ def _in_modest_batches(query: Callable[[SparkSession, str], DataFrame]) -> Calla
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urlfilter.OP1_SQL, "op5_quality": quality.OP5_SQL, "op10_warc": warc.OP10_SQL, "op13_mix": mixing.OP13_SQL}
+    return {"op1_url_filter": urlfilter.OP1_SQL, "op5_quality": quality.OP5_SQL, "op10_warc": warc.OP10_SQL, "op12_variants": variants.OP12_SQL, "op13_mix": mixing.OP13_SQL}

@@ -108,3 +108,21 @@ def op12_variants(docs: DataFrame) -> DataFrame:
         return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
 
     return variant_forms(corpus_words(docs, altered=altered))
+
+
+#: Letters beyond ASCII, and an ASCII character for each: DuckDB's levenshtein counts bytes.
+_LATIN, _ASCII = "".join(chr(c) for c in range(0xC0, 0x100)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 !#$%&()*+,-./:;<=>?@[]^_{|}"
+
+#: The checksum is worked out byte by byte, with the table of its polynomial.
+OP12_SQL = f"""with recursive t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end)) as t),
+runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+own as (select doc_id, run, count(*) as n from runs where length(run) >= 6 group by all),
+bytes as (select *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: case when ord(x) < 128 then [ord(x)] else [192 + ord(x) // 64, 128 + ord(x) % 64] end)) as b from own),
+sums as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(b, lambda x: x::bigint)), lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256)), 4294967295::bigint) as h from bytes, t),
+words as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from sums),
+w as (select word, sum(n)::bigint as n, translate(word, '{_LATIN}', '{_ASCII}') as plain from words group by word having length(word) >= 6 and sum(n) >= 5),
+near as (select a.word, a.n, b.word as other, b.n as other_n from w a join w b on length(b.word) between length(a.word) - 1 and length(a.word) + 1 and a.word != b.word where levenshtein(a.plain, b.plain) = 1),
+best as (select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * w.n then other end as form, case when other_n >= 5 * w.n then other_n end as form_n from w left join best using (word)),
+r as (select word, word as root, form as following from f union all select r.word, f.word, f.form from r join f on f.word = r.following)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from f join r on r.word = f.word where r.following is null"""
