@@ -118,7 +118,7 @@ def stream_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with recursive {_CALLS},
 c as (select user_id, event_id, k, ts, ts as loaded from calls where k = 1
   union all select n.user_id, n.event_id, n.k, n.ts, case when n.ts < c.loaded + interval 18 hours then c.loaded else n.ts end from c join calls n on n.user_id = c.user_id and n.k = c.k + 1)
-select user_id::varchar as key, event_id as id, loaded < ts or k > 1 and loaded = lag(loaded) over (partition by user_id order by k) as hit, round(epoch_us(ts) / 1e6 - epoch_us(loaded) / 1e6, 3) as age_seconds from c""".replace(" or k > 1 and loaded = lag(loaded) over (partition by user_id order by k)", " or coalesce(loaded = lag(loaded) over (partition by user_id order by k), false)"))
+select user_id::varchar as key, event_id as id, loaded < ts or k > 1 and loaded = lag(loaded) over (partition by user_id order by k) as hit, round((epoch_us(ts) - epoch_us(loaded)) / 1e6, 3) as age_seconds from c""".replace(" or k > 1 and loaded = lag(loaded) over (partition by user_id order by k)", " or coalesce(loaded = lag(loaded) over (partition by user_id order by k), false)"))
 def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits and misses of a cache with an entry for each user, which lives for 18 hours."""
     found = _streamed(spark, sf_dir, lambda rows: state.cache_lookups(rows, "user_id", "event_id", "ts", 18 * 3600))
