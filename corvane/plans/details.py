@@ -278,7 +278,7 @@ def stream_job_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with t as (select p_brand as category, count(*) as n from part group by 1) select category || '-' || k as source, category, 'Document ' || k || ' about ' || category || '.' as text from t, unnest(range(n)) as r(k)""")
 def sources_synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each part, its brand as the category."""
-    return files.synthetic_corpus(load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n")))
+    return files.topic_corpus(load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n")))
 
 
 @query("""with d as (select 'f' || (p_partkey) as source, md5(p_name) as c from part where p_partkey % 4 != 3) select source, cast(substr(source, 2) as int) % 5 != 0 as intact from d""")
