@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,12 @@ def words_of(text: str | None) -> list[str]:
     return (WORD if ANY_UNSPACED.search(text) else PLAIN).findall(text)
 
 
+def numbers_of(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
+    """The words' numbers; 0 for words that the vocabulary lacks."""
+    words = words_of(text)
+    return np.fromiter(map(vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
+
+
 def least_score(m: int, min_score: float) -> int:
     """Score that a copy of an item of ``m`` words needs: its share, and at least LEAST or all of a shorter item; EXCERPT is enough."""
     return min(max(int(np.ceil(min_score * m - 1e-9)), min(m, LEAST)), EXCERPT)
@@ -129,10 +136,9 @@ def _gram_counts(docs: DataFrame, part: dict) -> np.ndarray:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                _, first, _, second = grams_in(np.array([vocabulary.get(w, 0) for w in words_of(text)], dtype=np.int64), pairs, triples)
-                for at in (first, second):
-                    numbers, n = np.unique(at, return_counts=True)
-                    total[numbers] += n
+                _, first, _, second = grams_in(numbers_of(text, vocabulary), pairs, triples)
+                np.add.at(total, first, 1)
+                np.add.at(total, second, 1)
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"at": seen, "n": total[seen]})
 
@@ -208,7 +214,7 @@ def _passages(docs: DataFrame, part: dict, seeds: dict[str, np.ndarray]) -> Data
         for batch in batches:
             out = []
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
-                ids = np.array([vocabulary.get(w, 0) for w in words_of(text)], dtype=np.int64)
+                ids = numbers_of(text, vocabulary)
                 two, first, three, second = grams_in(ids, pairs, triples)
                 one = np.flatnonzero(ids) if len(seed["least"]) > grams else ids[:0]
                 places, at = np.concatenate([two, three, one]), np.concatenate([first, second, ids[one] + grams])
