@@ -44,7 +44,7 @@ def retrieve_documents(
     texts = docs.select("doc_id", "text")
     columns = ("query_id", "doc_id", "score", "rank")
 
-    candidates = search(of("plain").select("query_id", "query"), 3 * k).join(asked.select("query_id", "query"), "query_id").join(texts, "doc_id")
+    candidates = retrieval.with_texts(search(of("plain").select("query_id", "query"), 3 * k).join(asked.select("query_id", "query"), "query_id"), texts)
     plain = retrieval.rerank(candidates, "query", "text", k, score=score).select(*columns)
 
     forms = of("standalone").select("query_id", F.posexplode(F.array_distinct(F.concat(F.array("query"), "rewritten"))).alias("part", "query"))
@@ -56,7 +56,7 @@ def retrieve_documents(
     expanded = retrieval.decomposed(wider, lambda q: search(q, 3), k, most=most, each=3).select(*columns)
 
     def graded(q: DataFrame) -> DataFrame:
-        return search(q, k).join(q.select("query_id", "query"), "query_id").join(texts, "doc_id")
+        return retrieval.with_texts(search(q, k).join(q.select("query_id", "query"), "query_id"), texts)
 
     good = correction.corrective_retrieval(of("corrected").select("query_id", "query"), graded, rewrite or (lambda q: q.limit(0)), rounds)
     corrected = retrieval.top_k(good.select("query_id", "doc_id", "score"), k).select(*columns)
@@ -87,7 +87,7 @@ def service_search(queries: DataFrame, docs: DataFrame, search: Callable[[DataFr
     rule = F.lit(True) if may_read is None else may_read
     allowed = docs.where((F.lit(True) if condition is None else condition) & rule)
     texts = allowed.select("doc_id", "text")
-    found = search(texts)(queries.select("query_id", "query"), 3 * k if reranked else k).join(texts, "doc_id")
+    found = retrieval.with_texts(search(texts)(queries.select("query_id", "query"), 3 * k if reranked else k), texts)
     if reranked:
         found = retrieval.rerank(found.join(queries.select("query_id", "query"), "query_id"), "query", "text", k, score=score)
     final = reauthorised(found, docs, rule)

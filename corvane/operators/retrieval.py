@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, term_relevance, tokens
+from ..functions.text import cosine, term_relevance, terms, tokens
 from ..storage import stored
+from . import scoring
 
 #: Bytes of query vectors that go to the executors at a time.
 VECTOR_BLOCK_BYTES = 32 << 20
@@ -83,8 +84,65 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, query_id: str, query_text:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10, **options) -> DataFrame:
-    """The best ``k`` documents of each query with a positive score."""
-    return top_k(bm25_scores(docs, queries, query_id, query_text, **options).where("score > 0"), k)
+    """The best ``k`` documents of each query with a positive score; for options see ``bm25_scores``.
+
+    A batch of checked size goes to the documents, whose scores are added up where they are. A larger one, and
+    ids that stand in several rows, take the joins of ``bm25_scores``.
+    """
+    best = _bm25_best(docs, queries, query_id, query_text, k, **options)
+    return top_k(bm25_scores(docs, queries, query_id, query_text, **options).where("score > 0") if best is None else best, k)
+
+
+def _bm25_best(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int, variant: str = "lucene", k1: float = 1.5, b: float = 0.75, searched: DataFrame | None = None) -> DataFrame | None:
+    """What may be among the best ``k``, from each task."""
+    if variant not in ("lucene", "okapi"):
+        raise ValueError("variant must be lucene or okapi")
+    batch = scoring.batch_of(query_terms(queries, query_id, query_text))
+    if batch is None:
+        return None
+    found = scoring.vectors(docs, tokens("text"), batch.terms)
+    n_docs, different, mean = found.agg(F.count("*"), F.count_distinct("doc_id"), F.avg(F.when(F.col("dl") > 0, F.col("dl")))).first()
+    if different != n_docs:
+        return None
+    df = np.zeros(len(batch.terms))
+    for place, count in found.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*")).collect():
+        df[place] = count
+    ratio = (n_docs - df + 0.5) / (df + 0.5)
+    if variant == "lucene":
+        idf = np.log(1 + ratio)
+    else:
+        idf = np.where(ratio < 1, 0.25 * _usual_weight(docs, n_docs), np.log(ratio))
+    if searched is not None:
+        found = found.join(searched.select("doc_id"), "doc_id", "left_semi")
+    weights = batch.count * np.repeat(idf, np.diff(batch.start))
+    return scoring.best(found, batch, queries.schema[query_id].dataType.simpleString(), k, weights, (k1, b, mean or 1.0))
+
+
+def _usual_weight(docs: DataFrame, n_docs: int) -> float:
+    """Mean weight of all terms of ``docs``, each counted once for a document."""
+    counts = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return counts.agg(F.avg(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))).first()[0] or 0.0
+
+
+def overlap_search(docs: DataFrame, queries: DataFrame, k: int, words: Column | str = "words") -> DataFrame:
+    """The best ``k`` documents (doc_id) of each query (query_id) by the share of the query's different ``words`` that they have, 0.99 at most; both sides have the column, an array."""
+    wanted = queries.select("query_id", F.explode(words).alias("term")).where("term is not null").distinct().withColumn("qtf", F.lit(1))
+    batch = scoring.batch_of(wanted)
+    if batch is None:
+        sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
+        held = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("term"))
+        common = wanted.join(held, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).join(sizes, "query_id")
+        return top_k(common.select("query_id", "doc_id", F.least(F.lit(0.99), F.col("c") / F.col("n")).alias("score")), k)
+    found = scoring.vectors(docs, F.array_distinct(words), batch.terms)
+    rows = scoring.best(found, batch, queries.schema["query_id"].dataType.simpleString(), k, np.ones(len(batch.query)), sizes=batch.sizes, most=0.99)
+    return top_k(rows, k)
+
+
+def with_texts(results: DataFrame, texts: DataFrame) -> DataFrame:
+    """``results`` with the columns of ``texts`` (doc_id, ...); results of checked size go to the texts, which are not shuffled."""
+    results = stored(results, "results")
+    small = results.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return texts.join(F.broadcast(results) if small else results, "doc_id")
 
 
 def overlap_fallback(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10) -> DataFrame:

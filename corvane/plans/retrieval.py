@@ -190,7 +190,7 @@ cand as (select query_id, doc_id, lex.rank, b.text as query, d.text as text, lea
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
     found = retrieval.bm25(docs, benchmark, "item_id", "text", k=15)
-    return found.join(benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+    return retrieval.with_texts(found.join(benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id"), docs.select("doc_id", "text"))
 
 
 @query(f"""with {_CANDIDATES},
@@ -219,7 +219,7 @@ def correction_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def retrieve(queries: DataFrame) -> DataFrame:
         found = retrieval.bm25(docs, queries, "query_id", "query", k=5)
-        return found.join(queries, "query_id").join(docs.select("doc_id", "text"), "doc_id")
+        return retrieval.with_texts(found.join(queries, "query_id"), docs.select("doc_id", "text"))
 
     queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     shorter = lambda q: q.withColumn("query", F.expr("substr(query, 1, int(length(query) / 2))"))
