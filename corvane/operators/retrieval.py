@@ -314,9 +314,9 @@ def merge_knowledge(raw: DataFrame, knowledge: DataFrame, limit: int) -> DataFra
 def project_knowledge(queries: DataFrame, records: DataFrame, k: int = 2) -> DataFrame:
     """Active records with sources that are not merely derived, of the query's project, by term relevance above 0."""
     usable = records.where((F.col("status") == "active") & (F.col("origin") != "derived_only") & (F.size("source_ids") > 0))
-    pairs = queries.select("query_id", "project_id", "query").join(usable.select(F.col("id").alias("doc_id"), "project_id", "statement"), "project_id")
-    scored = pairs.select("query_id", "doc_id", term_relevance("query", "statement").alias("score")).where("score > 0")
-    return top_k(scored, k)
+    # a term of one project is not that of another
+    of = lambda text: F.transform(terms(text), lambda t: F.concat(F.col("project_id").cast("string"), F.lit("\x1f"), t))
+    return overlap_search(usable.select(F.col("id").alias("doc_id"), of("statement").alias("words")), queries.select("query_id", of("query").alias("words")), k)
 
 
 def context(results: DataFrame, limit: int = 800) -> DataFrame:

@@ -220,10 +220,9 @@ def retrieval_evidence_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = items.select(F.col("item_id").alias("run_id"), F.posexplode(F.array(F.substring("text", 1, 40), F.substring("text", 41, 40))).alias("position", "question"))
 
     def by_terms(queries: DataFrame) -> DataFrame:
-        wanted = queries.select("query_id", text.terms("query").alias("t")).withColumn("n", F.size("t"))
-        held = docs.select("doc_id", F.explode(text.terms("text")).alias("term"))
-        common = wanted.select("query_id", "n", F.explode("t").alias("term")).join(held, "term").groupBy("query_id", "n", "doc_id").agg(F.count("*").alias("c"))
-        return common.select("query_id", "doc_id", F.lit("").alias("text"), F.least(F.lit(0.99), F.col("c") / F.col("n")).alias("score"))
+        # a passage among a run's twelve is among the twelve of the subquestion that gives it its score
+        found = retrieval.overlap_search(docs.select("doc_id", text.terms("text").alias("words")), queries.select("query_id", text.terms("query").alias("words")), 12)
+        return found.select("query_id", "doc_id", F.lit("").alias("text"), "score")
 
     return answers.evidence_for_subquestions(asked, by_terms).select("run_id", "source_id", "doc_id", F.round("score", 6).alias("score"))
 
