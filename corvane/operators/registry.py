@@ -42,9 +42,29 @@ def version_conflicts(versions: DataFrame, arriving: DataFrame) -> DataFrame:
     """How arriving versions conflict with live ones of the same document: older_conflict, newer_override or date_conflict."""
     live = versions.where(F.col("status").isin("active", "draft")).select("doc_id", F.col("version_id").alias("live_id"), F.col("version").alias("live_version"), F.col("effective_date").alias("live_date"))
     pairs = arriving.join(live, "doc_id").where("version_id != live_id")
+    return pairs.withColumn("conflict", _conflict()).where("conflict is not null").select("doc_id", "version_id", "live_id", "conflict")
+
+
+def _conflict() -> Column:
     a, b = version_key("version"), version_key("live_version")
-    kind = F.when(a < b, "older_conflict").when((a > b) & (F.col("effective_date") < F.col("live_date")), "date_conflict").when(a > b, "newer_override")
-    return pairs.withColumn("conflict", kind).where("conflict is not null").select("doc_id", "version_id", "live_id", "conflict")
+    return F.when(a < b, "older_conflict").when((a > b) & (F.col("effective_date") < F.col("live_date")), "date_conflict").when(a > b, "newer_override")
+
+
+def _conflict_kinds(versions: DataFrame, arriving: DataFrame) -> DataFrame:
+    """(version_id, conflict) as ``version_conflicts`` has them, without a row for each pair.
+
+    Rows of a document with one version and date conflict alike, so only these classes are compared. Of the live ids
+    the least and the greatest tell whether one is another than the arriving row's own.
+    """
+    columns = ["doc_id", "version", "effective_date"]
+    live = versions.where(F.col("status").isin("active", "draft")).groupBy(*columns).agg(F.min("version_id").alias("_least"), F.max("version_id").alias("_most"))
+    live = live.select("doc_id", F.col("version").alias("live_version"), F.col("effective_date").alias("live_date"), "_least", "_most")
+    kinds = arriving.select(*columns).distinct().join(live, "doc_id").withColumn("conflict", _conflict()).where("conflict is not null")
+    kinds = kinds.groupBy(*columns, "conflict").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    kinds = kinds.select(*(F.col(c).alias(f"_{c}") for c in columns), "conflict", "_least", "_most")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
+    found = arriving.select(*columns, "version_id").join(kinds, same)
+    return found.where("version_id != _least or version_id != _most").select("version_id", "conflict")
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -140,7 +160,7 @@ def replacements(versions: DataFrame, arriving: DataFrame) -> DataFrame:
     the kinds of other conflicts, sorted. Rows without a problem may go to ``published``.
     """
     other = ~(F.col("asked_doc_id").eqNullSafe(F.col("doc_id")) & F.col("asked_version_id").eqNullSafe(F.col("version_id")))
-    found = version_conflicts(versions, arriving).groupBy("version_id").agg(F.array_sort(F.collect_set("conflict")).alias("_kinds"))
+    found = _conflict_kinds(versions, arriving).groupBy("version_id").agg(F.array_sort(F.collect_set("conflict")).alias("_kinds"))
     none = F.array().cast("array<string>")
     kinds = F.coalesce("_kinds", none)
     problem = F.when(F.array_contains(kinds, "older_conflict"), "older").when(other, "identity")

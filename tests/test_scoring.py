@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.text import term_relevance, terms
-from corvane.operators import retrieval, scoring
+from corvane.operators import registry, retrieval, scoring
 
 
 def _ranked(df):
@@ -70,3 +70,33 @@ def test_overlap_search_of_large_batches(spark, monkeypatch):
     want = _ranked(retrieval.overlap_search(docs, asked, 2))
     monkeypatch.setattr(scoring, "BATCH_ROWS", 1)
     assert want and _ranked(retrieval.overlap_search(docs, asked, 2)) == want
+
+
+def test_overlap_is_for_every_query_and_in_a_batch_of_any_size(spark, monkeypatch):
+    docs = spark.createDataFrame(_texts(80, 7, int) + [(900, "xaay Abhh"), (901, None)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "a hh"), (2, "aay h"), (3, "zzz"), (4, "")], "q long, text string")
+    held = {(r.doc_id, (r.text or "").lower()) for r in docs.collect()}
+    want = []
+    for q, ask in ((1, ["a", "hh"]), (2, ["aay", "h"])):
+        shares = sorted((-sum(t in text for t in ask) / len(ask), d) for d, text in held)
+        want += [(q, n, d, -s) for n, (s, d) in enumerate(shares[:5], 1) if s < 0]
+    assert _ranked(retrieval.overlap(docs, asked, "q", "text", 5)) == want
+    monkeypatch.setattr(scoring, "BATCH_ROWS", 1)
+    assert _ranked(retrieval.overlap(docs, asked, "q", "text", 5)) == want
+
+
+def test_replacements_do_not_make_pairs(spark):
+    pick = random.Random(9)
+    row = lambda i: (pick.choice([1, 2, None]), i, pick.choice(["v1", "v2", "v10", None]), pick.choice(["active", "draft", "archived"]), pick.choice(["2026-01-01", "2026-01-02", None]))
+    schema = "doc_id long, version_id long, version string, status string, effective_date string"
+    versions = spark.createDataFrame([row(i) for i in range(60)] + [(3, 1, "v1", "active", None), (3, 2, "v2", "active", None)], schema)
+    arriving = spark.createDataFrame([row(i) for i in range(40, 90)] + [(3, 1, "v2", "active", None), (3, 2, "v1", "active", None)], schema).withColumns({"asked_doc_id": F.col("doc_id"), "asked_version_id": F.col("version_id")})
+    want = {}
+    for r in registry.version_conflicts(versions, arriving).collect():
+        want.setdefault(r.version_id, set()).add(r.conflict)
+    got = registry.replacements(versions, arriving)
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "live_id" not in joined
+    for r in got.collect():
+        kinds = want.get(r.version_id, set())
+        assert (r.problem, r.warnings) == ("older" if "older_conflict" in kinds else None, sorted(kinds - {"older_conflict"})) or (r.doc_id is None and r.problem is None)
