@@ -145,29 +145,51 @@ def with_texts(results: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(results) if small else results, "doc_id")
 
 
+def overlap(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10) -> DataFrame:
+    """The best ``k`` documents of each query by the share of the query's different tokens that occur anywhere in the text, within words too.
+
+    A token is a run of letters and digits, so a text has it within a word or not at all. Queries without tokens have no rows.
+    """
+    return _overlap(docs, stored(_asked(queries, query_id, query_text), "overlap-tokens"), k)
+
+
 def overlap_fallback(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 10) -> DataFrame:
-    """For queries no document has a term of: share of the query's tokens that occur anywhere in the text, within words too.
+    """``overlap`` for queries no document has a term of. All other queries have no rows."""
+    asked = stored(_asked(queries, query_id, query_text), "overlap-tokens")
+    answered = asked.join(_words(docs), asked["token"] == F.col("term"), "left_semi").select("query_id").distinct()
+    return _overlap(docs, stored(asked.join(answered, "query_id", "left_anti"), "overlap-open"), k)
+
+
+def _asked(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """(query_id, n, token): each query's different tokens and their number."""
+    return queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("tokens")).select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
+
+
+def _overlap(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Documents by tokens within words, for rows (query_id, n, token).
 
-    A token is a run of letters and digits, so a text has it within a word or not at all. Tokens
-    are therefore looked up in the corpus's different words, by their first three
-    characters at each place of a word; documents then join the words that hold one.
-    All other queries, and those without tokens, have no rows.
+    A batch of checked size goes to the documents. Of a larger one, tokens are looked up in the corpus's different
+    words, by their first three characters at each place of a word; documents then join the words that hold one.
     """
-    terms = stored(postings(docs).groupBy("term").agg(F.count("*").alias("df")), "overlap-words")
-    asked = stored(queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("tokens")).select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "overlap-tokens")
-    answered = asked.join(terms, asked["token"] == terms["term"], "left_semi").select("query_id").distinct()
-    open_ = stored(asked.join(answered, "query_id", "left_anti"), "overlap-open")
-    if open_.isEmpty():
-        return top_k(open_.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")), 0)
-    heads = open_.select("token", F.substring("token", 1, 3).alias("head"), F.least(F.length("token"), F.lit(3)).alias("width")).distinct()
+    if asked.isEmpty():
+        return top_k(asked.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0.0).alias("score")), 0)
+    batch = scoring.batch_of(asked.select("query_id", F.col("token").alias("term"), F.lit(1).alias("qtf")))
+    if batch is not None:
+        found = scoring.held(docs, tokens("text"), batch.terms)
+        return top_k(scoring.best(found, batch, asked.schema["query_id"].dataType.simpleString(), k, np.ones(len(batch.query)), sizes=batch.sizes), k)
+    heads = asked.select("token", F.substring("token", 1, 3).alias("head")).distinct()
     widths = F.array(*(F.lit(w) for w in range(1, 4)))
     cuts = F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - w + 1, F.lit(1))), lambda at: F.substring(F.col("term"), at, w)))))
-    within = terms.select("term", F.explode(cuts).alias("head")).join(heads, "head").where(F.contains("term", F.col("token"))).select("term", "token").distinct()
+    within = _words(docs).select("term", F.explode(cuts).alias("head")).join(heads, "head").where(F.contains("term", F.col("token"))).select("term", "token").distinct()
     within = stored(within, "overlap-within")
     small = within.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     words = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     held = words.join(F.broadcast(within) if small else within, "term").select("doc_id", "token").distinct()
-    shares = held.join(open_, "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("score"))
+    shares = held.join(asked, "token").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("score"))
     return top_k(shares, k)
 
 

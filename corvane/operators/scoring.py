@@ -22,6 +22,8 @@ from ..storage import stored
 BATCH_ROWS = 200_000
 #: Parts of scores that a task adds up, and scores that it holds, at a time: 8 bytes each, a few arrays of them.
 TILE_PARTS, TILE_SCORES = 1 << 20, 1 << 21
+#: Documents whose words are searched for parts at a time.
+HELD_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,36 @@ def vectors(docs: DataFrame, words: Column, terms: list[str]) -> DataFrame:
     return stored(rows.mapInArrow(counted, f"doc_id {kind.simpleString()}, dl long, places array<int>, tfs array<int>"), "vectors")
 
 
+def held(docs: DataFrame, words: Column, parts: list[str]) -> DataFrame:
+    """(doc_id, dl, places, tfs), stored: of ``parts``, by their places there, those that stand within one of a document's ``words``, once each."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    shared = spark.sparkContext.broadcast(parts)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {p: n for n, p in enumerate(shared.value)}
+        widths = sorted({len(p) for p in known})
+        for whole in batches:
+            for low in range(0, len(whole), HELD_ROWS):
+                batch = whole.slice(low, HELD_ROWS)
+                lists = batch.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0)
+                coded = pc.dictionary_encode(lists.flatten())
+                each = [np.array(sorted({known[p] for w in widths for at in range(len(word) - w + 1) if (p := word[at : at + w]) in known}), dtype=np.int64) for word in coded.dictionary.to_pylist()]
+                times = np.array([len(e) for e in each], dtype=np.int64)
+                start, flat = times.cumsum() - times, np.concatenate([*each, np.zeros(0, dtype=np.int64)])
+                code = coded.indices.to_numpy()
+                n = times[code]
+                entry = np.arange(n.sum()) + np.repeat(start[code] - (n.cumsum() - n), n)
+                doc = np.repeat(np.repeat(np.arange(len(lists)), sizes.to_numpy()), n)
+                keys = np.unique(doc * (len(known) + 1) + flat[entry])
+                ends = pa.array(np.searchsorted(keys, np.arange(len(lists) + 1) * (len(known) + 1)), pa.int32())
+                of = lambda values, ends=ends: pa.ListArray.from_arrays(ends, pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(sizes, pa.int64()), of(keys % (len(known) + 1)), of(np.ones(len(keys)))], names=["doc_id", "dl", "places", "tfs"])
+
+    rows = docs.select("doc_id", F.array_compact(F.array_distinct(F.coalesce(words, F.array().cast("array<string>")))).alias("words"))
+    return stored(rows.mapInArrow(found, f"doc_id {kind.simpleString()}, dl long, places array<int>, tfs array<int>"), "held")
+
+
 def best(found: DataFrame, batch: Batch, query_type: str, k: int, weights: np.ndarray, saturation: tuple[float, float, float] | None = None, sizes: np.ndarray | None = None, most: float = np.inf) -> DataFrame:
     """(query_id, doc_id, score): each task's rows that may be among the best ``k`` of a query with a score above 0, in the order of scores to nine digits, then ids.
 
