@@ -88,7 +88,8 @@ def recall_gate(memories: DataFrame, claims: DataFrame, user_known: Column) -> D
     )
     complete = reduce(and_, (F.coalesce(x.cast("boolean"), F.lit(False)) for x in needed))
     cited = claims.select("run_id", "claim_id", c("project_id").alias("_project"), c("source_ids").alias("_sources"), c("readable").alias("_readable"))
-    joined = memories.join(cited, ["run_id", "claim_id"], "left")
+    # a table of claims may look small where its rows are made of few others, and then fills a task if it is broadcast
+    joined = memories.join(cited.hint("merge"), ["run_id", "claim_id"], "left")
     valid = valid_memory(c("_project"), c("project_id"), c("_sources"), c("source_ids"), F.coalesce(c("_readable"), F.lit(False)))
     verdict = F.when(~research, "plain").when(~complete, "invalid_metadata").when(valid, "verified").otherwise("acl_filtered")
     return joined.withColumn("verdict", verdict).drop("_project", "_sources", "_readable")
