@@ -1,8 +1,8 @@
 """Keyed state that expires, as streams: circuit breakers, read-through caches and counters.
 
 Each operator takes a stream with a watermark on its time column and keeps one small value
-for each key. Timers of event time remove the value of a key that has become idle, so state does not
-stay for ever. A key's rows of a micro-batch are taken in order of time, then id; rows that the
+for each key; keys are dealt to GROUPS groups, which keep their values together. Timers of event time remove the values of
+keys that have become idle, so state does not stay for ever. A key's rows of a micro-batch are taken in order of time, then id; rows that the
 watermark has passed are dropped, as always in Spark. Times are microseconds within.
 """
 
@@ -14,15 +14,17 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
+#: Groups that keys are dealt to; a checkpoint holds to the number it began with.
+GROUPS = 4096
 
 
 @contextlib.contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
-    """The state store that values with timers need, for queries that start within."""
+    """The state store that keeps values on disk, for queries that start within."""
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
@@ -31,46 +33,34 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
-class _Expiring(StatefulProcessor):
-    """One value of longs for each key, which ``step(value or None, row)`` turns into (value, columns of the result, time from which it means nothing)."""
-
-    def __init__(self, names: list[str], step: Callable):
-        self.names, self.step = names, step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value = handle.getValueState("value", ", ".join(f"v{k} long" for k in range(3)) + ", until long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        batch = pd.concat(list(rows)).sort_values(["at", "id"])
-        held = self.value.get() if self.value.exists() else None
-        value, until, out = (tuple(held[:3]), held[3], []) if held else (None, 0, [])
-        before = until
-        for id_, at, ok in zip(batch["id"].tolist(), batch["at"].tolist(), batch["ok"].tolist(), strict=True):
-            at = int(pd.Timestamp(at).value // 1000)
-            value, result, until = self.step(value, at, ok)
-            out.append((key[0], id_, pd.Timestamp(at * 1000), *result))
-        if held and before != until:
-            self.handle.deleteTimer(-(-before // 1000))
-        self.value.update((*value, until))
-        # a timer in the past would fire at once, which is right: the value means nothing any more
-        self.handle.registerTimer(-(-until // 1000))
-        yield pd.DataFrame(out, columns=["key", "id", "at", *self.names])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        # an older timer of a value that lives on changes nothing
-        if self.value.exists() and self.value.get()[3] <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            self.value.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
 def _keyed(events: DataFrame, key: str, id_: str, time: str, ok: str | None, names: list[str], types: list[str], step: Callable) -> DataFrame:
+    """Rows (key, id, at, names). Each key has one value of three longs, which ``step(value or None, time, ok)`` turns into (value, columns of the result, time from which it means nothing)."""
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (tuple(v), until) for k, *v, until in zip(*state.get, strict=True)} if state.exists else {}
+        watermark, out = state.getCurrentWatermarkMs(), []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at", "id"])
+            for k, i, at, good in zip(rows["key"].tolist(), rows["id"].tolist(), rows["at"].to_numpy("datetime64[us]").astype("int64").tolist(), rows["ok"].tolist(), strict=True):
+                value, _ = held.get(k, (None, 0))
+                value, result, until = step(value, at, good)
+                held[k] = (value, until)
+                out.append((k, i, at, *result))
+        held = {k: v for k, v in held.items() if v[1] > watermark * 1000}
+        if held:
+            state.update(tuple(list(c) for c in zip(*((k, *value, until) for k, (value, until) in held.items()), strict=True)))
+            state.setTimeoutTimestamp(max(watermark + 1, min(-(-until // 1000) for _, until in held.values())))
+        elif state.exists:
+            state.remove()
+        found = pd.DataFrame(out, columns=["key", "id", "at", *names])
+        found["at"] = pd.to_datetime(found["at"], unit="us")
+        yield found
+
     rows = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(id_).cast("long").alias("id"), F.col(time).alias("at"), (F.col(ok) if ok else F.lit(True)).cast("boolean").alias("ok"))
     schema = "key string, id long, at timestamp, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True))
-    return rows.groupBy("key").transformWithStateInPandas(_Expiring(names, step), schema, "append", "eventTime")
+    grouped = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS))).groupBy("group")
+    held = "key array<string>, " + ", ".join(f"v{k} array<long>" for k in range(3)) + ", until array<long>"
+    return grouped.applyInPandasWithState(run, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def circuit_breaker(calls: DataFrame, key: str, id_: str, time: str, ok: str, failures: int = 1, cooldown_seconds: float = 10, forget_seconds: float = 86_400) -> DataFrame:
