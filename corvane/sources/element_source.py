@@ -1,31 +1,38 @@
 """Typed elements of text files as a data source of Spark's own, for batches and streams.
 
 ``register(spark)``, then ``spark.read.format("corvane_elements").load(folder)``.
-A large file is read by several tasks, each of which has the elements whose preceding
-blank line begins in its range of bytes; a task holds one element at a time. Options: ``glob``
-(of file names), ``split_bytes`` (of a task), ``max_chars`` (of an element's text).
+A large file is read in ranges, each of which has the elements whose preceding
+blank line begins in it. A task takes ranges one after the other, TASK_BYTES of them, and holds a batch of at most
+BATCH_ROWS elements or a little over BATCH_CHARS. Options: ``glob`` (of file names), ``split_bytes`` (of a range), ``max_chars`` (of an element's text).
 """
 
 from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 
 SPLIT_BYTES = 64 << 20
+#: Bytes of the ranges of a task, if one range is not more; elements and characters that leave it at a time.
+TASK_BYTES = 4 << 20
+BATCH_ROWS, BATCH_CHARS = 2000, 4 << 20
 #: Kinds by the pattern of a text's beginning; what fits none is a title if it is short and no sentence ends it.
 KINDS = (("Title", r"#{1,6}\s"), ("Table", r"\|.*\|"), ("ListItem", r"([-*+•]|\d+[.)])\s"))
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        super().__init__((path, start, end))
-        self.path, self.start, self.end = path, start, end
+class Ranges(InputPartition):
+    """Ranges (path, start, end) of one task, those of a file one after the other."""
+
+    def __init__(self, parts: list[tuple[str, int, int]]):
+        super().__init__(parts)
+        self.parts = parts
 
 
 def kind_of(text: str) -> str:
@@ -85,17 +92,40 @@ class _Elements:
         self.most = int(options["max_chars"]) if "max_chars" in options else None
         self.wanted: dict[str, set] = {}
 
-    def ranges(self, files: Iterator[tuple[str, int, int]]) -> list[Range]:
-        return [Range(path, at, min(at + self.split, size)) for path, size, _ in files for at in range(0, size, self.split)]
-
-    def rows(self, part: Range) -> Iterator[tuple]:
-        system, path = pyarrow.fs.FileSystem.from_uri(part.path) if "://" in part.path else (pyarrow.fs.LocalFileSystem(), part.path)
-        kinds = self.wanted.get("kind")
-        with system.open_input_file(path) as raw:
-            for position, text in elements_between(io.BufferedReader(raw, 1 << 20), part.start, part.end):
-                kind = kind_of(text)
-                if kinds is None or kind in kinds:
-                    yield part.path, position, kind, text[: self.most]
+    def ranges(self, files: Iterator[tuple[str, int, int]]) -> list[Ranges]:
+        tasks, room = [], 0
+        for path, size, _ in files:
+            for at in range(0, size, self.split):
+                end = min(at + self.split, size)
+                if not tasks or room < end - at:
+                    tasks.append([])
+                    room = TASK_BYTES
+                tasks[-1].append((path, at, end))
+                room -= end - at
+        return [Ranges(parts) for parts in tasks]
+
+    def rows(self, task: Ranges) -> Iterator[pa.RecordBatch]:
+        kinds, out, chars = self.wanted.get("kind"), [], 0
+        for path, parts in itertools.groupby(task.parts, key=lambda p: p[0]):
+            system, own = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+            with system.open_input_file(own) as raw:
+                file = io.BufferedReader(raw, 1 << 20)
+                for _, start, end in parts:
+                    file.seek(start)
+                    for position, text in elements_between(file, start, end):
+                        kind = kind_of(text)
+                        if kinds is None or kind in kinds:
+                            out.append((path, position, kind, text[: self.most]))
+                            chars += len(text)
+                            if len(out) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                                yield _batch(out)
+                                out, chars = [], 0
+        if out:
+            yield _batch(out)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["source", "position", "kind", "text"])
 
 
 class ElementReader(_Elements, DataSourceReader):
@@ -110,12 +140,12 @@ class ElementReader(_Elements, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         sources = self.wanted.get("source")
-        return self.ranges(f for f in _found(self.path, self.glob) if sources is None or f[0] in sources) or [Range("", 0, 0)]
+        return self.ranges(f for f in _found(self.path, self.glob) if sources is None or f[0] in sources) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return self.rows(partition) if partition.path else iter(())
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return self.rows(partition)
 
 
 class ElementStream(_Elements, DataSourceStreamReader):
@@ -128,11 +158,11 @@ class ElementStream(_Elements, DataSourceStreamReader):
         time, name = max(((f[2], f[0]) for f in _found(self.path, self.glob)), default=(-1, ""))
         return {"time": time, "name": name}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         low, high = ((o["time"], o["name"]) for o in (start, end))
         return self.ranges(f for f in _found(self.path, self.glob) if low < (f[2], f[0]) <= high)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
     def commit(self, end: dict) -> None:
