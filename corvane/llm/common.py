@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path, stored
 
-__all__ = ["ascii_lower", "batches_of", "fresh_path", "give_back", "modest_batches", "narrow_name", "small_side", "spread_lookup", "stored", "table"]
+__all__ = ["ascii_lower", "batches_of", "fresh_path", "give_back", "modest_batches", "narrow_name", "shuffled", "small_side", "spread_lookup", "stored", "table"]
 
 _C = ctypes.CDLL(None)
 
@@ -39,9 +39,18 @@ def narrow_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join in which Spark broadcasts nothing.
+
+    Spark sizes a side by the bytes of its files. After an explode, or where repeated arrays take a
+    few bytes of a file each, the rows are many times that, and the driver's memory has to hold them.
+    """
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """A stored side of a join: broadcast if it has at most ``limit`` (short) rows, else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """A stored side of a join: broadcast if it has at most ``limit`` (short) rows, else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else shuffled(df)
 
 
 #: A key is hot if more than 1 / HOT_SHARE of all rows have it, and more than HOT_ROWS.

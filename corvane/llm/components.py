@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffled, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node moves to the node's smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(shuffled(least), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # a star forest: no centre is a leaf, and every leaf has one centre
         leaves = following.groupBy("u").agg(F.count("*").alias("n"))
         centres = following.select(F.col("v").alias("u")).distinct()
-        unsettled = leaves.where("n > 1").select("u").union(leaves.join(centres, "u", "left_semi").select("u"))
+        unsettled = leaves.where("n > 1").select("u").union(leaves.join(shuffled(centres), "u", "left_semi").select("u"))
         current = following
         if unsettled.isEmpty():
             leaf = current.select(F.col("u").alias("node"), F.col("v").alias("component"))

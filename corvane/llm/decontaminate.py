@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_name, small_side, stored
+from .common import narrow_name, shuffled, small_side, stored
 
 #: Score below which an alignment of a few words is no copy.
 LEAST = 8
@@ -265,7 +265,7 @@ def _find_part(docs: DataFrame, items: list, min_score: float, least_words: int)
     tests = F.broadcast(spark.createDataFrame([(k, i, ids.tolist(), least_score(len(ids), min_score)) for k, (i, ids) in enumerate(part["items"])], "number int, item_key string, item array<long>, least int"))
     once = passages.groupBy("text_key", "start").agg(F.first("ids").alias("ids"), F.first("grams").alias("grams"))
     pairs = once.select("text_key", "start", F.explode("grams").alias("gram")).join(seeds, "gram").select("text_key", "start", "number").distinct()
-    aligned = pairs.join(once.select("text_key", "start", "ids"), ["text_key", "start"]).join(tests, "number")
+    aligned = pairs.join(shuffled(once.select("text_key", "start", "ids")), ["text_key", "start"]).join(tests, "number")
     align = F.pandas_udf(_align, "score int, first long, last long")
     aligned = aligned.withColumn("found", align("ids", "item", "least")).where(F.col("found.score") >= F.col("least"))
     hits = aligned.select(
@@ -274,7 +274,7 @@ def _find_part(docs: DataFrame, items: list, min_score: float, least_words: int)
     )
     best = hits.groupBy("text_key", "item_key").agg(F.max(F.struct("score", -F.col("first_word"), "last_word")).alias("b"))
     best = best.select("text_key", "item_key", "b.score", (-F.col("b.col2")).alias("first_word"), "b.last_word")
-    return passages.select("doc_id", "text_key").distinct().join(best, "text_key")
+    return passages.select("doc_id", "text_key").distinct().join(shuffled(best), "text_key")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6, part_words: int = 500_000, least_words: int = 3) -> DataFrame:
@@ -303,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6,
     if not found:
         return docs.select("doc_id", F.md5("text").alias("text_key")).where("false").select("doc_id", "text_key", *(F.lit(None).cast(kind).alias(c) for c, kind in zip(columns[2:], (dict(benchmark.dtypes)["item_id"], "double", "long", "long"), strict=True)))
     keys = tests.select("item_id", F.md5("text").alias("item_key"))
-    return reduce(DataFrame.union, found).join(keys, "item_key").select(columns)
+    return reduce(DataFrame.union, found).join(shuffled(keys), "item_key").select(columns)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.6) -> DataFrame:

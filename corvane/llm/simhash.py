@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, narrow_name, small_side, spread_lookup, stored
+from .common import give_back, narrow_name, shuffled, small_side, spread_lookup, stored
 from .components import connected_components
 
 #: Texts are hashed in blocks of so many shingles, which bounds a task's memory for long texts.
@@ -160,8 +160,9 @@ def similar_fingerprints(fps: DataFrame, radius: int = 2, bucket: int = 64) -> D
     sizes = shelves.groupBy("k").agg(F.count("*").alias("n"))
     hot = stored(sizes.where(F.col("n") > bucket).select("k"), "simhash-hot")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") != F.col("b"))
+    hot = small_side(hot)
     cold = shelves.join(hot, "k", "left_anti")
-    pairs = probes.join(cold, "k").where(near).select("a", "b")
+    pairs = probes.join(shuffled(cold), "k").where(near).select("a", "b")
     if hot.isEmpty():
         return pairs
     crowded = probes.join(hot, "k", "left_semi").select("a").union(shelves.join(hot, "k", "left_semi").select("b")).distinct().select(F.col("a").alias("fp"))
@@ -189,7 +190,7 @@ def _midpoint_pairs(fps: DataFrame, radius: int) -> DataFrame:
             further = F.explode(F.array_distinct(F.concat(F.array("k"), F.transform(bit, lambda x: F.col("k").bitwiseXOR(x)))))
             probes = probes.select(further.alias("k"), "a").distinct()
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") < F.col("b"))
-    return probes.join(shelved, "k").where(near).select("a", "b").distinct()
+    return probes.join(shuffled(shelved), "k").where(near).select("a", "b").distinct()
 
 
 def fingerprint_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -206,9 +207,9 @@ def fingerprint_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
         found = nodes.select("fp", "n", F.col("first").alias("component_id"))
     else:
         labels = connected_components(links, "a", "b")
-        firsts = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("comp"))
+        firsts = nodes.join(shuffled(labels), nodes.fp == labels.node, "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("comp"))
         smallest = firsts.groupBy("comp").agg(F.min("first").alias("component_id"))
-        found = stored(firsts.join(smallest, "comp").select("fp", "n", "component_id"), "simhash-found")
+        found = stored(firsts.join(shuffled(smallest), "comp").select("fp", "n", "component_id"), "simhash-found")
     return spread_lookup(docs.select("doc_id", "fp"), found, "fp", "n", ["component_id"])
 
 
@@ -231,7 +232,7 @@ def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return labelled
     labels = connected_components(links, "a", "b")
-    joined = labelled.join(labels, labelled.label == labels.node, "left")
+    joined = labelled.join(shuffled(labels), labelled.label == labels.node, "left")
     return stored(joined.select(labelled.node, F.coalesce("component", "label").alias("label")), "simhash-labels")
 
 
@@ -279,8 +280,8 @@ def _similar(similarity: float):
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of those ``pairs`` (x, y, a, b), at most one for each x, whose sets have the similarity."""
-    pairs = stored(pairs, "simhash-pairs")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"))
+    pairs = small_side(stored(pairs, "simhash-pairs"))
+    side = lambda x: shuffled(sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")))
     return stored(pairs.join(side("x"), "x").join(side("y"), "y").where(_similar(similarity)).select("a", "b").distinct(), "simhash-links")
 
 
@@ -291,11 +292,11 @@ def _hub_pairs(crowd: DataFrame, slots: int, similarity: float) -> DataFrame:
     crowded keys: that from which the others were copied has more of them than its copies.
     """
     busy = crowd.groupBy("node").agg(F.count("*").alias("busy"))
-    parts = crowd.join(busy, "node").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots)))
+    parts = crowd.join(shuffled(busy), "node").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots)))
     first = F.max(F.struct("busy", F.xxhash64("node", F.lit(slots)).alias("order"), "node", "label", "n", "sig")).alias("c")
     centres = parts.groupBy("key", "slot").agg(first).select("key", "c.node", "c.label", "c.n", "c.sig")
     best = F.min(F.struct(_differing("sx", "sy").alias("differing"), "y", F.col("lx").alias("a"), F.col("ly").alias("b"))).alias("best")
-    return _side(crowd, "x").join(_side(centres, "y"), _near(similarity)).groupBy("x").agg(best).select("x", "best.y", "best.a", "best.b")
+    return _side(crowd, "x").join(shuffled(_side(centres, "y")), _near(similarity)).groupBy("x").agg(best).select("x", "best.y", "best.a", "best.b")
 
 
 def _join_similar(nodes: DataFrame, labelled: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -311,7 +312,7 @@ def _join_similar(nodes: DataFrame, labelled: DataFrame, links: DataFrame, texts
     """
     shelves = nodes.select("node", "n", "sig", F.explode("keys").alias("key"))
     mixed = lambda df: df.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", (F.col("c") > CROWD).alias("crowded"))
-    rows = shelves.select("node", "key").join(labelled, "node")
+    rows = shelves.select("node", "key").join(shuffled(labelled), "node")
     keys = stored(mixed(rows), "simhash-mixed")
     kept = stored(shelves.join(small_side(keys.select("key")), "key", "left_semi"), "simhash-shelved")
     sets = _shingle_sets(kept.select("node").distinct(), texts, words)
@@ -319,13 +320,13 @@ def _join_similar(nodes: DataFrame, labelled: DataFrame, links: DataFrame, texts
     for slots in (1, 4, 0):
         if not found.isEmpty():
             labelled = _relabelled(labelled, found)
-        rows = kept.join(labelled, "node")
+        rows = kept.join(shuffled(labelled), "node")
         rows = stored(rows.join(small_side(stored(mixed(rows), "simhash-mixed")), "key"), "simhash-shelved")
         if slots:
             found = _verified(_hub_pairs(rows.where("crowded"), slots, similarity), sets, similarity)
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("home"))
-    rows = stored(rows.join(counts, "key"), "simhash-shelved")
-    held = rows.join(sets, "node").join(nodes.select("node", F.col("keys").alias("every")), "node").withColumnRenamed("home", "most")
+    rows = stored(rows.join(shuffled(counts), "key"), "simhash-shelved")
+    held = rows.join(shuffled(sets), "node").join(shuffled(nodes.select("node", F.col("keys").alias("every"))), "node").withColumnRenamed("home", "most")
     once = (F.col("ly") == F.col("my")) | (F.col("x") < F.col("y"))
     first = F.array_min(F.array_intersect("ex", "ey")) == F.col("kx")
     pairs = _side(held.where("label != most"), "x", "hashes", "every").join(_side(held, "y", "hashes", "every", "most"), _near(similarity) & once & first & _similar(similarity))
@@ -350,9 +351,9 @@ def keep_one_of_each(docs: DataFrame, radius: int = 3, words: int = 5, similarit
     links = similar_fingerprints(nodes.select("fp").distinct(), radius)
     labelled = nodes.select("node", F.col("fp").alias("label"))
     labelled = _join_similar(nodes, labelled, stored(links, "simhash-links"), texts, similarity, words)
-    groups = nodes.select("node", "best").join(labelled, "node").groupBy("label")
+    groups = nodes.select("node", "best").join(shuffled(labelled), "node").groupBy("label")
     kept = groups.agg(F.min("best").alias("best")).select(F.col("best.place").alias(place))
-    return base.join(kept, place, "left_semi").select(docs.columns)
+    return base.join(shuffled(kept), place, "left_semi").select(docs.columns)
 
 
 def op7_simhash(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
