@@ -162,6 +162,25 @@ def test_stream_of_files_becomes_chunks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/table").count() == 2
 
 
+def test_contents_without_text_arrive_once(spark, tmp_path):
+    import __spark_entry__
+    import duckdb
+
+    texts = [None, "", "  ", " \n", "One text.", "one text."] * 4 + [None, "   ", "Another text."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in __spark_entry__.queries()["ingest_arrivals"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == db.execute(__spark_entry__.oracle_sql()["ingest_arrivals"]).fetchall() == [(8,)]
+
+
+def test_known_contents_without_text_stay_out(spark, tmp_path):
+    batch = spark.createDataFrame([("a", None), ("b", None), ("c", " "), ("d", "Text.")], "source string, text string")
+    first = ingestion.ingest_batch(batch, f"{tmp_path}/table", 0, strategy="fixed")
+    assert sorted(r.state for r in first.collect()) == ["active", "empty", "empty"]
+    assert ingestion.ingest_batch(batch, f"{tmp_path}/table", 1, first, strategy="fixed").isEmpty()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "03_lab rules.md").write_text("# Rules\n\nKeep it clean, please, all of you.\n\n- one\n- two")
     (tmp_path / "page.html").write_text("<p>Hi &amp; bye</p>")
